@@ -58,6 +58,25 @@ class Tables:
             (F.col("user_id") % 50 + 1).cast("double").alias("AskVolume"),
         )
 
+    @property
+    def quotes(self) -> DataFrame:
+        """Ticks whose spread varies."""
+        return self.ticks.withColumn("Ask", F.col("mid") + 0.01 + F.col("Volume") * 0.0005)
+
+    @property
+    def preds(self) -> DataFrame:
+        """Scored rows: probability, outcome, regime and a value."""
+        t = self.ticks
+        return t.select(
+            F.col("seq").alias("id"),
+            "Timestamp",
+            (F.col("Volume") / 100).alias("prob"),
+            (F.col("mid") > 20).cast("int").alias("y"),
+            (F.col("user_id") % 3).cast("int").alias("regime"),
+            F.col("Symbol").alias("model"),
+            F.col("mid").alias("value"),
+        )
+
     @property
     def hourly(self) -> DataFrame:
         """Last mid per symbol and hour: a table with equal times across symbols."""
@@ -98,6 +117,8 @@ TICKS_SQL = """t AS (SELECT event_id AS seq, ts AS "Timestamp", event_type AS "S
  value-0.01 AS "Bid", value+0.01 AS "Ask", value + k*0.01 AS "High", value - k*0.01 AS "Low", k AS "Volume", k AS "BidVolume",
  CAST(user_id%50+1 AS DOUBLE) AS "AskVolume", row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i
  FROM (SELECT *, CAST(json_extract_string(props,'$.k') AS DOUBLE) AS k FROM events))"""
+QUOTES_SQL = TICKS_SQL + """, q AS (SELECT * REPLACE (mid + 0.01 + "Volume"*0.0005 AS "Ask") FROM t)"""
+PREDS_SQL = TICKS_SQL + """, p AS (SELECT seq AS id, "Timestamp", "Volume"/100 AS prob, CAST(mid>20 AS INT) AS y, CAST(user_id%3 AS INT) AS regime, "Symbol" AS model, mid AS value FROM t)"""
 HOURLY_SQL = """h AS (SELECT event_type AS "Symbol", date_trunc('hour', ts) AS "Timestamp", arg_max(value, (ts, event_id)) AS "Close" FROM events GROUP BY 1,2)"""
 FILLS_SQL = """f AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS symbol, l_suppkey AS broker,
  CASE WHEN l_returnflag='R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS volume, l_extendedprice/l_quantity AS price,

@@ -51,6 +51,10 @@ class Order:
     bucket_seconds: int = 86_400
     block_rows: int = 4_096
     scan_rows: int = 65_536
+    bucket_by: Column | None = None  # bucket expression, if not by time
+
+    def bucket(self) -> Column:
+        return bucket(self.ts, self.bucket_seconds) if self.bucket_by is None else self.bucket_by
 
     def by(self, *cols: str) -> list[Column]:
         return [F.col(c) for c in (*cols, self.ts, *self.tie)]
@@ -81,7 +85,7 @@ def bucket(ts: str | Column, seconds: int) -> Column:
 def row_index(df: DataFrame, order: Order = TICKS, out: str = IDX) -> DataFrame:
     """Add the dense 0-based row number within the key."""
     keys = list(order.keys)
-    rows = df.withColumn(BKT, bucket(order.ts, order.bucket_seconds))
+    rows = df.withColumn(BKT, order.bucket())
     counts = rows.groupBy(*keys, BKT).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -147,7 +151,7 @@ def running(
     current row out.
     """
     keys = list(order.keys)
-    rows = df.withColumn(BKT, bucket(order.ts, order.bucket_seconds))
+    rows = df.withColumn(BKT, order.bucket())
     for name, (_, expr) in outs.items():
         rows = rows.withColumn(f"__x_{name}", expr)
     place = F.struct(*[F.col(c) for c in (order.ts, *order.tie)])
