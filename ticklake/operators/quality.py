@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import BLK, IDX, TICKS, Order, micros, rolling, row_index, running
+from ..plans.ordered import IDX, TICKS, Order, micros, rolling, running
 from ..plans.values import exact_quantiles
-from ..session import checkpoint
+from ..plans.steps import settled_scan
 from .base import nz, safe_div
 
 c = F.col
@@ -78,53 +79,68 @@ def median_filter(df: DataFrame, cols: Sequence[str], n: int = 5, threshold: flo
     return rolling(df, fn, 2 * h, 2 * h, order).select(df.columns)
 
 
-def online_filter(
-    df: DataFrame, threshold: float = 3.0, order: Order = TICKS, max_rounds: int = 1000
-) -> DataFrame:
+def _tick_filter(threshold: float):
+    """Block run and merge of the sequential filter.
+
+    State and summary: n, sum and sum of squares of spreads, the same of jumps,
+    last accepted mid and time (NaN before the first).
+    """
+    nan = float("nan")
+
+    def far(x, n, s, q):
+        if n <= 10:
+            return False
+        mean = s / n
+        var = (q - n * mean * mean) / (n - 1)
+        # a variance at the size of rounding noise counts as zero
+        return var > 1e-12 * q / n and abs(x - mean) > threshold * math.sqrt(var)
+
+    def run(entry, rows):
+        n, s1, s2, j1, j2, last_mid, last_ts = entry
+        own = [0.0] * 5
+        out = []
+        for spread, mid, ts, crossed in rows:
+            first = math.isnan(last_mid)
+            jump = 0.0 if first else mid - last_mid
+            bad = crossed or (not math.isnan(last_ts) and ts <= last_ts) or far(spread, n, s1, s2)
+            bad = bad or (not first and far(jump, n, j1, j2))
+            out.append((not bad,))
+            if bad:
+                continue
+            last_mid, last_ts = mid, ts
+            for i, v in enumerate((1.0, spread, spread * spread, jump, jump * jump)):
+                own[i] += v
+            n, s1, s2, j1, j2 = (e + o for e, o in zip(entry[:5], own))
+        return out, [*own, last_mid, last_ts]
+
+    def merge(entry, summary):
+        return [*(e + s for e, s in zip(entry[:5], summary[:5])), summary[5], summary[6]]
+
+    return [0.0] * 5 + [nan, nan], run, merge
+
+
+def online_filter(df: DataFrame, threshold: float = 3.0, order: Order = TICKS) -> DataFrame:
     """F04 sequential tick filter: add ``accepted``.
 
     A tick is judged against the running mean and deviation of the spread and
-    of the jump of the ticks accepted before it.  Decisions feed back into the
-    statistics, so they are found as a fixed point: from a set of decisions the
-    statistics before every row are prefix sums, which give new decisions.
-    Each round settles at least the next wrong decision of every key, and
-    decisions that reproduce themselves are the sequential ones.
+    of the jump of the ticks accepted before it; rejected ticks leave the
+    statistics alone.
     """
     keys = list(order.keys)
     sp, mid = c("Ask") - c("Bid"), (c("Ask") + c("Bid")) / 2
-    centre = df.groupBy(*keys).agg(F.avg(sp).alias("__c"))
-    d = df.join(centre, keys).withColumns({"__s": sp - c("__c"), "__mid": mid, "__pass": c("Ask") > c("Bid")})
-    for _ in range(max_rounds):
-        ok = c("__pass")
-        d2 = running(
-            d,
-            {"__pm": ("last", F.when(ok, c("__mid"))), "__pt": ("last", F.when(ok, micros(order.ts)))},
-            order,
-            exclusive=True,
-        )
-        d2 = d2.withColumn("__j", F.coalesce(c("__mid") - c("__pm"), F.lit(0.0)))
-        sums = {"__n": ("count", F.when(ok, 1))}
-        for x in ("__s", "__j"):
-            sums[f"{x}1"] = ("sum", F.when(ok, c(x)))
-            sums[f"{x}2"] = ("sum", F.when(ok, c(x) * c(x)))
-        d2 = running(d2, sums, order, exclusive=True)
-        n = c("__n")
-
-        def far(x: str) -> Column:
-            mean = c(f"{x}1") / nz(n)
-            var = (c(f"{x}2") - n * mean * mean) / nz(n - 1)
-            # a variance at the size of rounding noise counts as zero
-            noise = 1e-12 * c(f"{x}2") / nz(n)
-            return (n > 10) & (var > noise) & (F.abs(c(x) - mean) > threshold * F.sqrt(var))
-
-        bad = (micros(order.ts) <= c("__pt")) | (c("Ask") <= c("Bid")) | far("__s") | (c("__pm").isNotNull() & far("__j"))
-        d2 = d2.withColumn("__new", ~F.coalesce(bad, F.lit(False)))
-        d2 = checkpoint(d2.select(*df.columns, "__s", "__mid", "__pass", "__new"))
-        changed = d2.where(c("__new") != c("__pass")).limit(1).count()
-        d = d2.withColumn("__pass", c("__new")).drop("__new")
-        if not changed:
-            return d.withColumnRenamed("__pass", "accepted").select(*df.columns, "accepted")
-    raise RuntimeError("the tick filter did not settle")
+    # spreads are taken about their mean, so that squares keep their digits
+    centre = df.groupBy(*keys).agg(F.avg(sp).alias("__c"), F.min(micros(order.ts)).alias("__t0"))
+    d = df.join(centre, keys).withColumns(
+        {
+            "__s": sp - c("__c"),
+            "__mid": mid,
+            "__us": (micros(order.ts) - c("__t0")).cast("double"),
+            "__x": c("Ask") <= c("Bid"),
+        }
+    ).drop("__c", "__t0")
+    start, run, merge = _tick_filter(threshold)
+    outs = T.StructType([T.StructField("accepted", T.BooleanType())])
+    return settled_scan(d, ["__s", "__mid", "__us", "__x"], outs, start, run, merge, order).drop("__s", "__mid", "__us", "__x")
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -82,6 +82,21 @@ def bucket(ts: str | Column, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table (a global aggregate) on every row."""
+    key = "__one"
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(one.withColumn(key, F.lit(1))), key).drop(key)
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Per-key values on the rows of the key; without keys ``small`` has one row.
+
+    The join side is left to the optimiser: it broadcasts under its size
+    threshold and splits skewed keys above it.
+    """
+    return df.join(small, keys) if keys else with_row(df, small)
+
+
 def row_index(df: DataFrame, order: Order = TICKS, out: str = IDX) -> DataFrame:
     """Add the dense 0-based row number within the key."""
     keys = list(order.keys)

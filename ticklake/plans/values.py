@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Order, running
+from .ordered import Order, attach, running
 
 VB = "__vb"
 
@@ -21,7 +21,7 @@ def value_order(df: DataFrame, keys: Sequence[str], col: str, grid: int = 64) ->
     """``df`` with a value bucket per row, and the order to give to ``running``."""
     probs = F.array(*[F.lit(i / grid) for i in range(1, grid)])
     splits = df.groupBy(*keys).agg(F.percentile_approx(col, probs, F.lit(10 * grid)).alias("__cuts"))
-    joined = df.join(splits, list(keys)) if keys else df.join(splits)
+    joined = attach(df, splits, list(keys))
     cuts = F.col("__cuts")
     rows = joined.withColumn(VB, F.size(F.filter(cuts, lambda x: x < F.col(col))).cast("long")).drop("__cuts")
     return rows, Order(tuple(keys), ts=col, tie=(), bucket_by=F.col(VB))
@@ -78,7 +78,7 @@ def exact_quantiles(
         ]
     )
     sketch = sketch.select(*keys, "__n", brackets.alias("__br"))
-    joined = data.join(sketch, keys) if keys else data.join(sketch)
+    joined = attach(data, sketch, keys)
     below = joined.groupBy(*keys).agg(
         F.first("__n").alias("__n"),
         *[F.count_if(F.col("__v") < F.col("__br")[i]["lo"]).alias(f"__below{i}") for i in range(len(probs))],
@@ -96,7 +96,7 @@ def exact_quantiles(
     )
     w = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("__upto", F.sum("__c").over(w))
-    ranked = inside.join(below, keys) if keys else inside.join(below)
+    ranked = attach(inside, below, keys)
     offs = F.array(*[F.col(f"__below{i}") for i in range(len(probs))])
     plist = F.array(*[F.lit(float(p)) for p in probs])
     ranked = ranked.withColumn("prob", plist[F.col("__i")]).withColumn("__end", F.col("__upto") + offs[F.col("__i")])
