@@ -133,21 +133,26 @@ def with_(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
 
 
-def rr(*cols: str, nd: int = 6) -> str:
+def rr(*cols: str, nd: int | None = 6) -> str:
     """Rounded output columns for the SQL side; ``name=expr`` or ``name``."""
     out = []
     for c in cols:
         name, _, expr = c.partition("=")
-        out.append(f"round({expr or name}, {nd}) + 0.0 AS {name}")
+        if nd is None:  # single precision: for values whose last decimals are exact halves
+            out.append(f"CAST({expr or name} AS FLOAT) + CAST(0.0 AS FLOAT) AS {name}")
+        else:
+            out.append(f"round({expr or name}, {nd}) + 0.0 AS {name}")
     return ", ".join(out)
 
 
-def shown(df: DataFrame, keys: str, cols: str, nd: int = 6) -> DataFrame:
+def shown(df: DataFrame, keys: str, cols: str, nd: int | None = 6) -> DataFrame:
     """Key columns as they are, value columns rounded."""
     return df.select(*keys.split(), *[rd(F.col(x), nd).alias(x) for x in cols.split()])
 
 
-def rd(x: Column, nd: int = 6) -> Column:
+def rd(x: Column, nd: int | None = 6) -> Column:
+    if nd is None:
+        return x.cast("float") + F.lit(0.0).cast("float")
     return F.round(x.cast("double"), nd) + F.lit(0.0)
 
 

@@ -124,9 +124,9 @@ def _(t):
     return shown(d, "broker low_fill high_cancel high_slippage", "fill_ratio cancel_rate slippage")
 
 
-@query("a10_regime_pnl", with_(TRADES_SQL, "d AS (SELECT CAST(exit_time AS DATE) date, model, regime, sum(pnl) pnl_daily FROM tr GROUP BY 1,2,3)") + f"""SELECT date, model, regime, {rr('pnl_daily','pnl_weekly=sum(pnl_daily) OVER (PARTITION BY model, regime, date_trunc(\'week\', date - INTERVAL 1 DAY))', nd=4)} FROM d""")
+@query("a10_regime_pnl", with_(TRADES_SQL, "d AS (SELECT CAST(exit_time AS DATE) date, model, regime, sum(pnl) pnl_daily FROM tr GROUP BY 1,2,3)") + f"""SELECT date, model, regime, {rr('pnl_daily','pnl_weekly=sum(pnl_daily) OVER (PARTITION BY model, regime, date_trunc(\'week\', date - INTERVAL 1 DAY))', nd=7)} FROM d""")
 def _(t):
-    return shown(rep.regime_pnl(t.trades), "date model regime", "pnl_daily pnl_weekly", 4)
+    return shown(rep.regime_pnl(t.trades), "date model regime", "pnl_daily pnl_weekly", 7)
 
 
 @query("a11_monthly", with_(TRADES_SQL, 'd AS (SELECT CAST(exit_time AS DATE) date, sum(pnl) "return", avg(pnl) sharpe, min(pnl) drawdown FROM tr GROUP BY 1)') + f"""SELECT strftime(date,'%Y-%m') AS month, {rr('return=sum("return")','sharpe=avg(sharpe)','drawdown=min(drawdown)', nd=6)} FROM d GROUP BY 1""")
@@ -139,9 +139,9 @@ POS = """o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "Timest
  p AS (SELECT *, sum(v) OVER (PARTITION BY symbol ORDER BY rn) cv FROM o), l AS (SELECT *, max(CASE WHEN abs(cv)<1e-9 THEN rn END) OVER (PARTITION BY symbol) fl FROM p)"""
 
 
-@query("a12_positions", with_(FILLS_SQL, POS) + f"SELECT symbol, {rr('volume=sum(v)','avg_price=sum(v*price)/sum(v)', nd=7)} FROM l WHERE rn>coalesce(fl,0) GROUP BY symbol")
+@query("a12_positions", with_(FILLS_SQL, POS) + f"SELECT symbol, sum(v) AS volume, CAST(sum(v*price)/sum(v) AS FLOAT) AS avg_price FROM l WHERE rn>coalesce(fl,0) GROUP BY symbol")
 def _(t):
-    return shown(rep.open_positions(t.fills, FILL), "symbol", "volume avg_price", 7)
+    return rep.open_positions(t.fills, FILL).withColumn("avg_price", c("avg_price").cast("float"))
 
 
 @query("a13_win_rates", with_(TRADES_SQL) + f"SELECT model AS name, {rr('accuracy=avg(CASE WHEN pnl>0 THEN 1.0 ELSE 0 END)')} FROM tr GROUP BY 1 UNION ALL SELECT '__overall__', round(avg(CASE WHEN pnl>0 THEN 1.0 ELSE 0 END),6) FROM tr")

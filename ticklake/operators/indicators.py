@@ -443,6 +443,58 @@ def fft_magnitude(freqs: Sequence[float] = (0.01,), col: str = "mid", n: int = 1
     return RowOp("fft_magnitude", (col,), n - 1, fn)
 
 
+# fixed values: db4 high-pass decomposition filter
+DB4_HIGH = (
+    -0.23037781330885523, 0.7148465705525415, -0.6308807679295904, -0.02798376941698385,
+    0.18703481171888114, 0.030841381835986965, -0.032883011666982945, -0.010597401784997278,
+)
+
+
+def wavelet(col: str = "mid", n: int = 128) -> RowOp:
+    """W26 energy and mean size of the finest db4 detail of the last ``n`` rows.
+
+    The transform keeps every second filter output of the window, mirrored at
+    its ends.  Outputs that touch no end are one value per row shared by all
+    windows, so a frame sum over rows of the window's parity gives them; the
+    three at each end are written out from the window's first and last rows.
+    """
+    taps = len(DB4_HIGH)
+    if n % 2 or n < 2 * taps:
+        raise ValueError("the window must be even and longer than two filters")
+
+    def at(w: WindowSpec, p: int) -> Column:  # value at window position p
+        return F.lag(col, n - 1 - p).over(w)
+
+    def edge(w: WindowSpec, k: int) -> Column:
+        total = None
+        for j, h in enumerate(DB4_HIGH):
+            p = 2 * k + 1 - j
+            p = -1 - p if p < 0 else 2 * n - 1 - p if p >= n else p
+            term = at(w, p) * h
+            total = term if total is None else total + term
+        return total
+
+    half = (taps - 2) // 2
+    edges = [*range(half), *range(n // 2, n // 2 + half)]
+
+    def fn(d, w):
+        d = d.withColumn("__d", sum((F.lag(col, j).over(w) * h for j, h in enumerate(DB4_HIGH[1:], 1)), c(col) * DB4_HIGH[0]))
+        own = lambda par: F.when(c(IDX) % 2 == par, c("__d"))
+        d = d.withColumns({"__d0": own(0), "__d1": own(1)})
+        f = w.rowsBetween(-(n - taps), 0)
+        new = {}
+        for name, g in (("sq", lambda x: x * x), ("ab", F.abs)):
+            mid = F.when(c(IDX) % 2 == 0, F.sum(g(c("__d0"))).over(f)).otherwise(F.sum(g(c("__d1"))).over(f))
+            new[name] = sum((g(edge(w, k)) for k in edges), mid)
+        ok = F.count(col).over(w.rowsBetween(-(n - 1), 0)) == n
+        count = n // 2 + half
+        return d.withColumns(
+            {"wavelet_energy": F.when(ok, new["sq"]), "wavelet_abs": F.when(ok, new["ab"] / count)}
+        ).drop("__d", "__d0", "__d1")
+
+    return RowOp("wavelet", (col,), n - 1, fn)
+
+
 def trend_seasonal(df: DataFrame, col: str = "mid", period: int = 24, order: Order = TICKS) -> DataFrame:
     """W27 centred-mean trend and mean detrended value per phase."""
     lo, hi = (-(period // 2), period // 2 - 1) if period % 2 == 0 else (-(period // 2), period // 2)
