@@ -48,13 +48,13 @@ def _(t):
     return shown(cx.add_context(t.ticks, _slow(t), ["day_mean", "day_volume"]), "seq Symbol", "day_mean day_volume")
 
 
-@query("j01_asof_orders", """SELECT l.o_orderkey, r.o_orderkey AS prev_order, r.o_orderdate AS prev_date FROM (SELECT * FROM orders WHERE o_orderstatus='O') l LEFT JOIN LATERAL (SELECT o_orderkey, o_orderdate FROM orders x WHERE x.o_orderstatus='F' AND x.o_custkey=l.o_custkey AND x.o_orderdate<=l.o_orderdate ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) r ON true""")
+@query("j01_asof_orders", """SELECT l.o_orderkey, coalesce(r.o_orderkey,-1) AS prev_order, r.o_orderdate AS prev_date FROM (SELECT * FROM orders WHERE o_orderstatus='O') l LEFT JOIN LATERAL (SELECT o_orderkey, o_orderdate FROM orders x WHERE x.o_orderstatus='F' AND x.o_custkey=l.o_custkey AND x.o_orderdate<=l.o_orderdate ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) r ON true""")
 def _(t):
     o = t.orders
     left = o.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "o_orderdate")
     right = o.where("o_orderstatus = 'F'").select("o_custkey", c("o_orderdate").alias("d"), c("o_orderkey").alias("prev_order"))
     order = Order(("o_custkey",), "o_orderdate", ("o_orderkey",), 365 * 86_400)
-    return asof_join(left, right, ["prev_order"], "d", ["prev_order"], order, keep_ts="prev_date").select("o_orderkey", "prev_order", "prev_date")
+    return asof_join(left, right, ["prev_order"], "d", ["prev_order"], order, keep_ts="prev_date").fillna(-1, ["prev_order"]).select("o_orderkey", "prev_order", "prev_date")
 
 
 @query("j02_lookup", with_(TICKS_SQL) + f"""SELECT t.seq, {rr('impact=p.v')} FROM t LEFT JOIN (SELECT event_type s, ts, value/100 v FROM events WHERE user_id%2=0) p ON p.s=t."Symbol" AND p.ts=t."Timestamp" """)
@@ -168,16 +168,16 @@ def _(t):
 EV = """e AS (SELECT "Symbol", "Timestamp" ts FROM t WHERE "Volume">97)"""
 
 
-@query("j16_nearest_event", with_(TICKS_SQL, EV) + f"""SELECT seq, {rr('minutes_to_event=nt','minutes_from_event=lt','nearest_news_minutes=least(abs(nt),abs(lt))')}, CAST(coalesce(nt>=0 AND nt<=60,false) AS INT) AS upcoming_red_news FROM (SELECT t.seq, (SELECT epoch_us(min(ts)) FROM e WHERE e."Symbol"=t."Symbol" AND e.ts>=t."Timestamp")/60e6-epoch_us(t."Timestamp")/60e6 nt, epoch_us(t."Timestamp")/60e6-(SELECT epoch_us(max(ts)) FROM e WHERE e."Symbol"=t."Symbol" AND e.ts<=t."Timestamp")/60e6 lt FROM t)""")
+@query("j16_nearest_event", with_(TICKS_SQL, EV) + f"""SELECT seq, {rr('minutes_to_event=nt','minutes_from_event=lt','nearest_news_minutes=least(abs(nt),abs(lt))', nd=None)}, CAST(coalesce(nt>=0 AND nt<=60,false) AS INT) AS upcoming_red_news FROM (SELECT t.seq, ((SELECT epoch_us(min(ts)) FROM e WHERE e."Symbol"=t."Symbol" AND e.ts>=t."Timestamp")-epoch_us(t."Timestamp"))/60e6 nt, (epoch_us(t."Timestamp")-(SELECT epoch_us(max(ts)) FROM e WHERE e."Symbol"=t."Symbol" AND e.ts<=t."Timestamp"))/60e6 lt FROM t)""")
 def _(t):
     e = t.ticks.where("Volume > 97").select("Symbol", c("Timestamp").alias("event_ts"))
-    return shown(cx.event_distance(t.ticks, e), "seq upcoming_red_news", "minutes_to_event minutes_from_event nearest_news_minutes")
+    return shown(cx.event_distance(t.ticks, e), "seq upcoming_red_news", "minutes_to_event minutes_from_event nearest_news_minutes", None)
 
 
-@query("j16_first_event", with_(TICKS_SQL, EV, "f AS (SELECT min(ts) e FROM e)") + f"""SELECT seq, {rr('minutes_to_event=(epoch_us(f.e)-epoch_us(t."Timestamp"))/60e6')}, CAST((epoch_us(f.e)-epoch_us(t."Timestamp"))/60e6 BETWEEN 0 AND 60 AS INT) AS upcoming_red_news FROM t, f""")
+@query("j16_first_event", with_(TICKS_SQL, EV, "f AS (SELECT min(ts) e FROM e)") + f"""SELECT seq, {rr('minutes_to_event=(epoch_us(f.e)-epoch_us(t."Timestamp"))/60e6', nd=None)}, CAST((epoch_us(f.e)-epoch_us(t."Timestamp"))/60e6 BETWEEN 0 AND 60 AS INT) AS upcoming_red_news FROM t, f""")
 def _(t):
     e = t.ticks.where("Volume > 97").select("Symbol", c("Timestamp").alias("event_ts"))
-    return shown(cx.event_distance(t.ticks, e, first_only=True), "seq upcoming_red_news", "minutes_to_event")
+    return shown(cx.event_distance(t.ticks, e, first_only=True), "seq upcoming_red_news", "minutes_to_event", None)
 
 
 KG = """co AS (SELECT c_name company, n_name currency, c_mktsegment sector FROM customer JOIN nation ON n_nationkey=c_nationkey), ev AS (SELECT s_suppkey id, n_name currency FROM supplier JOIN nation ON n_nationkey=s_nationkey)"""
@@ -335,7 +335,7 @@ def _(t):
     return t.orders.select(c("o_orderkey").alias("id"), tx.importance_name(x).alias("name"), tx.importance_weight(x).alias("weight"))
 
 
-EFF = f"""f1 AS (SELECT id, title, {FS} se, CASE WHEN regexp_matches(lower(title),'merger|long-term') THEN 1 ELSE 0 END st, CASE WHEN regexp_matches(lower(title),'earnings|quarter|loss') THEN 1 ELSE 0 END md, CASE WHEN regexp_matches(lower(title),'rumor|note') THEN 1 ELSE 0 END sh FROM hd),
+EFF = f"""f1 AS (SELECT id, title, {FS} se, CASE WHEN regexp_matches(lower(title),'merger|long-term|ban') THEN 1 ELSE 0 END st, CASE WHEN regexp_matches(lower(title),'earnings|quarter|loss') THEN 1 ELSE 0 END md, CASE WHEN regexp_matches(lower(title),'rumor|note') THEN 1 ELSE 0 END sh FROM hd),
  f2 AS (SELECT *, greatest(0.5, least(greatest(0.3+0.4*st+0.2*md-0.2*sh,0.05),1)) im, least(greatest(0.6*st+0.25*md-0.35*sh,-0.6),1) bi FROM f1),
  f3 AS (SELECT *, least(greatest((45+110*im+180*abs(se))*least(greatest(1+0.35*bi,0.6),1.8)*1.15,15),720) mi FROM f2), f4 AS (SELECT *, tanh(mi/180) sc, least(abs(se)*(0.55+0.25*tanh(mi/180)+0.2*im),1) sv FROM f3)"""
 

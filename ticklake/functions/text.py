@@ -171,20 +171,3 @@ def observation_map(payload: Column, path: str) -> Column:
 def word_slot(word: Column, dim: int = 32) -> Column:
     """Slot of a word: its MD5 modulo ``dim`` (a power of two up to 256)."""
     return (F.conv(F.substring(F.md5(F.lower(word)), 31, 2), 16, 10).cast("int") % dim).cast("int")
-
-
-def hashed_embedding(text: Column, dim: int = 32) -> Column:
-    """X23 normalised word counts by hash slot."""
-    slots = F.transform(words(text), lambda w: word_slot(w, dim))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / F.nullif(norm, F.lit(0.0))).otherwise(0.0))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def angular_similarity(a: Column, b: Column) -> Column:
-    """X23 1 - half the distance of two unit vectors."""
-    return 1 - F.sqrt(F.greatest(2 - 2 * dot(a, b), F.lit(0.0))) / 2

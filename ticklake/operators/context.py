@@ -88,10 +88,9 @@ def windows_by_currency(windows: DataFrame, symbols: DataFrame) -> DataFrame:
     return cur.join(parts, "__c").select("start", "end", "Symbol").distinct()
 
 
-def name_parts(name: Column, size: int = 3) -> Column:
+def name_parts(name: Column) -> Column:
     """All three-letter pieces of a name: currency codes in it are found by an equi join."""
-    last = F.greatest(F.length(name) - size + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.upper(name), i, F.lit(size))))
+    return _pieces(F.upper(name))
 
 
 def join_on_time(df: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
@@ -116,18 +115,27 @@ def statements_and_ratios(statements: DataFrame, ratios: DataFrame, macro: DataF
     return d if macro is None else d.join(macro, "Date", "left")
 
 
-def keyword_matches(texts: DataFrame, keywords: DataFrame, text: str = "text", row_id: str = "id") -> DataFrame:
+def keyword_matches(texts: DataFrame, keywords: DataFrame, text: str = "text", row_id: str = "id", max_listed: int = 500) -> DataFrame:
     """J13 (id, symbol) where the lower-cased text contains one of the symbol's keywords.
 
-    Keywords and texts meet on shared three-letter pieces: a keyword is looked
-    up by its first piece, then tested.  Keywords under three letters are
-    tested against every text through one pattern.
+    A short keyword list (checked) is tested in one pass over the texts.  A
+    longer one meets them by an equi join on three-letter pieces.
     """
     low = texts.select(row_id, F.lower(text).alias("__t"))
     kw = keywords.select("symbol", F.lower(F.trim("keyword")).alias("__k")).where("__k <> ''").distinct()
-    grams = low.withColumn("__g", F.explode(_pieces(c("__t"))))
+    few = kw.limit(max_listed + 1).collect()
+    if len(few) <= max_listed:
+        if not few:
+            return low.select(row_id, F.lit("").alias("symbol")).limit(0)
+        listed = F.array(*[F.struct(F.lit(r["symbol"]).alias("s"), F.lit(r["__k"]).alias("k")) for r in few])
+        found = F.filter(listed, lambda x: F.contains(c("__t"), x["k"]))
+        return low.select(row_id, F.explode(F.array_distinct(F.transform(found, lambda x: x["s"]))).alias("symbol"))
+    grams = low.select(row_id, F.explode(_pieces(c("__t"))).alias("__g"))  # ids and pieces only
     long_ = kw.where(F.length("__k") >= 3).withColumn("__g", F.substring("__k", 1, 3))
-    hits = grams.join(long_, "__g").where(F.contains(c("__t"), c("__k"))).select(row_id, "symbol")
+    found = grams.join(long_, "__g").select(row_id, "symbol", "__k")
+    hits = found.where(F.length("__k") == 3).select(row_id, "symbol")
+    tested = found.where(F.length("__k") > 3).join(low, row_id).where(F.contains(c("__t"), c("__k")))
+    hits = hits.unionByName(tested.select(row_id, "symbol"))
     short = kw.where(F.length("__k") < 3).groupBy("symbol").agg(F.collect_set("__k").alias("__ks"))
     tiny = [r for r in short.limit(1001).collect()]  # one- and two-letter words: a bounded vocabulary
     if len(tiny) > 1000:
@@ -141,8 +149,8 @@ def keyword_matches(texts: DataFrame, keywords: DataFrame, text: str = "text", r
 
 
 def _pieces(text: Column) -> Column:
-    last = F.greatest(F.length(text) - 2, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(3))))
+    """Distinct overlapping three-letter pieces, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def ticker_matches(symbols: DataFrame, tickers: DataFrame) -> DataFrame:

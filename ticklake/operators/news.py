@@ -121,6 +121,12 @@ def embed_long(df: DataFrame, text: str = "text", row_id: str = "id", dim: int =
     return n.join(norm, row_id).select(row_id, "slot", (c("__n") / c("__l")).alias("weight"))
 
 
+def _vectors(df: DataFrame, text: str, row_id: str, dim: int) -> DataFrame:
+    """(id, v) with the used slots of every text; texts without words have none."""
+    cells = embed_long(df, text, row_id, dim).groupBy(row_id).agg(F.collect_list(F.struct("slot", "weight")).alias("v"))
+    return df.select(row_id).join(cells, row_id, "left")
+
+
 def similar_events(
     events: DataFrame, queries: DataFrame, k: int = 5, text: str = "text", row_id: str = "id", query_id: str = "qid", max_queries: int = 100_000
 ) -> DataFrame:
@@ -133,14 +139,23 @@ def similar_events(
     import numpy as np
     import pandas as pd
 
-    q = queries.select(query_id, tx.hashed_embedding(c(text)).alias("v"))
+    dim = 32
+
+    def dense(cells) -> np.ndarray:
+        m = np.zeros((len(cells), dim))
+        for i, row in enumerate(cells):
+            for cell in row if row is not None else ():
+                m[i, cell["slot"]] = cell["weight"]
+        return m
+
+    q = _vectors(queries, text, query_id, dim)
     rows = q.limit(max_queries + 1).collect()
     if len(rows) > max_queries:
         raise ValueError(f"more than {max_queries} queries: split them into several calls")
     ids = np.array([r[0] for r in rows])
-    mat = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+    mat = dense([r[1] for r in rows])
     shared = events.sparkSession.sparkContext.broadcast((ids, mat))
-    emb = events.select(row_id, tx.hashed_embedding(c(text)).alias("v"))
+    emb = _vectors(events, text, row_id, dim)
     schema = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {row_id} {emb.schema[row_id].dataType.simpleString()}, similarity double"
 
     def best(batches):
@@ -149,7 +164,7 @@ def similar_events(
         for pdf in batches:
             if not len(pdf):
                 continue
-            m = np.array(pdf["v"].tolist(), dtype=float)
+            m = dense(pdf["v"].tolist())
             sim = np.round(1 - np.sqrt(np.maximum(2 - 2 * (m @ qm.T), 0.0)) / 2, 12)
             kk = min(k, len(pdf))
             rid = pdf[row_id].to_numpy()

@@ -54,3 +54,11 @@ def checkpoint(df):
     """Cut the lineage of ``df`` through the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see, beside the checkpoints."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
