@@ -105,13 +105,13 @@ def _position_machine(k_long: float, k_short: float, trail: float, take_trail: f
     entry range, best price, armed flag.
     """
 
-    def below(x: float, share: float) -> float:
-        return x - abs(x) * share
+    def below(x: float, share: float, side: float) -> float:
+        return x * (1 - side * share)
 
     def stop_level(side, entry, reach, best):
-        levels = [side * entry - reach, below(best, trail)]
+        levels = [side * entry - reach, below(best, trail, side)]
         if max_loss > 0:
-            levels.append(below(side * entry, max_loss))
+            levels.append(below(side * entry, max_loss, side))
         return max(levels)
 
     def run(state, rows):
@@ -134,7 +134,7 @@ def _position_machine(k_long: float, k_short: float, trail: float, take_trail: f
             stop = stop_level(side, entry, reach, best)
             if not armed and now >= side * entry + reach:
                 armed, best = 1.0, now
-            leave = now <= stop or (armed and now <= below(best, take_trail))
+            leave = now <= stop or (armed and now <= below(best, take_trail, side))
             if leave:
                 out.append((-side, None, None))
                 side, entry, rng, best, armed = 0.0, 0.0, 0.0, 0.0, 0.0
