@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, full, linear_scan, rolling, running
+from ..plans.ordered import IDX, TICKS, Order, full, linear_scan, rolling, row_index, running
 from .base import RowOp, crossing, flag, nz, price_col, safe_div, sign_int
 
 c = F.col
@@ -138,6 +138,16 @@ def vwap(df: DataFrame, out: str, price: str = "mid", volume: str = "Volume", an
     return d.withColumn(out, safe_div(c("__pv"), c("__v"))).drop("__pv", "__v")
 
 
+def anchored_vwaps(df: DataFrame, price: str = "mid", volume: str = "Volume", ts: str = "Timestamp", order: Order = TICKS) -> DataFrame:
+    """W08 by day and by session of the day, with the sign of their difference."""
+    from ..functions.market import session
+
+    d = df.withColumn("__day", F.to_date(ts)).withColumn("__ses", F.coalesce(session(ts), F.lit("other")))
+    d = vwap(d, "vwap_day", price, volume, ("__day",), order)
+    d = vwap(d, "vwap_session", price, volume, ("__day", "__ses"), order)
+    return d.withColumn("vwap_cross", sign_int(F.round(c("vwap_session") - c("vwap_day"), 9))).drop("__day", "__ses")
+
+
 def donchian(col: str = "mid", n: int = 20) -> RowOp:
     """W10 channel and break against the channel of the row before."""
 
@@ -237,6 +247,48 @@ def kalman_ma(df: DataFrame, close="Close", q=1e-5, r=1e-2, order: Order = TICKS
     return _price_cross(d, close, "kma", "kma_cross", order)
 
 
+def kalman_smooth(df: DataFrame, col: str = "mid", q: float = 1e-2, r: float | None = None, order: Order = TICKS) -> DataFrame:
+    """W14 Kalman price and volatility; the noise defaults to the variance of the changes of the key.
+
+    Gains follow from the noise and the row number, so they are worked out once
+    per key, up to where they settle.
+    """
+    keys = list(order.keys)
+    d = rolling(df, lambda d, w: d.withColumn("__ch", c(col) - prev(col, w)), 1, 0, order)
+    noise = F.var_samp("__ch") if not r else F.lit(float(r))
+    per_key = d.groupBy(*keys).agg(F.coalesce(nz(noise), F.lit(1.0)).alias("__r"))
+
+    def paths(noises):
+        import pandas as pd
+
+        out = []
+        for x in noises:
+            p, gains, roots = 1.0, [1.0], [1.0]
+            for _ in range(100_000):
+                lead = p + q
+                k = lead / (lead + x)
+                p = (1 - k) * lead
+                if k == gains[-1]:
+                    break
+                gains.append(k)
+                roots.append(math.sqrt(p))
+            out.append((gains, roots))
+        return pd.DataFrame(out, columns=["g", "s"])
+
+    import pandas as pd
+
+    paths.__annotations__ = {"noises": pd.Series, "return": pd.DataFrame}
+    steps = F.pandas_udf(paths, "g array<double>, s array<double>")
+    per_key = per_key.withColumn("__k", steps(c("__r")))
+    early = per_key.select(*keys, F.posexplode(F.arrays_zip("__k.g", "__k.s")).alias("__i", "__e"))
+    early = early.select(*keys, c("__i").cast("long").alias(IDX), c("__e.g").alias("__ge"), c("__e.s").alias("__se"))
+    settled = per_key.select(*keys, F.element_at("__k.g", -1).alias("__gl"), F.element_at("__k.s", -1).alias("__sl"))
+    d = row_index(d.drop("__ch"), order).join(early, [*keys, IDX], "left").join(settled, keys).drop(IDX)
+    d = d.withColumn("__g", F.coalesce("__ge", "__gl")).withColumn("kalman_volatility", F.coalesce("__se", "__sl"))
+    d = d.drop("__ge", "__gl", "__se", "__sl")
+    return linear_scan(d, {"kalman_price": (1 - c("__g"), c("__g") * c(col))}, order).drop("__g")
+
+
 def supertrend(df: DataFrame, n=10, mult=3.0, high="High", low="Low", close="Close", order: Order = TICKS) -> DataFrame:
     """W15 SuperTrend.  The side is the last band break seen, so no loop is needed."""
 
