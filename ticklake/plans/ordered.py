@@ -23,6 +23,7 @@ rows within a key unique.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
@@ -31,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint
+
 BKT = "__bkt"
 IDX = "__idx"
 BLK = "__blk"
@@ -97,10 +100,26 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(small, keys) if keys else with_row(df, small)
 
 
+_SHUFFLING = re.compile(r"\b(Window|Join|Aggregate|FlatMapGroupsInPandas|Distinct|Sort)\b")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder if its plan already shuffles.
+
+    The directory of bucket counts or totals reads the input a second time.
+    On a scan that is two columns; on the result of other operators it would
+    run all of them again, and double with every operator of a chain.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return checkpoint(df) if _SHUFFLING.search(plan) else df
+
+
 def row_index(df: DataFrame, order: Order = TICKS, out: str = IDX) -> DataFrame:
     """Add the dense 0-based row number within the key."""
     keys = list(order.keys)
-    rows = df.withColumn(BKT, order.bucket())
+    rows = stage(df).withColumn(BKT, order.bucket())
     counts = rows.groupBy(*keys, BKT).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -166,7 +185,7 @@ def running(
     current row out.
     """
     keys = list(order.keys)
-    rows = df.withColumn(BKT, order.bucket())
+    rows = stage(df).withColumn(BKT, order.bucket())
     for name, (_, expr) in outs.items():
         rows = rows.withColumn(f"__x_{name}", expr)
     place = F.struct(*[F.col(c) for c in (order.ts, *order.tie)])

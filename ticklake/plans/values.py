@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Order, attach, running
+from .ordered import Order, attach, running, stage
 
 VB = "__vb"
 
@@ -56,7 +56,7 @@ def exact_quantiles(
     keys = list(keys)
     v = F.col(col).cast("double")
     eps = 3.0 / accuracy
-    data = df.where(F.col(col).isNotNull()).select(*keys, v.alias("__v"))
+    data = stage(df.where(F.col(col).isNotNull()).select(*keys, v.alias("__v")))
     lows = F.array(*[F.lit(max(p - eps, 0.0)) for p in probs])
     highs = F.array(*[F.lit(min(p + eps, 1.0)) for p in probs])
     sketch = data.groupBy(*keys).agg(

@@ -50,15 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared)
 
 
-def checkpoint(df):
-    """Cut the lineage of ``df`` through the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors see, beside the checkpoints."""
     import uuid
 
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+
+
+def checkpoint(df):
+    """Cut the lineage of ``df``: a table written to the shared folder and read back.
+
+    Unlike an RDD checkpoint this runs the plan once and stays columnar.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
