@@ -83,17 +83,16 @@ def _(t):
     return shown(pr.top_pairs(_pairs(t, False), 4), "a b", "corr")
 
 
-COH = f"""q AS (SELECT *, CASE WHEN row_number() OVER ({PW})>=64 THEN list(x) OVER w END lx, CASE WHEN row_number() OVER ({PW})>=64 THEN list(y) OVER w END ly FROM pl WHERE a='click' AND b<>'x' WINDOW w AS ({PW} ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)),
+COH = f"""q AS (SELECT *, CASE WHEN row_number() OVER ({PW})>=64 THEN list(x) OVER w END lx, CASE WHEN row_number() OVER ({PW})>=64 THEN list(y) OVER w END ly FROM pl WINDOW w AS ({PW} ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)),
  ct AS (SELECT *, [v-list_avg(lx) FOR v IN lx] cx, [v-list_avg(ly) FOR v IN ly] cy FROM q WHERE lx IS NOT NULL),
  ft AS (SELECT a, b, "Timestamp", unnest(range(0,33)) k, cx, cy FROM ct),
  fv AS (SELECT a, b, "Timestamp", k, list_sum([cx[j]*cos(2*pi()*k*(j-1)/64) FOR j IN range(1,65)]) xr, -list_sum([cx[j]*sin(2*pi()*k*(j-1)/64) FOR j IN range(1,65)]) xi, list_sum([cy[j]*cos(2*pi()*k*(j-1)/64) FOR j IN range(1,65)]) yr, -list_sum([cy[j]*sin(2*pi()*k*(j-1)/64) FOR j IN range(1,65)]) yi FROM ft),
  fs AS (SELECT a, b, "Timestamp", power(sum(xr*yr+xi*yi),2)+power(sum(xr*yi-xi*yr),2) num, sum(xr*xr+xi*xi)*sum(yr*yr+yi*yi) den FROM fv GROUP BY 1,2,3)"""
 
 
-@query("w33_coherence", with_(HOURLY_SQL, PAIRS, COH) + f"SELECT pl.a, pl.b, pl.\"Timestamp\", {rr('coherence=CASE WHEN den=0 THEN 0 ELSE num/den END')} FROM pl LEFT JOIN fs USING (a, b, \"Timestamp\") WHERE a='click'")
+@query("w33_coherence", with_(HOURLY_SQL, PAIRS, COH) + f"SELECT pl.a, pl.b, pl.\"Timestamp\", {rr('coherence=CASE WHEN den=0 THEN 0 ELSE num/den END')} FROM pl LEFT JOIN fs USING (a, b, \"Timestamp\")")
 def _(t):
-    d = _pairs(t).where(c("a") == "click")
-    return shown(pr.coherence(d, 64, PO), "a b Timestamp", "coherence")
+    return shown(pr.coherence(_pairs(t), 64, PO), "a b Timestamp", "coherence")
 
 
 @query("w34_dtw_pairs")

@@ -29,10 +29,10 @@ def _(t):
     return ranges.agg(F.sum("n").alias("n"))
 
 
-@query("m02_regimes", with_(TICKS_SQL) + "SELECT seq FROM t WHERE \"Symbol\"='click'")
+@query("m02_regimes", with_(TICKS_SQL) + "SELECT seq FROM t")
 def _(t):
-    d = t.ticks.where("Symbol = 'click'")
-    n = d.count()
+    d = t.ticks
+    n = d.groupBy("Symbol").count().agg(F.max("count")).first()[0]
     return ml.regimes(d, ["mid", "Volume"], 3, max(n // 4, 1)).where(c("regime").between(0, 2)).select("seq")
 
 
