@@ -8,6 +8,7 @@ from ..operators import indicators as ind, labels as lab, quality as q
 from ..operators.base import apply_together
 from ..session import shared_folder
 from ..streaming import ticks as st
+from .quality import F04
 from .common import QUOTES_SQL, TICKS_SQL, W, full_sql, query, rr, shown, with_
 
 c = F.col
@@ -51,7 +52,7 @@ def _(t):
     return t.spark.read.parquet(out).select("seq", "direction_5")
 
 
-@query("t04_stream_filter")
+@query("t04_stream_filter", "WITH RECURSIVE " + QUOTES_SQL + ", " + F04 + ' SELECT s.seq, s."Symbol" FROM s JOIN r ON s."Symbol"=r."Symbol" AND s.i=r.i WHERE r.ok')
 def _(t):
     return _run(t, st.filter_stream(_arrive(t)).select("seq", "Symbol"))
 
