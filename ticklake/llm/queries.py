@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import QUERIES, SQL, query, table
+from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .packing import packed_documents
+from .token_counts import token_counts
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -25,3 +30,26 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
 def op9(spark, sf_dir):
     """Near-duplicate components over 4-word shingles, similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+_EXACT_SQL = """SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+
+@query("op7_exact_dedup", _EXACT_SQL)
+def op7(spark, sf_dir):
+    """Exact duplicates of whole texts up to white space."""
+    _, verdicts = exact_duplicates(table(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    """All documents as sequences of at most 4096 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_counts")
+def op3(spark, sf_dir):
+    """Token counts of all documents."""
+    return token_counts(table(spark, sf_dir, "documents"))
