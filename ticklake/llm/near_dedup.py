@@ -130,7 +130,26 @@ def _pairs(df: DataFrame, x: str, y: str, nx: str, ny: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(nx).alias("na"), F.col(ny).alias("nb"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 28, rows: int = 4) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b, na, nb)`` of ``rest(node, component, n, hashes)`` in different components that can be similar enough.
+
+    With the hashes of every set in one order, rare ones first, two sets at the
+    threshold share one of their first ``n - ceil(percent n / 100) + 1``.  Hashes of one
+    set alone come first and pair with nothing, so only shared ones are placed.
+    Where one component holds most sets with a hash, only the others look for partners.
+    """
+    each = keep(rest.select("node", "component", "n", F.explode("hashes").alias("h")))
+    shared = each.groupBy("h").agg(F.count("*").alias("c"), (F.min("component") < F.max("component")).alias("mixed")).where("c > 1")
+    own = each.join(shared, "h").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h", "mixed"))).alias("x"))
+    first = F.greatest(F.lit(0), F.expr(f"cast(floor((100 - {percent}) * n / 100) as int) + 1 - (cast(n as int) - size(x))"))
+    post = keep(own.select("node", "component", "n", F.explode(F.slice("x", F.lit(1), first)).alias("e")).where("e.mixed").select(F.col("e.h").alias("h"), "node", "component", "n"))
+    most = post.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
+    few = keep(post.join(most, "h").where("component != most").select("h", *[F.col(c).alias(f"{c}x") for c in ("node", "component", "n")]))
+    pairs = few.join(post.withColumnsRenamed({c: f"{c}y" for c in ("node", "component", "n")}), "h").where("componentx != componenty")
+    return _pairs(pairs, "nodex", "nodey", "nx", "ny")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     Two documents are linked if ``100 * intersection >= percent * union`` holds
@@ -142,12 +161,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     2. In every bucket with company the class that sits in the fullest buckets is
        the centre; the others are compared with it alone (a star, not all
        pairs).  Links are confirmed on whole sets.
-    3. Classes of one bucket that the stars left in different components, and of
-       which none was the centre, are compared as well.  So every pair that shares
-       a bucket is either in one component or compared: a star loses no link.
+    3. Classes of one bucket that the stars left in different components are the
+       rest.  Among these, pairs in different components that share one of their
+       rarest hashes (no pair at the threshold can fail to) are compared as well.
+       So every similar pair that shares a bucket is in one component or
+       compared: a star loses no link.
 
-    With ``rows=4, bands=28`` a pair at 0.8 shares no bucket with a chance of
-    4e-7, and less above.
+    With ``rows=5, bands=36`` a pair at 0.8 shares no bucket with a chance of
+    6e-7, and less above.
 
     Null or blank text: an empty set, linked with nothing, its own component.
     Rows without id: component null, kept.  Rows that repeat an id count as one
@@ -178,12 +199,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     links = keep(confirmed(stars))
     found = keep(components(links))
 
-    part = keep(spokes.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")))
-    open_ = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    part = keep(part.join(open_.select("key"), "key"))
-    x, y = part.select("key", *[F.col(c).alias(f"{c}x") for c in ("node", "n", "component")]), part.select("key", *[F.col(c).alias(f"{c}y") for c in ("node", "n", "component")])
-    rest = x.join(y, (x.key == y.key) & F.expr("componentx < componenty"))
-    rest = _pairs(rest, "nodex", "nodey", "nx", "ny").where(close).distinct().join(stars, ["a", "b"], "left_anti")
+    part = members.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    part = keep(part)
+    open_ = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = keep(part.join(open_, "key").select("node", "component", "n").distinct())
+    rest = _prefix_pairs(sets.join(left, "node"), percent).where(close).drop("na", "nb").distinct().join(stars, ["a", "b"], "left_anti")
     more = keep(confirmed(rest))
     if not more.isEmpty():
         found = keep(components(links.union(more)))
