@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep, mix64, random64
+from .common import arrow_map, drop_table, keep, mix64, random64
 from .components import components
 
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
@@ -130,26 +131,65 @@ def _pairs(df: DataFrame, x: str, y: str, nx: str, ny: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(nx).alias("na"), F.col(ny).alias("nb"))
 
 
-def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b, na, nb)`` of ``rest(node, component, n, hashes)`` in different components that can be similar enough.
+def _rare_shared(rest: DataFrame, percent: int) -> DataFrame:
+    """``h, node``: the hashes through which sets of different components can be similar enough.
 
     With the hashes of every set in one order, rare ones first, two sets at the
     threshold share one of their first ``n - ceil(percent n / 100) + 1``.  Hashes of one
     set alone come first and pair with nothing, so only shared ones are placed.
-    Where one component holds most sets with a hash, only the others look for partners.
     """
     each = keep(rest.select("node", "component", "n", F.explode("hashes").alias("h")))
     shared = each.groupBy("h").agg(F.count("*").alias("c"), (F.min("component") < F.max("component")).alias("mixed")).where("c > 1")
-    own = each.join(shared, "h").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h", "mixed"))).alias("x"))
+    own = each.join(shared, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h", "mixed"))).alias("x"))
     first = F.greatest(F.lit(0), F.expr(f"cast(floor((100 - {percent}) * n / 100) as int) + 1 - (cast(n as int) - size(x))"))
-    post = keep(own.select("node", "component", "n", F.explode(F.slice("x", F.lit(1), first)).alias("e")).where("e.mixed").select(F.col("e.h").alias("h"), "node", "component", "n"))
-    most = post.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    few = keep(post.join(most, "h").where("component != most").select("h", *[F.col(c).alias(f"{c}x") for c in ("node", "component", "n")]))
-    pairs = few.join(post.withColumnsRenamed({c: f"{c}y" for c in ("node", "component", "n")}), "h").where("componentx != componenty")
-    return _pairs(pairs, "nodex", "nodey", "nx", "ny")
-
-
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
+    post = keep(own.select("node", F.explode(F.slice("x", F.lit(1), first)).alias("e")).where("e.mixed").select(F.col("e.h").alias("h"), "node"))
+    drop_table(each)
+    return post
+
+
+def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the sets of two blocks that lie in different components."""
+    n, part, block, node = (pdf[c].to_numpy() for c in ("n", "component", "block", "node"))
+    owner = np.repeat(np.arange(len(n)), n)
+    _, column, times = np.unique(np.concatenate(pdf["hashes"].to_list()), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # the others are in no intersection
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((len(n), len(n)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        x = np.zeros((len(n), 4096), np.float32)
+        x[owner[lo:hi], column[lo:hi] - at] = 1
+        both += x @ x.T
+    union = n[:, None] + n[None, :] - both
+    linked = (100 * both >= percent * union) & (part[:, None] != part[None, :]) & (node[:, None] < node[None, :])
+    i, j = np.nonzero(linked)
+    return pd.DataFrame({"a": node[i], "b": node[j]})
+
+
+def _blockwise(sets: DataFrame, left: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """Links ``(a, b)`` among ``left(node, component, n)`` across components.
+
+    Sets that meet through rare shared hashes form families, cut into blocks of
+    about ``block_rows`` sets.  Two blocks are compared, in one task, if a
+    hash meets in both; only links come out.
+    """
+    post = _rare_shared(sets.join(left, "node"), percent)
+    least = post.groupBy("h").agg(F.min("node").alias("b"))
+    family = components(post.join(least, "h").select(F.col("node").alias("a"), "b"))
+    family = keep(family.withColumnRenamed("component", "family"))
+    size = family.groupBy("family").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    block = keep(family.join(size, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), "blocks")).alias("block")))
+    at = keep(post.join(block, "node").select("h", "block").distinct())
+    meet = at.select("h", F.col("block").alias("x")).join(at.select("h", F.col("block").alias("y")), "h").where("x <= y").select("x", "y").distinct()
+    meet = keep(meet)
+    sides = meet.select("x", "y", F.col("x").alias("block")).union(meet.where("x < y").select("x", "y", F.col("y").alias("block")))
+    rows = sets.join(left, "node").join(block, "node").join(sides, "block")
+    return rows.select("x", "y", "block", "node", "component", "n", "hashes").groupBy("x", "y").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, block_rows: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     Two documents are linked if ``100 * intersection >= percent * union`` holds
@@ -162,8 +202,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
        the centre; the others are compared with it alone (a star, not all
        pairs).  Links are confirmed on whole sets.
     3. Classes of one bucket that the stars left in different components are the
-       rest.  Among these, pairs in different components that share one of their
-       rarest hashes (no pair at the threshold can fail to) are compared as well.
+       rest.  Among these, sets of different components that share one of their
+       rarest hashes (no pair at the threshold can fail to) are compared as well, in
+       blocks of ``block_rows``.
        So every similar pair that shares a bucket is in one component or
        compared: a star loses no link.
 
@@ -185,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     spokes = keep(ranked.join(centre.select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("cn")), "key").where("node != centre").select("key", "node", "n", "centre", "cn"))
 
     close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else the sets cannot be similar enough
-    stars = keep(_pairs(spokes, "node", "centre", "n", "cn").where(close).distinct())
+    stars = _pairs(spokes, "node", "centre", "n", "cn").where(close).distinct()
     crowd = keep(members.select("node").distinct().join(classes.select("node", F.col("digest").alias("own")), "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowd, "node")
     sets = keep(shingle_sets(texts, words))
@@ -203,12 +244,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     part = keep(part)
     open_ = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = keep(part.join(open_, "key").select("node", "component", "n").distinct())
-    rest = _prefix_pairs(sets.join(left, "node"), percent).where(close).drop("na", "nb").distinct().join(stars, ["a", "b"], "left_anti")
-    more = keep(confirmed(rest))
+    more = keep(_blockwise(sets, left, percent, block_rows))
     if not more.isEmpty():
         found = keep(components(links.union(more)))
 
-    named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(keep(named), "digest", "left")
+    named = keep(classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
+    for t in (classes, members, ranked, spokes, sets, part):
+        drop_table(t)
+    out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     of = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", of.alias("component_id"), F.coalesce(of == F.col("doc_id"), F.lit(True)).alias("kept"))
