@@ -37,6 +37,10 @@ class Shingler:
         self.down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, inverse, np.uint64))))
 
     def __call__(self, text: bytes) -> np.ndarray:
+        return np.unique(self.ordered(text))
+
+    def ordered(self, text: bytes) -> np.ndarray:
+        """Hashes of the shingles as they follow each other."""
         tokens = text.translate(_LOWER).split()
         k = min(self.words, len(tokens))
         if not k:
@@ -53,7 +57,7 @@ class Shingler:
             start = np.cumsum(length + 1) - length - 1
             first, last = start[: len(part) - k + 1], (start + length)[k - 1 :]
             out.append((sums[last] - sums[first]) * self.down[first])
-        return np.unique(mix64(np.concatenate(out)))
+        return mix64(np.concatenate(out))
 
 
 class Sketcher:

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import QUERIES, SQL, query, table
+from .chat import borrowed_pairs, preferences
+from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import packed_documents
+from .quality import quality_scores
+from .sharding import described, sharded
 from .token_counts import token_counts
+from .toxicity import severities
+from .url_filters import judged
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -53,3 +59,79 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     """Token counts of all documents."""
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    """Benchmark items found in the documents."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    """Expected severity of all documents."""
+    return severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_CHAT_SQL = """
+WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS a FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+l AS (SELECT conv_id, a, list_max([i for i in range(1, len(a) + 1) if a[i].role = 'assistant']) AS last FROM c),
+o AS (SELECT xor(conv_id, 1) AS conv_id, coalesce(a[last].text, '') AS other FROM l WHERE last IS NOT NULL),
+p AS (SELECT conv_id, last IS NOT NULL AS whole, a[:coalesce(last, len(a))] AS ch,
+ CASE WHEN last IS NOT NULL THEN list_append(a[:last - 1], {'role': 'assistant', 'text': coalesce(other, '')}) ELSE [] END AS rj FROM l LEFT JOIN o USING (conv_id)),
+d AS (SELECT *, coalesce(list_min([i for i in range(1, least(len(ch), len(rj)) + 1) if ch[i] IS DISTINCT FROM rj[i]]) - 1, least(len(ch), len(rj))) AS lcp FROM p),
+n AS (SELECT *, CASE WHEN whole THEN greatest(least(lcp, least(len(ch), len(rj)) - 1), 0) ELSE len(ch) END AS n FROM d),
+r AS (SELECT conv_id, whole, n, lcp, len(ch) AS k, ch[:n] AS pr, CASE WHEN whole THEN ch[n + 1:] ELSE [] END AS cc, CASE WHEN whole THEN rj[n + 1:] ELSE [] END AS rr FROM n),
+s AS (SELECT *, [[length('<|' || coalesce(t.role, '') || '|>' || chr(10)), length(replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>'), CASE WHEN t.role = 'assistant' THEN 1 ELSE 0 END] for t in cc] AS cl,
+ [[length('<|' || coalesce(t.role, '') || '|>' || chr(10)), length(replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>'), CASE WHEN t.role = 'assistant' THEN 1 ELSE 0 END] for t in rr] AS rl FROM r),
+m AS (SELECT *, [coalesce(list_sum([z[1] + z[2] + 1 for z in cl[:i - 1]]), 0) + cl[i][1] for i in range(1, len(cl) + 1)] AS cs,
+ [coalesce(list_sum([z[1] + z[2] + 1 for z in rl[:i - 1]]), 0) + rl[i][1] for i in range(1, len(rl) + 1)] AS rs FROM s)
+SELECT conv_id, CASE WHEN NOT whole THEN 'incomplete' WHEN lcp = k THEN 'identical' ELSE 'pair' END AS status, n AS n_prompt,
+ array_to_string(['<|' || coalesce(t.role, '') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10) for t in pr], '') AS prompt,
+ array_to_string(['<|' || coalesce(t.role, '') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10) for t in cc], '') AS chosen_text,
+ array_to_string([CAST(cs[i] AS BIGINT) || '-' || CAST(cs[i] + cl[i][2] AS BIGINT) for i in range(1, len(cl) + 1) if cl[i][3] = 1], ',') AS chosen_mask,
+ array_to_string(['<|' || coalesce(t.role, '') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10) for t in rr], '') AS rejected_text,
+ array_to_string([CAST(rs[i] AS BIGINT) || '-' || CAST(rs[i] + rl[i][2] AS BIGINT) for i in range(1, len(rl) + 1) if rl[i][3] = 1], ',') AS rejected_mask
+FROM m"""
+
+
+@query("op5_preferences", _CHAT_SQL)
+def op5(spark, sf_dir):
+    """Preference rows of all conversations."""
+    return preferences(borrowed_pairs(table(spark, sf_dir, "conversations")))
+
+
+_URL_SQL = r"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS x FROM pages),
+tag AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM u WHERE url IS NOT NULL),
+e0 AS (SELECT url AS a, replace(CASE WHEN regexp_matches(t, '(?i)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>;]*://[^"''\s>]*)', 1)
+ WHEN regexp_matches(t, '(?i)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>;]*://[^"''\s>]*)', 1) END, '&amp;', '&') AS b FROM tag),
+e AS (SELECT a, b FROM e0 WHERE b <> '' AND a <> b UNION SELECT b, a FROM e0 WHERE b <> '' AND a <> b),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+node AS (SELECT url FROM u WHERE url IS NOT NULL UNION SELECT b FROM e),
+np AS (SELECT url, coalesce(translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(x, '^[^/?#]*([^?#]*)', 1), '') AS path
+ FROM (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS x FROM node)),
+own AS (SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM np JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
+hit AS (SELECT DISTINCT r.a AS url FROM reach r JOIN own ON own.url = r.b AND own.verdict = 'block')
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, CASE WHEN hit.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN np ON np.url = u.url LEFT JOIN own ON own.url = u.url LEFT JOIN hit ON hit.url = u.url"""
+
+
+@query("op6_url_filters", _URL_SQL)
+def op6(spark, sf_dir):
+    """Verdicts on all pages."""
+    return judged(table(spark, sf_dir, "pages")).drop("component")
+
+
+@query("op8_quality")
+def op8(spark, sf_dir):
+    """Quality scores of all documents."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_hilbert")
+def op10(spark, sf_dir):
+    """Shards of all documents, along the curve; counts at most one apart."""
+    rows = sharded(described(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
