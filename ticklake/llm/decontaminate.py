@@ -29,7 +29,7 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
-def align(item: bytes, text: bytes, band: int) -> tuple[int, int, int]:
+def align(item: bytes, text: bytes, band: int, allowed: int) -> tuple[int, int, int]:
     """``(edits, start, end)`` of the stretch of ``text`` nearest to ``item``; ``text`` begins on the lowest diagonal.
 
     Row by row over the item with the ``band`` diagonals as one array; a cell holds
@@ -46,6 +46,8 @@ def align(item: bytes, text: bytes, band: int) -> tuple[int, int, int]:
         new = cell + np.where(b[i : i + band] == c, 0, _ONE)
         np.minimum(new[:-1], cell[1:] + _ONE, out=new[:-1])
         cell = np.minimum.accumulate(new - step) + step
+        if i % 8 == 7 and cell.min() >> 32 > allowed:
+            return allowed + 1, 0, 0
     at = int(np.argmin(cell + np.arange(band)))
     return int(cell[at] >> 32), int(cell[at] & (_ONE - 1)), min(len(item) + at, len(text))
 
@@ -66,7 +68,8 @@ class Finder:
         item = np.repeat(np.arange(len(g)), [len(x) for x in g]) if g else np.empty(0, np.int64)
         place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.empty(0, np.int64)
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
+        self.item, self.place = item[order], place[order]
+        self.gram, self.start, self.times = np.unique(gram[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.slot(gram)] = True
         self.longest = int(size.max(initial=0) + self.edits.max(initial=0))
@@ -93,20 +96,29 @@ class Finder:
     def search(self, data: bytes) -> dict[int, tuple[int, int, int]]:
         g = grams(data)
         p = np.flatnonzero(self.seen[self.slot(g)])
-        lo, hi = np.searchsorted(self.gram, g[p], "left"), np.searchsorted(self.gram, g[p], "right")
-        n = hi - lo
-        if not n.any():
+        if not len(p):
             return {}
-        p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
-        row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item = self.item[row]
+        at = np.searchsorted(self.gram, g[p])
+        at[at == len(self.gram)] = 0
+        real = self.gram[at] == g[p]
+        p, at = p[real], at[real]
+        n = self.times[at]
+        row = np.repeat(self.start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, p = self.item[row], np.repeat(p, n)
+        able = (np.bincount(item, minlength=len(self.items)) >= self.needed)[item]  # else too few in all of the text
+        if not able.any():
+            return {}
+        row, item, p = row[able], item[able], p[able]
         width = self.edits[item] + 1
         base = int(self.longest)  # keeps diagonals from below zero
-        diagonal = np.repeat(p, n) - self.place[row] + base
+        diagonal = p - self.place[row] + base
         # bands of 2 (k + 1) diagonals, each overlapping half of the next: any k + 1 diagonals lie in one
         band = diagonal // width
         many = np.int64(len(data) + 2 * base + 2)
-        keys, count = np.unique(np.concatenate((item * many + band, item * many + band - 1)), return_counts=True)
+        # a place of the item counts once in a band, however often its gram comes there
+        base2 = np.int64(self.longest + 1)
+        own = np.unique(np.concatenate((item * many + band, item * many + band - 1)) * base2 + np.tile(self.place[row], 2)) // base2
+        keys, count = np.unique(own, return_counts=True)
         enough = count >= self.needed[keys // many]
         best: dict[int, tuple[int, int, int]] = {}
         for key in keys[enough]:
@@ -120,7 +132,7 @@ class Finder:
                 continue
             region = data[start : start + cols + len(own)]
             exact = region.find(own)
-            e, s, end = (0, exact, exact + len(own)) if exact >= 0 else align(own, region, cols)
+            e, s, end = (0, exact, exact + len(own)) if exact >= 0 else align(own, region, cols, allowed)
             if e <= allowed:
                 best[k] = min(best.get(k, (e, start + s, start + end)), (e, start + s, start + end))
         return best
