@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else the sets cannot be similar enough
     stars = _pairs(spokes, "node", "centre", "n", "cn").where(close).distinct()
     crowd = keep(members.select("node").distinct().join(classes.select("node", F.col("digest").alias("own")), "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowd, "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowd.hint("merge"), "node")  # the same way at every size
     sets = keep(shingle_sets(texts, words))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
