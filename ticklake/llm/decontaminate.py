@@ -29,17 +29,18 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
-def align(item: bytes, text: bytes, band: int, allowed: int) -> tuple[int, int, int]:
-    """``(edits, start, end)`` of the stretch of ``text`` nearest to ``item``; ``text`` begins on the lowest diagonal.
+def align(item: bytes, text: bytes, band: int, allowed: int, before: int = 0) -> tuple[int, int, int]:
+    """``(edits, start, end)`` of the stretch of ``text`` nearest to ``item``; ``text`` begins ``before`` places above the lowest diagonal.
 
     Row by row over the item with the ``band`` diagonals as one array; a cell holds
     edits and start column in one integer, so the least cell has the fewest edits
-    and, of those, the earliest start.
+    and, of those, the earliest start.  It ends early once no cell of a row is
+    within ``allowed`` edits.
     """
     a, pad = np.frombuffer(item, np.uint8), len(item) + band
-    b = np.full(pad, 0, np.int16)
-    b[: len(text)] = np.frombuffer(text, np.uint8)[:pad]
-    b[len(text) :] = -1
+    b = np.full(pad, -1, np.int16)
+    part = np.frombuffer(text, np.uint8)[: pad - before]
+    b[before : before + len(part)] = part
     step = np.arange(band, dtype=np.int64) * _ONE
     cell = np.arange(band, dtype=np.int64)
     for i, c in enumerate(a):
@@ -49,7 +50,8 @@ def align(item: bytes, text: bytes, band: int, allowed: int) -> tuple[int, int,
         if i % 8 == 7 and cell.min() >> 32 > allowed:
             return allowed + 1, 0, 0
     at = int(np.argmin(cell + np.arange(band)))
-    return int(cell[at] >> 32), int(cell[at] & (_ONE - 1)), min(len(item) + at, len(text))
+    start, end = int(cell[at] & (_ONE - 1)) - before, len(item) + at - before
+    return int(cell[at] >> 32), max(start, 0), min(max(end, 0), len(text))
 
 
 class Finder:
@@ -127,12 +129,11 @@ class Finder:
             first = int(key % many) * w - base - allowed
             cols = 2 * w + 2 * allowed
             start = max(first, 0)
-            cols -= start - first
-            if cols <= 0:
+            if start >= len(data):
                 continue
             region = data[start : start + cols + len(own)]
             exact = region.find(own)
-            e, s, end = (0, exact, exact + len(own)) if exact >= 0 else align(own, region, cols, allowed)
+            e, s, end = (0, exact, exact + len(own)) if exact >= 0 else align(own, region, cols, allowed, start - first)
             if e <= allowed:
                 best[k] = min(best.get(k, (e, start + s, start + end)), (e, start + s, start + end))
         return best
