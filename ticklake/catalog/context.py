@@ -48,13 +48,14 @@ def _(t):
     return shown(cx.add_context(t.ticks, _slow(t), ["day_mean", "day_volume"]), "seq Symbol", "day_mean day_volume")
 
 
-@query("j01_asof_orders", """SELECT l.o_orderkey, coalesce(r.o_orderkey,-1) AS prev_order, r.o_orderdate AS prev_date FROM (SELECT * FROM orders WHERE o_orderstatus='O') l LEFT JOIN LATERAL (SELECT o_orderkey, o_orderdate FROM orders x WHERE x.o_orderstatus='F' AND x.o_custkey=l.o_custkey AND x.o_orderdate<=l.o_orderdate ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) r ON true""")
+@query("j01_asof_orders", """SELECT l.o_orderkey, coalesce(r.o_orderkey,-1) AS prev_order, r.o_orderdate AS prev_date FROM orders l LEFT JOIN LATERAL (SELECT o_orderkey, o_orderdate FROM orders x WHERE x.o_custkey=l.o_custkey AND x.o_orderdate<l.o_orderdate ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) r ON true""")
 def _(t):
     o = t.orders
-    left = o.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "o_orderdate")
-    right = o.where("o_orderstatus = 'F'").select("o_custkey", c("o_orderdate").alias("d"), c("o_orderkey").alias("prev_order"))
+    left = o.select("o_orderkey", "o_custkey", "o_orderdate")
+    day_on = (c("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 1 SECOND")).alias("d")  # an order counts from after its own time
+    right = o.select("o_custkey", day_on, c("o_orderdate").alias("prev_date"), c("o_orderkey").alias("prev_order"))
     order = Order(("o_custkey",), "o_orderdate", ("o_orderkey",), 365 * 86_400)
-    return asof_join(left, right, ["prev_order"], "d", ["prev_order"], order, keep_ts="prev_date").fillna(-1, ["prev_order"]).select("o_orderkey", "prev_order", "prev_date")
+    return asof_join(left, right, ["prev_order", "prev_date"], "d", ["prev_order"], order).fillna(-1, ["prev_order"]).select("o_orderkey", "prev_order", "prev_date")
 
 
 @query("j02_lookup", with_(TICKS_SQL) + f"""SELECT t.seq, {rr('impact=p.v')} FROM t LEFT JOIN (SELECT event_type s, ts, value/100 v FROM events WHERE user_id%2=0) p ON p.s=t."Symbol" AND p.ts=t."Timestamp" """)
@@ -108,12 +109,12 @@ def _(t):
     return shown(cx.funding_costs(t.ticks, info), "seq", "swap_rate account_leverage")
 
 
-FEEDS = "a AS (SELECT * FROM t WHERE user_id%2=0), b AS (SELECT * REPLACE (mid+1 AS mid) FROM t WHERE user_id%3=0)"
+FEEDS = "a AS (SELECT * FROM t WHERE user_id%2=0), b AS (SELECT * REPLACE (mid+1 AS mid) FROM t WHERE user_id%2=1 OR user_id%3=0)"
 
 
 @query("u02_merge_feeds", with_(TICKS_SQL, FEEDS) + 'SELECT seq, mid FROM a UNION ALL SELECT seq, mid FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a."Symbol"=b."Symbol" AND a."Timestamp"=b."Timestamp")')
 def _(t):
-    a, b = t.ticks.where("user_id % 2 = 0"), t.ticks.where("user_id % 3 = 0").withColumn("mid", c("mid") + 1)
+    a, b = t.ticks.where("user_id % 2 = 0"), t.ticks.where("user_id % 2 = 1 or user_id % 3 = 0").withColumn("mid", c("mid") + 1)
     return nw.merge_feeds(a, b).select("seq", "mid")
 
 
@@ -128,11 +129,11 @@ def _(t):
     return t.orders.join(rich, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("j12_full_outer", with_(TICKS_SQL, """a AS (SELECT CAST("Timestamp" AS DATE) d, "Symbol" s, avg(mid) revenue FROM t WHERE user_id%50<3 GROUP BY 1,2), b AS (SELECT CAST("Timestamp" AS DATE) d, "Symbol" s, max("Volume") pe FROM t WHERE user_id%50 IN (7,8) GROUP BY 1,2)""") + 'SELECT d AS "Date", s AS "Symbol", round(revenue,6) AS revenue, pe FROM a FULL JOIN b USING (d,s)')
+@query("j12_full_outer", with_(TICKS_SQL, """a AS (SELECT date_trunc('hour', "Timestamp") d, "Symbol" s, avg(mid) revenue FROM t WHERE user_id%2=0 GROUP BY 1,2), b AS (SELECT date_trunc('hour', "Timestamp") d, "Symbol" s, max("Volume") pe FROM t WHERE user_id%2=1 OR user_id%3=0 GROUP BY 1,2)""") + 'SELECT d AS "Date", s AS "Symbol", round(revenue,6) AS revenue, pe FROM a FULL JOIN b USING (d,s)')
 def _(t):
-    tk = t.ticks.withColumn("Date", F.to_date("Timestamp"))
-    a = tk.where("user_id % 50 < 3").groupBy("Date", "Symbol").agg(F.avg("mid").alias("revenue"))
-    b = tk.where("user_id % 50 in (7, 8)").groupBy("Date", "Symbol").agg(F.max("Volume").alias("pe"))
+    tk = t.ticks.withColumn("Date", F.date_trunc("hour", "Timestamp").cast("timestamp_ntz"))
+    a = tk.where("user_id % 2 = 0").groupBy("Date", "Symbol").agg(F.avg("mid").alias("revenue"))
+    b = tk.where("user_id % 2 = 1 or user_id % 3 = 0").groupBy("Date", "Symbol").agg(F.max("Volume").alias("pe"))
     return cx.statements_and_ratios(a, b).select("Date", "Symbol", rd(c("revenue")).alias("revenue"), "pe")
 
 

@@ -17,7 +17,7 @@ def _train(t):
     """Features with the direction of the next move as label."""
     d = apply_together(t.ticks, [ind.sma("mid", 5), ind.sma("mid", 10), ind.volatility("mid", 30), ind.rsi("mid", 14)])
     d = lab.multi_horizon([1])(d)
-    return d.withColumn("label", c("direction_1").cast("double")).where(c("volatility_30").isNotNull() & c("rsi_14").isNotNull())
+    return d.withColumn("label", c("direction_1").cast("double"))
 
 
 COLS = ["ma_5", "ma_10", "volatility_30", "rsi_14"]

@@ -92,10 +92,12 @@ def _(t):
     return stores.replay_events(t.spark, p, "click", "k bigint").select("timestamp", c("payload.k").alias("k"))
 
 
-@query("io23_metrics", "SELECT event_id AS id, value FROM events WHERE event_type='view' AND user_id=7 AND ts>=TIMESTAMP '2024-01-10'")
+@query("io23_metrics", "SELECT event_type AS name, count(*) AS n, count(*) FILTER (user_id=7 AND ts>=TIMESTAMP '2024-01-10') AS tagged FROM events GROUP BY 1")
 def _(t):
     m = t.events.select(c("event_id").alias("id"), c("ts").alias("timestamp"), c("event_type").alias("name"), "value", F.create_map(F.lit("user"), c("user_id").cast("string")).alias("tags"))
-    return stores.query_metrics(m, "view", F.lit("2024-01-10").cast("timestamp_ntz"), None, {"user": "7"}).select("id", "value")
+    every = stores.query_metrics(m).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    some = stores.query_metrics(m, None, F.lit("2024-01-10").cast("timestamp_ntz"), None, {"user": "7"}).groupBy("name").agg(F.count(F.lit(1)).alias("tagged"))
+    return every.join(some, "name", "left").fillna(0, ["tagged"])
 
 
 @query("io24_append_once", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")

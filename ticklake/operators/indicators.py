@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, full, linear_scan, rolling, row_index, running
+from ..plans.ordered import IDX, TICKS, Order, full, join_same, linear_scan, rolling, row_index, running
 from .base import RowOp, crossing, flag, nz, price_col, safe_div, sign_int
 
 c = F.col
@@ -225,67 +225,41 @@ def kama(df: DataFrame, close="Close", n=10, fast=2, slow=30, order: Order = TIC
     return _price_cross(d, close, "kama", "kama_cross", order)
 
 
-def kalman_gain(q: float, r: float, steps: int = 4096) -> list[float]:
-    """Gains of the scalar filter by step; they settle, so the list stops at the limit."""
-    p, gains = 1.0, [1.0]
-    for _ in range(steps):
-        p += q
-        k = p / (p + r)
-        p *= 1 - k
-        if gains and k == gains[-1]:
-            break
-        gains.append(k)
-    return gains
+def kalman_variance(i: Column, q: Column, r: Column) -> Column:
+    """Variance of the scalar filter after ``i`` updates from 1, in closed form.
+
+    An update maps p to ``r (p + q) / (p + q + r)``.  With the fixed points u > v
+    of that map, ``(p - u) / (p - v)`` shrinks by the same factor at every update.
+    """
+    root = F.sqrt(q * q + 4 * q * r)
+    u, v = (root - q) / 2, (-root - q) / 2
+    z = F.pow((r - u) / (r - v), i) * (1 - u) / (1 - v)
+    settled = (u - v * z) / (1 - z)
+    return F.when(r <= 0, F.when(i > 0, 0.0).otherwise(1.0)).when(q <= 0, r / (r + i)).otherwise(settled)
+
+
+def kalman_gain(idx: Column, q: Column, r: Column) -> Column:
+    """Gain at row ``idx`` of a key: 1 at the first, then from the variance before it."""
+    lead = kalman_variance(F.greatest(idx - 1, F.lit(0)).cast("double"), q, r) + q
+    return F.when(idx < 1, 1.0).otherwise(F.when(lead + r > 0, lead / (lead + r)).otherwise(1.0))
 
 
 def kalman_ma(df: DataFrame, close="Close", q=1e-5, r=1e-2, order: Order = TICKS) -> DataFrame:
     """W14 constant-noise Kalman average: the gain depends on the row number alone."""
-    gains = kalman_gain(q, r)
-    table = F.array(*[F.lit(float(g)) for g in gains])
-    k = F.element_at(table, F.least(c(IDX) + 1, F.lit(len(gains))).cast("int"))
+    k = kalman_gain(c(IDX), F.lit(float(q)), F.lit(float(r)))
     d = linear_scan(df, {"kma": (1 - k, k * c(close))}, order)
     return _price_cross(d, close, "kma", "kma_cross", order)
 
 
 def kalman_smooth(df: DataFrame, col: str = "mid", q: float = 1e-2, r: float | None = None, order: Order = TICKS) -> DataFrame:
-    """W14 Kalman price and volatility; the noise defaults to the variance of the changes of the key.
-
-    Gains follow from the noise and the row number, so they are worked out once
-    per key, up to where they settle.
-    """
+    """W14 Kalman price and volatility; the noise defaults to the variance of the changes of the key."""
     keys = list(order.keys)
     d = rolling(df, lambda d, w: d.withColumn("__ch", c(col) - prev(col, w)), 1, 0, order)
     noise = F.var_samp("__ch") if not r else F.lit(float(r))
     per_key = d.groupBy(*keys).agg(F.coalesce(nz(noise), F.lit(1.0)).alias("__r"))
-
-    def paths(noises):
-        import pandas as pd
-
-        out = []
-        for x in noises:
-            p, gains, roots = 1.0, [1.0], [1.0]
-            for _ in range(100_000):
-                lead = p + q
-                k = lead / (lead + x)
-                p = (1 - k) * lead
-                if k == gains[-1]:
-                    break
-                gains.append(k)
-                roots.append(math.sqrt(p))
-            out.append((gains, roots))
-        return pd.DataFrame(out, columns=["g", "s"])
-
-    import pandas as pd
-
-    paths.__annotations__ = {"noises": pd.Series, "return": pd.DataFrame}
-    steps = F.pandas_udf(paths, "g array<double>, s array<double>")
-    per_key = per_key.withColumn("__k", steps(c("__r")))
-    early = per_key.select(*keys, F.posexplode(F.arrays_zip("__k.g", "__k.s")).alias("__i", "__e"))
-    early = early.select(*keys, c("__i").cast("long").alias(IDX), c("__e.g").alias("__ge"), c("__e.s").alias("__se"))
-    settled = per_key.select(*keys, F.element_at("__k.g", -1).alias("__gl"), F.element_at("__k.s", -1).alias("__sl"))
-    d = row_index(d.drop("__ch"), order).join(early, [*keys, IDX], "left").join(settled, keys).drop(IDX)
-    d = d.withColumn("__g", F.coalesce("__ge", "__gl")).withColumn("kalman_volatility", F.coalesce("__se", "__sl"))
-    d = d.drop("__ge", "__gl", "__se", "__sl")
+    d = join_same(row_index(d.drop("__ch"), order), per_key, keys)
+    d = d.withColumn("__g", kalman_gain(c(IDX), F.lit(float(q)), c("__r")))
+    d = d.withColumn("kalman_volatility", F.sqrt(kalman_variance(c(IDX).cast("double"), F.lit(float(q)), c("__r")))).drop(IDX, "__r")
     return linear_scan(d, {"kalman_price": (1 - c("__g"), c("__g") * c(col))}, order).drop("__g")
 
 

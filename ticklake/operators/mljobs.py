@@ -147,16 +147,17 @@ def fit_classifier(df: DataFrame, cols: Sequence[str], label: str, seed: int = 0
     """M07 scaled gradient-boosted classifier."""
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(cols), outputCol="__v", handleInvalid="skip"),
+            VectorAssembler(inputCols=list(cols), outputCol="__v", handleInvalid="keep"),
             StandardScaler(inputCol="__v", outputCol="__s", withMean=True),
             GBTClassifier(featuresCol="__s", labelCol=label, maxIter=10, maxDepth=3, seed=seed),
         ]
-    ).fit(df)
+    ).fit(df.dropna(subset=list(cols)))
 
 
 def predict(model, df: DataFrame, out: str = "prob") -> DataFrame:
-    """M07 probability of class 1."""
-    d = model.transform(df).withColumn(out, vector_to_array("probability")[1])
+    """M07 probability of class 1; null where a feature is null or NaN.  Every row stays."""
+    whole = ~F.exists(vector_to_array("__v"), lambda x: F.isnan(x))
+    d = model.transform(df).withColumn(out, F.when(whole, vector_to_array("probability")[1]))
     return d.select(*df.columns, out)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, full, micros, rolling, row_index, running, with_row
+from ..plans.ordered import IDX, TICKS, Order, full, join_same, micros, rolling, row_index, running, with_row
 from .base import nz, safe_div
 from .indicators import rsi, sma
 
@@ -201,16 +201,17 @@ def monthly_report(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def open_positions(fills: DataFrame, order: Order) -> DataFrame:
-    """A12 open volume and average price per symbol; a flat position starts anew."""
+    """A12 open volume and average price per symbol; a flat position starts anew.
+
+    Only the fills after the last flat place are summed.
+    """
     v = F.when(F.lower("side") == "sell", -c("volume")).otherwise(c("volume"))
-    d = running(fills.withColumn("__v", v), {"__cv": ("sum", c("__v")), "__cp": ("sum", c("__v") * c("price"))}, order)
+    d = running(fills.withColumn("__v", v), {"__cv": ("sum", c("__v"))}, order)
     place = F.struct(*order.by())
-    flat = F.abs(c("__cv")) < 1e-9
-    last, base = F.struct("__cv", "__cp"), F.struct("__cv", "__cp")
-    out = d.groupBy(*order.keys).agg(F.max_by(last, place).alias("n"), F.max_by(base, F.when(flat, place)).alias("f"))
-    vol = c("n.__cv") - F.coalesce(c("f.__cv"), F.lit(0.0))
-    cost = c("n.__cp") - F.coalesce(c("f.__cp"), F.lit(0.0))
-    return out.where(F.abs(c("n.__cv")) >= 1e-9).select(*order.keys, vol.alias("volume"), safe_div(cost, vol).alias("avg_price"))
+    flat = d.groupBy(*order.keys).agg(F.max(F.when(F.abs(c("__cv")) < 1e-9, place)).alias("__flat"))
+    open_ = join_same(d, flat, list(order.keys)).where(c("__flat").isNull() | (place > c("__flat")))
+    out = open_.groupBy(*order.keys).agg(F.sum("__v").alias("volume"), F.sum(c("__v") * c("price")).alias("__cost"))
+    return out.select(*order.keys, "volume", safe_div(c("__cost"), c("volume")).alias("avg_price"))
 
 
 def win_rates(df: DataFrame, key: str, out: str, overall: bool = True) -> DataFrame:

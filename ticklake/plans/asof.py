@@ -57,6 +57,10 @@ def asof_join(
     found = running(both, {"__hit": ("last", F.col("__right"))}, seek, reverse=forward)
     found = found.where(F.col("__left").isNotNull())
     hit: Column = F.col("__hit")
+    for k in keys:  # rows without key stay, and match nothing
+        hit = F.when(F.col(k).isNotNull(), hit)
+    found = found.withColumn("__hit", hit)
+    hit = F.col("__hit")
     if max_age_seconds is not None:
         gap = F.abs(micros(order.ts) - micros(F.col("__hit.__rts")))
         hit = F.when(gap <= F.lit(int(max_age_seconds * 1_000_000)), hit)

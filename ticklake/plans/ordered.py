@@ -91,13 +91,20 @@ def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn(key, F.lit(1)).join(F.broadcast(one.withColumn(key, F.lit(1))), key).drop(key)
 
 
+def join_same(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join where the columns ``on`` are the same, null like null: rows with a null key or time stay."""
+    other = small.withColumnsRenamed({k: f"__on_{k}" for k in on})
+    same = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in on]
+    return df.join(other, same, how).drop(*[f"__on_{k}" for k in on])
+
+
 def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Per-key values on the rows of the key; without keys ``small`` has one row.
 
     The join side is left to the optimiser: it broadcasts under its size
     threshold and splits skewed keys above it.
     """
-    return df.join(small, keys) if keys else with_row(df, small)
+    return join_same(df, small, keys) if keys else with_row(df, small)
 
 
 _SHUFFLING = re.compile(r"\b(Window|Join|Aggregate|FlatMapGroupsInPandas|Distinct|Sort)\b")
@@ -127,7 +134,7 @@ def row_index(df: DataFrame, order: Order = TICKS, out: str = IDX) -> DataFrame:
     )
     inside = Window.partitionBy(*keys, BKT).orderBy(*order.sort())
     return (
-        rows.join(offsets, [*keys, BKT])
+        join_same(rows, offsets, [*keys, BKT])
         .withColumn(out, F.row_number().over(inside) - F.lit(1) + F.col("__off"))
         .drop(BKT, "__off")
     )
@@ -216,7 +223,7 @@ def running(
             values.append((F.greatest if kind == "max" else F.least)(here, c).alias(name))
     directory = rows.groupBy(*keys, BKT).agg(*aggs).select(*keys, BKT, *carried)
     kept = [c for c in df.columns if c not in outs]
-    return rows.join(directory, [*keys, BKT]).select(*kept, *values)
+    return join_same(rows, directory, [*keys, BKT]).select(*kept, *values)
 
 
 def running_within(df: DataFrame, outs, order: Order = TICKS, **kw) -> DataFrame:
@@ -302,7 +309,7 @@ def _scan(rows: DataFrame, keys: list[str], pos: str, names: list[str], size: in
     carries = reached.select(
         *keys, (F.col(blk) + 1).alias(blk), *[F.col(n).alias(f"__c_{n}") for n in names]
     )
-    joined = blocked.join(carries, [*keys, blk], "left")
+    joined = join_same(blocked, carries, [*keys, blk], "left")
     for n in names:  # a NULL carry past block 0 is a NaN that must keep spreading
         joined = joined.withColumn(f"__c_{n}", F.when(F.col(blk) > 0, F.col(f"__c_{n}")).otherwise(0.0))
     return joined.groupBy(*keys, blk).applyInPandas(replay, out_schema)

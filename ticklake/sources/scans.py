@@ -54,6 +54,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def first_source(spark: SparkSession, symbol: str, root: str) -> DataFrame:
     """IO05 the Parquet history of a symbol, else its CSV."""
     for ext, read in ((".parquet", tick_parquet), (".csv", tick_csv)):

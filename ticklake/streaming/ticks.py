@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.quality import _tick_filter
 from ..operators.risk import last_rows
 from ..plans.ordered import TICKS, Order
-from ..sources.scans import path_exists
+from ..sources.scans import path_exists, remove
 
 c = F.col
 
@@ -62,6 +63,7 @@ def stream_operator(
             rows = rows.unionByName(spark.read.parquet(before).withColumn("__new", F.lit(False)))
         op(rows).where("__new").drop("__new").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         last_rows(rows.drop("__new"), lookback, order).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        remove(spark, f"{state}/{batch_id - 2}")
 
     run_batches(df, step, checkpoint)
 
@@ -86,6 +88,7 @@ def stream_labels(
         ids = [*order.keys, order.ts, *order.tie]
         done = label(rows).join(spark.read.parquet(f"{state}/{batch_id}").select(*ids), ids, "left_anti")
         done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        remove(spark, f"{state}/{batch_id - 2}")
 
     run_batches(df, step, checkpoint)
 
@@ -116,54 +119,76 @@ def filter_stream(df: DataFrame, threshold: float = 3.0, key: str = "Symbol", ts
     return df.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def page_hinkley(df: DataFrame, value: str = "value", key: str = "feature", ts: str = "Timestamp", delta: float = 0.005, threshold: float = 50.0) -> DataFrame:
-    """T06 upward mean-shift alarms per feature; the detector starts anew after each."""
+def _ordered(batches, cols: Sequence[str]) -> pd.DataFrame:
+    """The rows of a key that came in this batch, in order of ``cols``."""
+    return pd.concat(list(batches)).sort_values(list(cols), kind="stable")
+
+
+def _first(hit: np.ndarray) -> int | None:
+    return int(hit.argmax()) if hit.any() else None
+
+
+def page_hinkley(df: DataFrame, value: str = "value", key: str = "feature", ts: str = "Timestamp", delta: float = 0.005, threshold: float = 50.0, tie: Sequence[str] = ()) -> DataFrame:
+    """T06 upward mean-shift alarms per feature; the detector starts anew after each.
+
+    Over the values since the last alarm: ``m[t] = sum(x[i] - mean(x[..i]) - delta)``
+    for i up to t, and an alarm where m has risen more than ``threshold`` over its
+    least value so far (0 at the start).  All are prefix sums and minima of the
+    stretch, which is gone through once per alarm, not row by row; count, sum, m and
+    its least value go on to the next batch.
+    """
     schema = T.StructType([df.schema[key], df.schema[ts], T.StructField("level", T.DoubleType())])
 
     def step(k, batches, state: GroupState):
-        n, mean, cum, low = state.get if state.exists else (0.0, 0.0, 0.0, 0.0)
-        pdf = pd.concat(list(batches)).sort_values(ts)
-        hits = []
-        for when, x in zip(pdf[ts], pdf[value]):
-            n += 1
-            mean += (x - mean) / n
-            cum += x - mean - delta
-            low = min(low, cum)
-            if cum - low > threshold:
-                hits.append((k[0], when, cum - low))
-                n, mean, cum, low = 0.0, 0.0, 0.0, 0.0
-        state.update((n, mean, cum, low))
-        yield pd.DataFrame(hits, columns=schema.names)
-
-    return df.groupBy(key).applyInPandasWithState(step, schema, "n double, mean double, cum double, low double", "append", GroupStateTimeout.NoTimeout)
-
-
-def adaptive_window(df: DataFrame, value: str = "value", key: str = "feature", ts: str = "Timestamp", delta: float = 0.002, limit: int = 200) -> DataFrame:
-    """T06 window drift alarms: the window is cut where the means of its parts differ too much."""
-    schema = T.StructType([df.schema[key], df.schema[ts]])
+        seen = np.array(state.get if state.exists else (0.0,) * 4)  # count, sum, m, least m
+        pdf = _ordered(batches, [ts, *tie])
+        left, times, out = pdf[value].to_numpy(float), pdf[ts].to_numpy(), []
+        while len(left):
+            count = seen[0] + np.arange(1, len(left) + 1)
+            sums = seen[1] + left.cumsum()
+            m = seen[2] + (left - sums / count - delta).cumsum()
+            least = np.minimum(np.minimum.accumulate(m), seen[3])
+            alarm = _first(m - least > threshold)
+            if alarm is None:
+                seen = np.array((count[-1], sums[-1], m[-1], least[-1]))
+                break
+            out.append((k[0], times[alarm], m[alarm] - least[alarm]))
+            left, times, seen = left[alarm + 1 :], times[alarm + 1 :], np.zeros(4)
+        state.update(tuple(map(float, seen)))
+        yield pd.DataFrame(out, columns=schema.names)
+
+    return df.groupBy(key).applyInPandasWithState(step, schema, "n double, total double, m double, least double", "append", GroupStateTimeout.NoTimeout)
 
-    def cut_point(w: list[float]) -> int | None:
-        total, left = sum(w), sum(w[:5])
-        for cut in range(5, len(w) - 5):
-            if abs(left / cut - (total - left) / (len(w) - cut)) > math.sqrt(2 * math.log(1 / delta) / cut):
-                return cut
-            left += w[cut]
+
+def _first_split(window: np.ndarray, delta: float, edge: int = 5) -> int | None:
+    """First place with ``edge`` values on either side where the means of both sides differ by more than chance allows."""
+    at = np.arange(edge, len(window) - edge)
+    if len(window) <= 2 * edge or not len(at):
         return None
+    sums = window.cumsum()
+    gap = sums[at - 1] / at - (sums[-1] - sums[at - 1]) / (len(window) - at)
+    place = _first(np.abs(gap) > np.sqrt(2 * np.log(1 / delta) / at))
+    return None if place is None else int(at[place])
+
+
+def adaptive_window(df: DataFrame, value: str = "value", key: str = "feature", ts: str = "Timestamp", delta: float = 0.002, limit: int = 200, tie: Sequence[str] = ()) -> DataFrame:
+    """T06 window drift alarms: the window (``limit`` values at most) loses its older part where both parts' means differ too much."""
+    schema = T.StructType([df.schema[key], df.schema[ts]])
 
     def step(k, batches, state: GroupState):
-        window = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(ts)
-        hits = []
-        for when, x in zip(pdf[ts], pdf[value]):
-            window.append(float(x))
-            drift = False
-            while len(window) > 10 and (cut := cut_point(window)) is not None:
-                window, drift = window[cut:], True
-            window = window[-limit:]
-            if drift:
-                hits.append((k[0], when))
-        state.update((window,))
-        yield pd.DataFrame(hits, columns=schema.names)
+        kept = np.array(state.get[0] if state.exists else [], float)
+        pdf = _ordered(batches, [ts, *tie])
+        values = np.concatenate((kept, pdf[value].to_numpy(float)))
+        start, alarms = 0, []  # the window is values[start:end]
+        for end in range(len(kept) + 1, len(values) + 1):
+            before = start
+            while (place := _first_split(values[start:end], delta)) is not None:
+                start += place
+            if start > before:
+                alarms.append(end - 1 - len(kept))
+            start = max(start, end - limit)
+        state.update((values[start:].tolist(),))
+        yield pd.DataFrame({key: k[0], ts: pdf[ts].to_numpy()[alarms]}, columns=schema.names)
 
     return df.groupBy(key).applyInPandasWithState(step, schema, "window array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -278,6 +303,7 @@ def check_batches(df: DataFrame, cols: Sequence[str], out: str, quarantine: str,
         s = d.agg(F.count(F.lit(1)).alias("n"), F.sum("anomalies").alias("a")).first()
         target = quarantine if s["n"] and s["a"] / s["n"] > max_rate else out
         d.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        remove(spark, f"{state}/{batch_id - 2}")
 
     run_batches(df, step, checkpoint)
 
