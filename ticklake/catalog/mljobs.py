@@ -31,9 +31,7 @@ def _(t):
 
 @query("m02_regimes", with_(TICKS_SQL) + "SELECT seq FROM t")
 def _(t):
-    d = t.ticks
-    n = d.groupBy("Symbol").count().agg(F.max("count")).first()[0]
-    return ml.regimes(d, ["mid", "Volume"], 3, max(n // 4, 1)).where(c("regime").between(0, 2)).select("seq")
+    return ml.regimes(t.ticks, ["mid", "Volume"], 3, 1_000).where(c("regime").between(0, 2)).select("seq")
 
 
 PC = """s AS (SELECT avg(mid) am, avg("Volume") av, covar_samp(mid,mid) a, covar_samp(mid,"Volume") b, covar_samp("Volume","Volume") d FROM t), e AS (SELECT *, (a+d)/2+sqrt(power((a-d)/2,2)+b*b) l FROM s),

@@ -136,21 +136,15 @@ def keyword_matches(texts: DataFrame, keywords: DataFrame, text: str = "text", r
     hits = found.where(F.length("__k") == 3).select(row_id, "symbol")
     tested = found.where(F.length("__k") > 3).join(low, row_id).where(F.contains(c("__t"), c("__k")))
     hits = hits.unionByName(tested.select(row_id, "symbol"))
-    short = kw.where(F.length("__k") < 3).groupBy("symbol").agg(F.collect_set("__k").alias("__ks"))
-    tiny = [r for r in short.limit(1001).collect()]  # one- and two-letter words: a bounded vocabulary
-    if len(tiny) > 1000:
-        raise ValueError("too many symbols with keywords under three letters")
-    for r in tiny:
-        cond = F.lit(False)
-        for k in sorted(r["__ks"]):
-            cond = cond | F.contains(c("__t"), F.lit(k))
-        hits = hits.unionByName(low.where(cond).select(row_id, F.lit(r["symbol"]).alias("symbol")))
+    for n in (1, 2):  # shorter words are pieces themselves
+        pieces = low.select(row_id, F.explode(_pieces(c("__t"), n)).alias("__k"))
+        hits = hits.unionByName(pieces.join(kw.where(F.length("__k") == n), "__k").select(row_id, "symbol"))
     return hits.distinct()
 
 
-def _pieces(text: Column) -> Column:
-    """Distinct overlapping three-letter pieces, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+def _pieces(text: Column, n: int = 3) -> Column:
+    """Distinct overlapping pieces of ``n`` letters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def ticker_matches(symbols: DataFrame, tickers: DataFrame) -> DataFrame:

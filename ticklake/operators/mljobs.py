@@ -15,9 +15,11 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForest
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.ordered import IDX, TICKS, Order, row_index
+from ..plans.ordered import IDX, TICKS, Order, join_same, row_index
 from ..plans.values import quantile_arrays
+from ..session import checkpoint
 from .base import safe_div
 
 c = F.col
@@ -60,7 +62,7 @@ def market_baskets(df: DataFrame, cols: Sequence[str], k: int = 4, min_count: in
     return d, ranges
 
 
-def regimes(df: DataFrame, cols: Sequence[str], k: int = 3, step: int = 500, order: Order = TICKS, seed: int = 0, max_fits: int = 200) -> DataFrame:
+def regimes(df: DataFrame, cols: Sequence[str], k: int = 3, step: int = 500, order: Order = TICKS, seed: int = 0) -> DataFrame:
     """M02 regime per row: every ``step`` rows k-means is fitted anew on the history so far and labels the next block.
 
     Labels are ordered by the first feature of the centre, so they keep their
@@ -71,8 +73,6 @@ def regimes(df: DataFrame, cols: Sequence[str], k: int = 3, step: int = 500, ord
     if n is None:
         return df.withColumn("regime", F.lit(0))
     cuts = list(range(step, n + 2, step)) or [n + 1]
-    if len(cuts) > max_fits:
-        raise ValueError(f"{len(cuts)} fits: use a larger step")
     d = assemble(d, cols)
     out = None
     for i, cut in enumerate(cuts):
@@ -241,46 +241,44 @@ def exit_policy(df: DataFrame, cols: Sequence[str], gain: str, seed: int = 0) ->
     return out.withColumn("should_exit", 2 * c("hold_prob") - 1 < 0).drop("__y")
 
 
-def similar_days(
-    df: DataFrame, cols: Sequence[str], ret: str, k: int = 5, components: int = 5, order: Order = TICKS, max_rows: int = 200_000
-) -> DataFrame:
+def similar_days(df: DataFrame, cols: Sequence[str], ret: str, k: int = 5, components: int = 5, order: Order = TICKS, block: int = 256) -> DataFrame:
     """J18 mean and population deviation of the returns of the ``k`` nearest earlier rows.
 
-    Rows are days: their table is checked to be small and sent to the tasks,
-    which rank each row against all earlier ones exactly.
+    Exact at any size: the rows of a key lie in blocks of ``block``, every block meets
+    itself and the earlier ones of its key, a meeting gives the ``k`` nearest per
+    row, and the ``k`` nearest of these are kept.
     """
     comps = min(components, len(cols))
     scored, _ = principal_components(df, cols, comps)
     d = row_index(scored, order)
-    vec = F.array(*[c(f"pc_{i}") for i in range(comps)])
-    table = d.select(*order.keys, c(IDX).alias("i"), vec.alias("v"), c(ret).alias("r"))
-    rows = table.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: aggregate to days first")
-    past: dict = {}
-    for r in rows:
-        past.setdefault(tuple(r[x] for x in order.keys), []).append((r["i"], r["v"], r["r"]))
-    packed = {}
-    for key, vals in past.items():
-        vals.sort(key=lambda x: x[0])
-        packed[key] = (np.array([v for _, v, _ in vals], float), np.array([r for *_, r in vals], float))
-    shared = df.sparkSession.sparkContext.broadcast(packed)
     keys = list(order.keys)
-
-    def nearest_rows(key, i, v):
-        out = []
-        for kk, ii, vv in zip(key, i, v):
-            x, r = shared.value[tuple(kk)]
-            if ii == 0:
-                out.append((0.0, 0.0))
-                continue
-            dist = ((x[:ii] - np.asarray(vv, float)) ** 2).sum(axis=1)
-            near = np.argsort(np.round(dist, 9), kind="stable")[:k]
-            out.append((float(r[near].mean()), float(r[near].std())))
-        return pd.DataFrame(out, columns=["m", "s"])
-
-    nearest_rows.__annotations__ = {"key": pd.Series, "i": pd.Series, "v": pd.Series, "return": pd.DataFrame}
-    nearest = F.pandas_udf(nearest_rows, "m double, s double")
-    key_arr = F.array(*[c(x).cast("string") for x in keys])
-    got = d.withColumn("__n", nearest(key_arr, c(IDX), vec))
-    return got.select(*df.columns, c("__n.m").alias("nn_return_mean"), c("__n.s").alias("nn_vol"))
+    vec = F.array(*[c(f"pc_{i}") for i in range(comps)])
+    table = checkpoint(d.select(*keys, c(IDX).alias("i"), vec.alias("v"), c(ret).alias("r")))
+    lists = table.groupBy(*keys, F.floor(c("i") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "v", "r"))).alias("x"))
+    past = lists.withColumnsRenamed({"b": "pb", "x": "px", **{n: f"__{n}" for n in keys}})
+    meet = lists.join(past, [*[lists[n].eqNullSafe(past[f"__{n}"]) for n in keys], past["pb"] <= lists["b"]]).select(*keys, "x", "px")
+    fields = [table.schema[n] for n in keys]
+    schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in (("i", T.LongType()), ("d", T.DoubleType()), ("j", T.LongType()), ("r", T.DoubleType()))]])
+
+    def nearest(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x, p = row.x, row.px
+                i, j = np.array([e["i"] for e in x]), np.array([e["i"] for e in p])
+                a, b = (np.array([e["v"] for e in y], float).reshape(len(y), comps) for y in (x, p))
+                r = np.array([e["r"] for e in p], float)
+                dist = np.round(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 9)
+                dist[j[None, :] >= i[:, None]] = np.inf
+                near = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                rows, n = np.repeat(np.arange(len(i)), near.shape[1]), near.ravel()
+                real = np.isfinite(dist[rows, n])
+                rows, n = rows[real], n[real]
+                yield pd.DataFrame({**{name: [getattr(row, name)] * len(rows) for name in keys}, "i": i[rows], "d": dist[rows, n], "j": j[n], "r": r[n]}, columns=schema.names)
+
+    found = meet.mapInPandas(nearest, schema).groupBy(*keys, "i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j", "r"))), 1, k).alias("n"))
+    size, total = F.size("n"), F.aggregate("n", F.lit(0.0), lambda acc, e: acc + e["r"])
+    found = found.withColumn("m", total / size)
+    spread = F.sqrt(F.aggregate("n", F.lit(0.0), lambda acc, e: acc + (e["r"] - c("m")) * (e["r"] - c("m"))) / size)
+    found = found.select(*keys, c("i").alias(IDX), F.struct(c("m"), spread.alias("s")).alias("__n"))
+    got = join_same(d, found, [*keys, IDX], "left")
+    return got.select(*df.columns, F.coalesce("__n.m", F.lit(0.0)).alias("nn_return_mean"), F.coalesce("__n.s", F.lit(0.0)).alias("nn_vol"))

@@ -128,13 +128,13 @@ def _vectors(df: DataFrame, text: str, row_id: str, dim: int) -> DataFrame:
 
 
 def similar_events(
-    events: DataFrame, queries: DataFrame, k: int = 5, text: str = "text", row_id: str = "id", query_id: str = "qid", max_queries: int = 100_000
+    events: DataFrame, queries: DataFrame, k: int = 5, text: str = "text", row_id: str = "id", query_id: str = "qid", block: int = 4_096
 ) -> DataFrame:
     """J19 the ``k`` nearest past texts of every query text by hashed embedding, exactly.
 
-    Queries are the small side: their vectors are checked to be few and sent to
-    the texts once.  Each task keeps its best ``k`` per query, so only those
-    reach the final ranking.
+    Queries go over the texts in blocks of about ``block``, so what is sent at once
+    is bounded.  Each task keeps its best ``k`` per query, so only those reach the
+    final ranking.
     """
     import numpy as np
     import pandas as pd
@@ -149,35 +149,39 @@ def similar_events(
         return m
 
     q = _vectors(queries, text, query_id, dim)
-    rows = q.limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: split them into several calls")
-    ids = np.array([r[0] for r in rows])
-    mat = dense([r[1] for r in rows])
-    shared = events.sparkSession.sparkContext.broadcast((ids, mat))
     emb = _vectors(events, text, row_id, dim)
     schema = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {row_id} {emb.schema[row_id].dataType.simpleString()}, similarity double"
 
-    def best(batches):
-        qids, qm = shared.value
-        keep: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = dense(pdf["v"].tolist())
-            sim = np.round(1 - np.sqrt(np.maximum(2 - 2 * (m @ qm.T), 0.0)) / 2, 12)
-            kk = min(k, len(pdf))
-            rid = pdf[row_id].to_numpy()
-            out = []
-            for j in range(len(qids)):
-                top = np.lexsort((rid, -sim[:, j]))[:kk]
-                out.append(pd.DataFrame({query_id: qids[j], row_id: rid[top], "similarity": sim[top, j]}))
-            got = pd.concat(out if keep is None else [keep, *out])
-            keep = got.sort_values(["similarity", row_id], ascending=[False, True]).groupby(query_id, sort=False).head(k)
-        if keep is not None:
-            yield keep
-
-    part = emb.mapInPandas(best, schema)
+    def best_of(shared):
+        def best(batches):
+            qids, qm = shared.value
+            keep: pd.DataFrame | None = None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                sim = np.round(1 - np.sqrt(np.maximum(2 - 2 * (dense(pdf["v"].tolist()) @ qm.T), 0.0)) / 2, 12)
+                rid = pdf[row_id].to_numpy()
+                order = np.lexsort((np.broadcast_to(rid[:, None], sim.shape), -sim), axis=0)[:k]
+                at = np.arange(len(qids))
+                new = [pd.DataFrame({query_id: qids, row_id: rid[o], "similarity": sim[o, at]}) for o in order]
+                got = pd.concat(new if keep is None else [keep, *new])
+                keep = got.sort_values(["similarity", row_id], ascending=[False, True]).groupby(query_id, sort=False).head(k)
+            if keep is not None:
+                yield keep
+
+        return best
+
+    n = int(queries.count() // block) + 1
+    part = None
+    for i in range(n):
+        rows = q.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i).collect()
+        if not rows:
+            continue
+        shared = events.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), dense([r[1] for r in rows])))
+        found = emb.mapInPandas(best_of(shared), schema)
+        part = found if part is None else part.unionByName(found)
+    if part is None:
+        part = events.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy(query_id).orderBy(c("similarity").desc(), c(row_id))
     return part.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 
