@@ -151,8 +151,8 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 def sequences(docs: DataFrame) -> DataFrame:
     """``sequence_id, ids``: the packed sequences themselves, each the ids of its pieces in their order."""
-    p = keep(pieces(docs))
-    placed = packed(p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("crc")))
-    ids = placed.join(p.select("doc_id", "piece", F.crc32("ids").alias("crc"), "ids").dropDuplicates(["doc_id", "piece", "crc"]), ["doc_id", "piece", "crc"])
+    p = keep(pieces(docs).withColumn("digest", F.sha2("ids", 256)))
+    placed = packed(p.select("doc_id", "piece", "length", "digest"))
+    ids = placed.join(p.groupBy("digest").agg(F.first("ids").alias("ids")), "digest")  # equal pieces are stored once
     rows = ids.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return rows.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x.ids)).alias("ids"))
