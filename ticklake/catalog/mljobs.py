@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as ind, labels as lab, mljobs as ml
 from ..operators.base import apply_together
 from ..plans.ordered import Order, with_row
-from .common import PREDS_SQL, TICKS_SQL, query, rr, shown, with_
+from .common import PREDS_SQL, TICKS_SQL, W, query, rr, shown, with_
 
 c = F.col
 DAY = Order(("Symbol",), "Timestamp", (), 3650 * 86_400)
@@ -78,6 +78,13 @@ def _(t):
     return ml.predict(ml.fit_classifier(d, COLS, "label"), d).select("seq", "prob", "label")
 
 
+@query("m07_scored", with_(TICKS_SQL) + f"""SELECT seq, i>=29 AS scored, CAST(CASE WHEN lead(mid,1) OVER ({W})/nullif(mid,0)-1>0 THEN 1 ELSE 0 END AS DOUBLE) AS label FROM t""")
+def _(t):
+    """Every row stays, and those with all features have a probability."""
+    d = _train(t)
+    return ml.predict(ml.fit_classifier(d, COLS, "label"), d).select("seq", F.coalesce(c("prob").between(0, 1), F.lit(False)).alias("scored"), "label")
+
+
 @query("m08_isotonic")
 def _(t):
     p = t.preds.withColumn("label", c("y").cast("double"))

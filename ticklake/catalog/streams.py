@@ -108,10 +108,18 @@ def _(t):
     return shown(st.robust_scale(t.ticks, ["mid"]), "seq", "mid")
 
 
-@query("t08_health")
+HEALTH = f"""x AS (SELECT "Symbol" AS algorithm, "Timestamp", i + 1 AS k, epoch("Timestamp") AS now, count(*) OVER w AS n, avg("Volume"-48) OVER w AS m,
+ stddev_samp("Volume"-48) OVER w AS sd, avg(CASE WHEN "Volume">48 THEN 1.0 ELSE 0.0 END) OVER w AS win FROM t WINDOW w AS ({W} ROWS 99 PRECEDING)),
+ y AS (SELECT *, CASE WHEN n>1 THEN m/(sd+1e-8)*sqrt(n) ELSE 0 END AS sharpe FROM x),
+ r AS (SELECT *, CASE WHEN sharpe>=0 AND win>=0.5 THEN -1.0::DOUBLE ELSE now+86400 END AS until FROM y WHERE k=1
+ UNION ALL SELECT y.*, CASE WHEN r.until<0 OR y.now>=r.until THEN CASE WHEN y.sharpe>=0 AND y.win>=0.5 THEN -1.0 ELSE y.now+86400 END ELSE r.until END FROM r JOIN y ON y.algorithm=r.algorithm AND y.k=r.k+1)"""
+
+
+@query("t08_health", "WITH RECURSIVE " + TICKS_SQL + ", " + HEALTH + f' SELECT algorithm, "Timestamp", until<0 AS enabled, {rr("sharpe", "win_rate=win")} FROM r')
 def _(t):
-    d = t.ticks.select("Timestamp", c("Symbol").alias("algorithm"), (c("Volume") - 48).alias("pnl"))
-    return _run(t, st.algorithm_health(_arrive(t, d), cooldown_seconds=86_400.0))
+    d = t.ticks.select("Timestamp", "seq", c("Symbol").alias("algorithm"), (c("Volume") - 48).alias("pnl"))
+    out = _run(t, st.algorithm_health(_arrive(t, d), cooldown_seconds=86_400.0, tie=["seq"]))
+    return shown(out, "algorithm Timestamp enabled", "sharpe win_rate")
 
 
 @query("t09_recorder", 'SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1')

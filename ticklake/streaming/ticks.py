@@ -194,14 +194,14 @@ def adaptive_window(df: DataFrame, value: str = "value", key: str = "feature", t
 
 
 def algorithm_health(
-    df: DataFrame, pnl: str = "pnl", key: str = "algorithm", ts: str = "Timestamp", n: int = 100, min_sharpe=0.0, min_win=0.5, cooldown_seconds: float = 300.0
+    df: DataFrame, pnl: str = "pnl", key: str = "algorithm", ts: str = "Timestamp", n: int = 100, min_sharpe=0.0, min_win=0.5, cooldown_seconds: float = 300.0, tie: Sequence[str] = ()
 ) -> DataFrame:
     """T08 enabled flag per result: disabled on poor Sharpe or win rate, looked at again after the cooldown."""
     schema = T.StructType([df.schema[key], df.schema[ts], T.StructField("sharpe", T.DoubleType()), T.StructField("win_rate", T.DoubleType()), T.StructField("enabled", T.BooleanType())])
 
     def step(k, batches, state: GroupState):
         recent, until = (list(state.get[0]), state.get[1]) if state.exists else ([], -1.0)
-        pdf = pd.concat(list(batches)).sort_values(ts)
+        pdf = _ordered(batches, [ts, *tie])
         out = []
         for when, x in zip(pdf[ts], pdf[pnl]):
             recent = [*recent, float(x)][-n:]
