@@ -10,37 +10,49 @@ from pyspark.sql import functions as F
 
 # fixed values: word lists, weights and patterns
 POSITIVE = (
-    "beat beats surge surges rally gain gains up record growth strong optimism soar soars improve improves bullish expand expands"
-).split()
+    "beat", "beats", "surge", "surges", "rally", "gain", "gains", "up", "record", "growth", "strong", "optimism", "soar", "soars", "improve",
+    "improves", "bullish", "expand", "expands",
+)
 NEGATIVE = (
-    "fall falls drop drops down slump loss losses warning weak decline declines plunge plunges miss misses bearish shrink shrinks"
-).split()
+    "fall", "falls", "drop", "drops", "down", "slump", "loss", "losses", "warning", "weak", "decline", "declines", "plunge", "plunges", "miss",
+    "misses", "bearish", "shrink", "shrinks",
+)
 POSITIVE_PARTS = ("beat", "beats", "surge", "rally", "gain", "up")
 NEGATIVE_PARTS = ("fall", "drops", "miss", "down", "loss", "warning")
 IMPORTANCE_NAMES = {"high": "red", "medium": "orange", "low": "yellow"}
 IMPORTANCE_WEIGHTS = {"red": 1.0, "high": 1.0, "orange": 0.7, "medium": 0.6, "yellow": 0.4, "low": 0.3}
 STRUCTURAL = (
-    "merger acquisition buyback dividend split spinoff spin-off guidance outlook forecast long-term multi-year contract "
-    "partnership expansion investment regulation approval sanction tariff ban lawsuit investigation antitrust settlement "
-    "bankruptcy restructuring stimulus"
-).split()
+    "merger", "acquisition", "buyback", "dividend", "split", "spinoff", "spin-off", "guidance", "outlook", "forecast", "long-term", "multi-year",
+    "contract", "partnership", "expansion", "investment", "regulation", "approval", "sanction", "tariff", "ban", "lawsuit", "investigation",
+    "antitrust", "settlement", "bankruptcy", "restructuring", "stimulus",
+)
 MEDIUM_TERM = (
-    "earnings results quarter guidance target downgrade upgrade rating estimate outlook forecast revenue sales production "
-    "supply demand margin profit loss ipo backlog pipeline"
-).split()
+    "earnings", "results", "quarter", "guidance", "target", "downgrade", "upgrade", "rating", "estimate", "outlook", "forecast", "revenue", "sales",
+    "production", "supply", "demand", "margin", "profit", "loss", "ipo", "backlog", "pipeline",
+)
 SHORT_LIVED = (
-    "preview recap brief tweet rumor rumour commentary opinion note watch blog snippet update headline"
-).split()
+    "preview", "recap", "brief", "tweet", "rumor", "rumour", "commentary", "opinion", "note", "watch", "blog", "snippet", "update", "headline",
+)
 STOP_WORDS = (
-    "the and for that with from this have will into their after over amid amidst company companies month year years today "
-    "week ahead firm firms"
-).split()
+    "the", "and", "for", "that", "with", "from", "this", "have", "will", "into", "their", "after", "over", "amid", "amidst", "company", "companies",
+    "month", "year", "years", "today", "week", "ahead", "firm", "firms",
+)
 TOPICS = {
-    "earnings": "earnings profit profits forecast forecasts beats beat eps revenue".split(),
-    "markets": "stocks shares surge rally selloff markets equities index indexes futures".split(),
-    "economy": "inflation gdp growth employment jobs economy output recession".split(),
-    "policy": "fed federal bank rates policy interest reserve hike cut".split(),
-    "crypto": "bitcoin crypto ethereum blockchain token".split(),
+    "earnings": (
+        "earnings", "profit", "profits", "forecast", "forecasts", "beats", "beat", "eps", "revenue",
+    ),
+    "markets": (
+        "stocks", "shares", "surge", "rally", "selloff", "markets", "equities", "index", "indexes", "futures",
+    ),
+    "economy": (
+        "inflation", "gdp", "growth", "employment", "jobs", "economy", "output", "recession",
+    ),
+    "policy": (
+        "fed", "federal", "bank", "rates", "policy", "interest", "reserve", "hike", "cut",
+    ),
+    "crypto": (
+        "bitcoin", "crypto", "ethereum", "blockchain", "token",
+    ),
 }
 STRIPPED = ".,!?;:'()[]{}<>\n\r"
 QUOTE_SUFFIXES = ("USD", "USDT", "USDC", "PERP")
@@ -98,7 +110,7 @@ def importance_weight(x: Column) -> Column:
 
 
 def effect_length(text: Column, magnitude: Column, importance: Column | None = None, risk: float | Column = 1.0) -> dict[str, Column]:
-    """X16 how long a headline moves prices: minutes, half-life, score, importance."""
+    """X16 how long a headline moves prices: minutes, half-life, score, importance.  The numbers are fixed values."""
     mag = F.coalesce(clamp(F.abs(magnitude), 0.0, 1.0), F.lit(0.0))
     long_, medium, short = (contains_any(text, w) for w in (STRUCTURAL, MEDIUM_TERM, SHORT_LIVED))
     pick = lambda a, b, d: F.when(long_, a).otherwise(0.0) + F.when(medium, b).otherwise(0.0) - F.when(short, d).otherwise(0.0)
