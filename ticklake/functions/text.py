@@ -170,8 +170,9 @@ def symbol_variants(symbol: Column) -> Column:
 
 
 def records_at(payload: Column, path: str, item_schema: str) -> Column:
-    """X22 array of records under a dotted path of a JSON text."""
-    node = payload if not path else F.get_json_object(payload, "$." + path)
+    """X22 array of records under a path of a JSON text (``a.b``, ``[1]``, or empty for the whole); a lone record is a list of one."""
+    node = payload if not path else F.get_json_object(payload, "$" + (path if path.startswith("[") else "." + path))
+    node = F.when(F.ltrim(node).startswith("{"), F.concat(F.lit("["), node, F.lit("]"))).otherwise(node)
     return F.from_json(node, f"array<{item_schema}>")
 
 

@@ -132,24 +132,49 @@ def series_spec(spec: str) -> dict:
     return {"provider": provider.strip().lower(), "id": ident.strip(), "params": params}
 
 
-# fixed values: where the usual payload shapes keep their records, dates and values
+# fixed values: where a provider's payload keeps its records, and their names of date and value
 RECORD_SHAPES = {
     "fred": ("observations", "date", "value"),
-    "bea": ("BEAAPI.Results.Data", "TimePeriod", "DataValue"),
-    "bls": ("Results.series[0].data", "year", "value"),
+    "worldbank": ("[1]", "date", "value"),
+    "imf": ("CompactData.DataSet.Series.Obs", "@TIME_PERIOD", "@OBS_VALUE"),
+    "finnhub": ("data", "datetime", "value"),
+    "alphavantage": ("data", "date", "value"),
+    "eodhd": ("", "date", "value"),
+    "bcb": ("", "data", "valor"),
+    "bankofcanada": ("observations", "d", "v"),
+    "opencanada": ("result.records", "date", "value"),
     "generic": ("data", "date", "value"),
 }
+# fixed values: lists that run side by side (dates, values)
+LIST_SHAPES = {"dbnomics": ("series.docs[0].period_start_day", "series.docs[0].value")}
+
+
+def day_of(text: Column) -> Column:
+    """First day of a period: ISO dates and times, ``31/12/2024``, ``2024``, ``2024-05``, ``2024-Q2`` or ``2024Q2``, ``2024-M05`` or ``2024M05``."""
+    t = F.trim(text)
+    quarter = F.regexp_extract(t, "^(\\d{4})-?Q([1-4])$", 2)
+    month = F.regexp_extract(t, "^(\\d{4})-?M(\\d{1,2})$", 2)
+    year = F.substring(t, 1, 4)
+    first = F.when(quarter != "", F.concat_ws("-", year, F.lpad((quarter.try_cast("int") * 3 - 2).cast("string"), 2, "0"), F.lit("01")))
+    first = first.when(month != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lit("01")))
+    first = first.when(t.rlike("^\\d{1,2}/\\d{1,2}/\\d{4}$"), F.regexp_replace(t, "^(\\d{1,2})/(\\d{1,2})/(\\d{4})$", "$3-$2-$1"))
+    return first.otherwise(F.substring(t, 1, 10)).try_cast("date")
+
+
+def _number(text: Column, comma: str) -> Column:
+    return F.replace(text, F.lit(","), F.lit(comma)).try_cast("double")
 
 
 def landed_records(df: DataFrame, shape: str | tuple[str, str, str], payload: str = "value") -> DataFrame:
-    """IO19 (Date, value) from landed JSON texts that hold a list of records; '.' and text mean missing."""
-    path, date, value = RECORD_SHAPES[shape] if isinstance(shape, str) else shape
-    rows = df.select(F.explode(records_at(c(payload), path, "map<string,string>")).alias("r"))
-    when = c("r")[date]
-    return rows.select(
-        F.coalesce(when.try_cast("date"), F.concat(when, F.lit("-01-01")).try_cast("date")).alias("Date"),
-        F.replace(c("r")[value], F.lit(","), F.lit("")).try_cast("double").alias("value"),
-    ).where(c("Date").isNotNull() & c("value").isNotNull())
+    """IO19 (Date, value) from landed JSON texts of a provider; '.' and text mean missing."""
+    if shape in LIST_SHAPES:
+        dates, values = (F.from_json(F.get_json_object(payload, f"$.{p}"), "array<string>") for p in LIST_SHAPES[shape])
+        rows = df.select(F.explode(F.arrays_zip(dates.alias("d"), values.alias("v"))).alias("r")).select(c("r.d").alias("d"), c("r.v").alias("v"))
+    else:
+        path, date, value = RECORD_SHAPES[shape] if isinstance(shape, str) else shape
+        rows = df.select(F.explode(records_at(c(payload), path, "map<string,string>")).alias("r")).select(c("r")[date].alias("d"), c("r")[value].alias("v"))
+    comma = "." if shape == "bcb" else ""  # a decimal comma there, a thousands mark elsewhere
+    return rows.select(day_of(c("d")).alias("Date"), _number(c("v"), comma).alias("value")).where(c("Date").isNotNull() & c("value").isNotNull())
 
 
 def landed_observations(df: DataFrame, values_path: str, dates_path: str, payload: str = "value") -> DataFrame:
