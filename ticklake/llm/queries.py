@@ -11,7 +11,7 @@ from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .quality import quality_scores
-from .sharding import described, sharded
+from .sharding import curve_tables, described, sharded
 from .token_counts import token_counts
 from .toxicity import severities
 from .url_filters import judged
@@ -130,7 +130,24 @@ def op8(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_hilbert")
+def _shard_sql() -> str:
+    """CRC-32 by its table, the curve by its tables, then ranks."""
+    digit, follow = (str([x for row in t for x in row]) for t in curve_tables(3))
+
+    def crc(text: str) -> str:
+        data = f"list_transform(regexp_extract_all(hex(encode(coalesce({text}, ''))), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)"
+        return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"
+
+    return f"""
+WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {crc("text")} AS text_crc32, CASE WHEN lang IS NULL THEN 0 ELSE {crc("lang")} % 16 END AS x, CASE WHEN source IS NULL THEN 0 ELSE {crc("source")} % 16 END AS y FROM documents, t),
+z AS (SELECT *, least(greatest(length(bin(size)) - 5, 0), 15) AS z FROM d),
+c AS (SELECT doc_id, size, text_crc32, list_reduce(list_prepend(0::BIGINT, [3, 2, 1, 0]), lambda a, k: ((a // 16) * 8 + {digit}[(a % 16) * 8 + ((x >> k) & 1) * 4 + ((y >> k) & 1) * 2 + ((z >> k) & 1) + 1]) * 16 + {follow}[(a % 16) * 8 + ((x >> k) & 1) * 4 + ((y >> k) & 1) * 2 + ((z >> k) & 1) + 1]) // 16 AS curve FROM z),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id) - 1 AS k, count(*) OVER () AS n FROM c)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k * 24 // n AS INTEGER) AS shard, k - ((k * 24 // n) * n + 23) // 24 AS slot, CAST(NULL AS DOUBLE) AS grown_shard, curve FROM r"""
+
+
+@query("op10_hilbert", _shard_sql())
 def op10(spark, sf_dir):
     """Shards of all documents, along the curve; counts at most one apart."""
     rows = sharded(described(table(spark, sf_dir, "documents")))

@@ -84,7 +84,7 @@ def text_level(c: str, bits: int) -> Column:
 
 def size_level(size: Column, bits: int) -> Column:
     """Level of a size by its power of two, from 16 bytes on."""
-    return F.least(F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))) - 4, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
+    return F.least(F.greatest(F.length(F.bin(F.greatest(size, F.lit(1)))) - 5, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
 
 
 def described(docs: DataFrame) -> DataFrame:
