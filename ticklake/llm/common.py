@@ -68,12 +68,16 @@ def random64(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+BATCH_ROWS = 256  # rows handed on at a time, so that a task holds few results
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with one set-up per task: ``make()`` returns the function for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            yield fn(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield fn(batch.slice(at, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from .common import arrow_map, mix64, random64
 from .near_dedup import Shingler
 
 BITS = 18  # features: 2**18 hashed n-grams
-MAX_ROWS = 10_000  # labelled rows that the classifier is fitted on
+MAX_ROWS = 8_000  # labelled rows that the classifier is fitted on
 _SLICE = 1 << 20
 
 
@@ -132,7 +132,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, beta: float = 0.25, cost:
     values = []
     for i in use:
         x = ratio[rows[i]]
-        values.append(x / max(np.sqrt(x @ x), 1e-12))
+        values.append((x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32))
     w, b = dual_coordinate_descent([rows[i] for i in use], values, np.where(label[use] > 0, 1, -1), size, cost=cost)
     w = (1 - beta) * np.abs(w).mean() + beta * w  # between naive Bayes and the machine
     model = Model(ratio.astype(np.float32), w.astype(np.float32), beta * b, 1.0, 0.0)

@@ -23,7 +23,7 @@ _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85,
 _NOT_PLAIN = re.compile(f"[{chr(0x130)}{chr(0x300)}-{chr(0x10FFFF)}]|<\\|")
 _SLICE = 1 << 20  # characters of a text that are split into words at a time
 
-MAX_WORDS, MAX_RUNS = 400_000, 600_000  # entries kept per worker
+MAX_WORDS, MAX_RUNS = 120_000, 200_000  # entries kept per worker: about 60 MB
 
 
 def tokenizer(path: str) -> Tokenizer:

@@ -14,7 +14,7 @@ from .common import arrow_map, mix64, random64
 from .quality import sample
 
 BITS = 19  # features: 2**19 hashed terms
-MAX_ROWS = 12_000  # labelled rows that the model is fitted on
+MAX_ROWS = 8_000  # labelled rows that the model is fitted on
 GRADES = 4  # 0 clean, 1 to 3 toxic, by how dense its terms are
 STEMS = (4, 5, 6)  # word beginnings, in letters' bytes
 _SLICE = 1 << 18  # words counted at a time
