@@ -74,8 +74,8 @@ def words(text: Column) -> Column:
 def headline_sentiment(text: Column) -> Column:
     """X13 (positive - negative) / (positive + negative) over stripped lower-case words."""
     toks = F.transform(words(text), lambda w: F.lower(F.btrim(w, F.lit(STRIPPED))))
-    pos = F.size(F.filter(toks, lambda w: w.isin(POSITIVE)))
-    neg = F.size(F.filter(toks, lambda w: w.isin(NEGATIVE)))
+    pos = F.size(F.filter(toks, lambda w: w.isin(*POSITIVE)))
+    neg = F.size(F.filter(toks, lambda w: w.isin(*NEGATIVE)))
     return F.coalesce((pos - neg) / F.nullif(pos + neg, F.lit(0)), F.lit(0.0))
 
 
@@ -142,7 +142,7 @@ def word_count(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """X18 runs of three or more letters in lower case without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([A-Za-z]{3,})"), F.lit(1))
-    return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def topics(text: Column) -> Column:

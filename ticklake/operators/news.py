@@ -105,26 +105,42 @@ def top_headlines(df: DataFrame, n: int, order: Order = NEWS) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where(c("__rn") <= n).drop("__rn")
 
 
+def _runs(df: DataFrame, items: Column, *keep: str) -> DataFrame:
+    """``keep`` and ``runs``: per row the distinct ``items`` as ``struct(n, p, v)``, count, first place and value.
+
+    Row by row: the items are sorted once, and a run of equal ones is a value.
+    """
+    d = df.select(*keep, F.array_sort(F.transform(items, lambda w, i: F.struct(w.alias("v"), i.alias("p")))).alias("__s"))
+    at = F.sequence(F.lit(0), F.size("__s") - 1)
+    first = F.when(F.size("__s") > 0, F.filter(at, lambda i: (i == 0) | (F.get("__s", i)["v"] != F.get("__s", i - 1)["v"]))).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("__f", first)
+    end = lambda k: F.coalesce(F.get("__f", k + 1), F.size("__s"))
+    run = lambda i, k: F.struct((end(k) - i).alias("n"), F.get("__s", i)["p"].alias("p"), F.get("__s", i)["v"].alias("v"))
+    return d.select(*keep, F.transform("__f", run).alias("runs"))
+
+
 def top_keywords(df: DataFrame, n: int = 6, text: str = "text", row_id: str = "id") -> DataFrame:
-    """K07 the ``n`` commonest tokens of each text, first seen first on ties."""
-    d = df.select(row_id, F.posexplode(tx.tokens(c(text))).alias("__p", "keyword"))
-    counts = d.groupBy(row_id, "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("__p").alias("__p"))
-    w = Window.partitionBy(row_id).orderBy(c("n").desc(), "__p")
-    return counts.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n).drop("__p")
+    """K07 the ``n`` commonest tokens of each text, first seen first on ties.  No shuffle."""
+    d = _runs(df.where(c(text).isNotNull()), tx.tokens(c(text)), row_id)
+    best = F.slice(F.array_sort(F.transform("runs", lambda r: F.struct((-r["n"]).alias("m"), r["p"].alias("p"), r["v"].alias("v")))), 1, n)
+    d = d.select(row_id, F.posexplode(best).alias("__k", "__r"))
+    return d.select(row_id, c("__r.v").alias("keyword"), (-c("__r.m")).cast("long").alias("n"), (c("__k") + 1).alias("rank"))
 
 
 def embed_long(df: DataFrame, text: str = "text", row_id: str = "id", dim: int = 32) -> DataFrame:
-    """X23 sparse hashed embedding, one row (id, slot, weight) per used slot."""
-    slots = df.select(row_id, F.explode(F.transform(tx.words(c(text)), lambda w: tx.word_slot(w, dim))).alias("slot"))
-    n = slots.groupBy(row_id, "slot").agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    norm = n.groupBy(row_id).agg(F.sqrt(F.sum(c("__n") * c("__n"))).alias("__l"))
-    return n.join(norm, row_id).select(row_id, "slot", (c("__n") / c("__l")).alias("weight"))
+    """X23 sparse hashed embedding, one row (id, slot, weight) per used slot.  No shuffle; rows with equal ids stay apart."""
+    d = _runs(df, F.transform(tx.words(c(text)), lambda w: tx.word_slot(w, dim)), row_id)
+    norm = F.sqrt(F.aggregate("runs", F.lit(0.0), lambda a, r: a + r["n"].cast("double") * r["n"]))
+    cells = F.transform("runs", lambda r: F.struct(r["v"].alias("slot"), (r["n"].cast("double") / c("__l")).alias("weight")))
+    return d.withColumn("__l", norm).select(row_id, F.inline(cells))
 
 
 def _vectors(df: DataFrame, text: str, row_id: str, dim: int) -> DataFrame:
     """(id, v) with the used slots of every text; texts without words have none."""
-    cells = embed_long(df, text, row_id, dim).groupBy(row_id).agg(F.collect_list(F.struct("slot", "weight")).alias("v"))
-    return df.select(row_id).join(cells, row_id, "left")
+    d = _runs(df, F.transform(tx.words(F.coalesce(c(text), F.lit(""))), lambda w: tx.word_slot(w, dim)), row_id)
+    norm = F.sqrt(F.aggregate("runs", F.lit(0.0), lambda a, r: a + r["n"].cast("double") * r["n"]))
+    cells = F.transform("runs", lambda r: F.struct(r["v"].alias("slot"), (r["n"].cast("double") / c("__l")).alias("weight")))
+    return d.withColumn("__l", norm).select(row_id, cells.alias("v"))
 
 
 def similar_events(
