@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ticklake.llm.chat import borrowed_pairs, preferences
 from ticklake.llm.sharding import curve_tables, described, hilbert, sharded, write_shards
-from ticklake.llm.url_filters import judged
+from ticklake.llm.url_filters import judged, links
 
 from . import edge
 
@@ -115,3 +115,26 @@ def test_written_shards(spark, tmp_path):
     write_shards(df, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(edge.rows()) and set(df.columns) <= set(back.columns)
+
+
+def test_url_targets(spark):
+    """Tags over several lines, and targets that are no whole urls."""
+    rows = [
+        ("https://x.com/a/b?q=1", '<link\n  rel="canonical"\n  href="https://evil.net/z"\n>', "https://evil.net/z"),
+        ("https://x.com/a/b?q=1", '<meta\n http-equiv="refresh"\n content="0;\n url=//evil.net/z">', "https://evil.net/z"),
+        ("https://x.com/a/b?q=1", '<link rel=canonical href="/de/p?x=1&amp;y=2">', "https://x.com/de/p?x=1&y=2"),
+        ("https://x.com/a/b?q=1", '<meta http-equiv=refresh content="0; url=\'../c/./d/..\'">', "https://x.com/c/"),
+        ("https://x.com/a/b?q=1", '<link rel=canonical href="e.html#f">', "https://x.com/a/e.html#f"),
+        ("https://x.com/a/b?q=1", '<link rel=canonical href="?r=../2">', "https://x.com/a/b?r=../2"),
+        ("https://x.com", "<link rel=canonical href=g>", "https://x.com/g"),
+        ("https://x.com/a/b", '<base\nhref="//evil.net/k/"><link rel=canonical data-href="/no" href="m">', "https://evil.net/k/m"),
+        ("https://x.com/a/b", '<link rel=canonical href="/go?u=http://evil.net/">', "https://x.com/go?u=http://evil.net/"),
+        ("https://x.com/a/b", '<link rel=canonical href="mailto:a@evil.net">', None),
+        ("nonsense", '<link rel=canonical href="/x">', None),
+    ]
+    own = lambda i, x: x and x.replace("https://x.com", f"https://x{i}.com")
+    df = spark.createDataFrame([(i, own(i, u), h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    assert {tuple(r) for r in links(df).collect()} == {(own(i, u), own(i, want)) for i, (u, _, want) in enumerate(rows) if want}
+    pages = [(0, "https://example.com/a", '<link\nrel="canonical"\nhref="/de/a">'), (1, "https://y.com/", '<meta http-equiv="refresh"\ncontent="0; url=//evil.net/z">')]
+    got = judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [r.verdict for r in got] == ["block", "block"]

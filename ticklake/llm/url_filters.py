@@ -31,15 +31,56 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def resolved(ref: Column, base: Column) -> Column:
+    """``ref`` as a whole url, seen from the page ``base`` (RFC 3986); null if it names no page or ``base`` has no host.
+
+    Whole urls stay as they are.  ``//host/path`` takes the scheme, ``/path`` also
+    the host, ``?query`` also the path, and ``path`` the folder of ``base``; ``.`` and
+    ``..`` are taken out of paths.  ``#part`` is ``base`` itself.
+    """
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    root = F.regexp_extract(base, scheme + "//[^/?#]+", 0)
+    own = F.regexp_extract(base, scheme + "//[^/?#]+([^?#]*)", 1)
+    folder = F.when(own == "", F.lit("/")).otherwise(F.regexp_replace(own, "[^/]*$", ""))
+    end = F.regexp_extract(ref, "[?#].*$", 0)
+    given = F.regexp_extract(ref, "^[^?#]*", 0)
+    full = F.when(given.startswith("/"), given).otherwise(F.concat(folder, given))
+    parts = F.split(F.substring(full, 2, F.length(full)), "/", -1)
+    last = F.get(parts, F.size(parts) - 1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return (
+        F.when(ref.rlike(scheme + "//"), ref)
+        .when((ref == "") | (root == "") | ref.rlike(scheme), F.lit(None).cast("string"))
+        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, scheme, 0), ref))
+        .when(ref.startswith("#"), base)
+        .when(ref.startswith("?"), F.concat(root, own, ref))
+        .otherwise(F.concat(root, clean, end))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """``a, b``: redirects (``http-equiv=refresh``) and canonical links that the ``html`` of a page names, whole urls only."""
-    value = "[\"']?([^\"'\\s>;]*://[^\"'\\s>]*)"
-    tags = F.expr("regexp_extract_all(html, '(?i)<(?:link|meta)\\\\b[^>]*>', 0)")
-    tag = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike("(?i)^<link\\b.*\\brel\\s*=\\s*[\"']?canonical\\b"), F.regexp_extract("tag", f"(?i)\\bhref\\s*=\\s*{value}", 1))
-    redirect = F.when(F.col("tag").rlike("(?i)^<meta\\b.*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"), F.regexp_extract("tag", f"(?i)\\burl\\s*=\\s*{value}", 1))
-    to = F.regexp_replace(F.coalesce(F.nullif(canonical, F.lit("")), F.nullif(redirect, F.lit(""))), "&amp;", "&")
-    return tag.select(F.col("url").alias("a"), to.alias("b")).where("b is not null")
+    """``a, b``: redirects (``http-equiv=refresh``) and canonical links that the ``html`` of a page names, as whole urls.
+
+    Tags may run over several lines.  Relative targets are seen from the page's
+    ``<base href>``, or else from its url.
+    """
+    value = "\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)"
+    attr = "(?is)(?<![\\w-])"
+    tags = F.expr("regexp_extract_all(html, '(?i)<(?:link|meta|base)\\\\b[^>]*>', 0)")
+    tag = pages.where("url is not null and html is not null").select("url", tags.alias("tags")).select("url", "tags", F.explode("tags").alias("tag"))
+    seat = F.get(F.filter(F.transform("tags", lambda x: F.regexp_extract(x, "(?is)^<base\\b.*?(?<![\\w-])href" + value, 1)), lambda x: x != ""), F.lit(0))
+    canonical = F.when(F.col("tag").rlike("(?is)^<link\\b.*\\brel\\s*=\\s*[\"']?canonical\\b"), F.regexp_extract("tag", attr + "href" + value, 1))
+    redirect = F.when(F.col("tag").rlike("(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"), F.regexp_extract("tag", attr + "url" + value, 1))
+    plain = lambda x: F.regexp_replace(x, "&amp;", "&")
+    found = tag.select("url", "tags", plain(F.coalesce(F.nullif(canonical, F.lit("")), F.nullif(redirect, F.lit("")))).alias("ref")).where("ref is not null")
+    found = found.select("url", "ref", plain(seat).alias("seat"))
+    base = F.coalesce(resolved(F.col("seat"), F.col("url")), F.col("url"))
+    return found.select(F.col("url").alias("a"), resolved(F.col("ref"), base).alias("b")).where("b is not null")
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
