@@ -6,7 +6,7 @@ import pytest
 
 from ticklake.llm.decontaminate import Finder, contaminated, decontaminated, normal
 from ticklake.llm.quality import calibrate, dual_coordinate_descent, good, held_out, quality_scores
-from ticklake.llm.toxicity import GRADES, severities
+from ticklake.llm.toxicity import GRADES, Terms, severities
 
 from . import edge
 
@@ -133,6 +133,32 @@ def test_toxicity_edge_rows(spark):
     assert not any(r.toxic for r in severities(df, l.limit(0)).collect())
 
 
+def test_terms_of_long_words(monkeypatch):
+    def found(text):
+        slot, count, words = Terms()(text.encode())
+        return list(zip(slot.tolist(), count.tolist())), words
+
+    glued = "nicewords" * 30
+    assert found(glued + "x") != found(glued + "y") and found("a" * 64 + "b")[0] != found("a" * 64 + "c")[0]
+    late = {s for s, _ in found(glued + "moron" + glued)[0]}
+    assert {s for s, _ in found("moro")[0]} & late  # its beginning counts where no word begins
+    texts = ["今天天气很好我们去公园散步" * 20 + "笨蛋", glued + "é" * 50, "a b " + glued + " c"]
+    whole = [found(t) for t in texts]
+    monkeypatch.setattr("ticklake.llm.toxicity._SLICE", 7)
+    assert [found(t) for t in texts] == whole
+
+
+def test_toxicity_late_in_text_without_blanks(spark):
+    rng = random.Random(3)
+    chars = "今天气很好我们去公园散步看书喝茶听音乐学习工作朋友家人山水花草"
+    plain = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    text = lambda bad, n: plain(n) + ("笨蛋滚开" if bad else "") + plain(20)
+    rows = [(i, text(i % 2, rng.randint(30, 90)), i % 2) for i in range(400)] + [(1000 + i, text(i % 2, rng.randint(30, 90)), None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = severities(df.select("doc_id", "text"), df.where("toxic is not null").select("doc_id", "toxic")).where("doc_id >= 1000").collect()
+    assert len(got) == 20 and all(r.toxic == (r.doc_id % 2 == 1) for r in got)
+
+
 @pytest.mark.parametrize("text,n", [("", 0), ("a", 1), ("ab cd", 1)])
 def test_normal(text, n):
     assert normal(f" {text.upper()}\n") == text.encode() and (len(normal(text)) > 0) == bool(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,38 +18,106 @@ BITS = 19  # features: 2**19 hashed terms
 MAX_ROWS = 8_000  # labelled rows that the model is fitted on
 GRADES = 4  # 0 clean, 1 to 3 toxic, by how dense its terms are
 STEMS = (4, 5, 6)  # word beginnings, in letters' bytes
-_SLICE = 1 << 18  # words counted at a time
+GRAMS = (2, 3, 4)  # characters of overlapping pieces of runs
+LONG = 64  # bytes of a word; what is longer is a run
+_SLICE = 1 << 18  # words, or characters of a run, counted at a time
 
 # letters of words: a-z (A-Z lower-cased) and all bytes of other scripts' letters
 _LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
 class Terms:
-    """Counts of a text's words and word beginnings, as ``(feature numbers, counts, words)``."""
+    """Counts of a text's words, word beginnings and pieces of runs, as ``(feature numbers, counts, words)``.
+
+    A run is a word of more than ``LONG`` bytes, or one with characters of three
+    or four bytes, which may be a whole text in a script without blanks.  All its
+    pieces of 2 to 4 characters count, wherever they stand, in long words also
+    those of the length of word beginnings, as if a word began there; each four
+    characters begun count as a word.
+    """
 
     def __init__(self):
-        self.values = random64(256 * 64, 29).reshape(64, 256)  # by place in the word; longer words are cut to 64 bytes here
+        self.values = random64(256 * LONG, 29).reshape(LONG, 256)  # by place in the word
         self.salt = random64(1 + len(STEMS), 31)
+        self.pieces = random64(len(GRAMS) * max(GRAMS), 37).reshape(len(GRAMS), -1) | np.uint64(1)  # by place in the piece
+
+    def _rest(self, word: bytes) -> np.ndarray:
+        """What a word's bytes after the first ``LONG`` add to its sum: values by place, times odd numbers by stretch."""
+        total = np.zeros(1, np.uint64)
+        for at in range(LONG, len(word), _SLICE):
+            data = np.frombuffer(word, np.uint8, min(_SLICE, len(word) - at), at)
+            place = np.arange(at, at + len(data))
+            total += (self.values[place % LONG, data] * (2 * (place // LONG) + 1).astype(np.uint64)).sum(dtype=np.uint64)
+        return total
+
+    def _inner(self, run: bytes):
+        """Hashes of a run's pieces from its second byte on that equal those of word beginnings, slice by slice."""
+        for at in range(1, len(run), _SLICE):
+            data = np.frombuffer(run, np.uint8, min(_SLICE + max(STEMS) - 1, len(run) - at), at)
+            for k, n in enumerate(STEMS):
+                m = min(_SLICE, len(data) - n + 1)
+                if m > 0:
+                    sums = np.full(m, self.salt[1 + k])
+                    for j in range(n):
+                        sums += self.values[j, data[j : j + m]]
+                    yield mix64(sums)
+
+    def _grams(self, run: str):
+        """Hashes of all pieces of a run's characters, slice by slice."""
+        for at in range(0, len(run), _SLICE):
+            part = run[at : at + _SLICE + max(GRAMS) - 1]
+            chars = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+            for own, n in zip(self.pieces, GRAMS):
+                m = min(_SLICE, len(chars) - n + 1)
+                if m > 0:
+                    sums = np.full(m, own[0])
+                    for k in range(n):
+                        sums += mix64(chars[k : k + m] * own[k])
+                    yield mix64(sums)
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         words = text.translate(_LETTERS).split()
-        found = []
+        total, found, in_runs = len(words), [], None
         for at in range(0, len(words), _SLICE):
             part = words[at : at + _SLICE]
-            size = np.minimum(np.fromiter(map(len, part), np.int64, len(part)), 64)
-            data = np.frombuffer(b"".join([w[:64] for w in part]), np.uint8)
+            length = np.fromiter(map(len, part), np.int64, len(part))
+            size = np.minimum(length, LONG)
+            data = np.frombuffer(b"".join([w[:LONG] for w in part]), np.uint8)
             end = np.cumsum(size)
             start = end - size
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(self.values[np.arange(len(data)) - np.repeat(start, size), data], out=sums[1:])
-            found.append(mix64(sums[end] - sums[start] + self.salt[0]))
+            whole = sums[end] - sums[start]
+            long = np.flatnonzero(length > LONG)
+            for i in long:
+                whole[i : i + 1] += self._rest(part[i])
+            found.append(mix64(whole + self.salt[0]))
             for k, n in enumerate(STEMS):
-                long = start[size >= n]
-                found.append(mix64(sums[long + n] - sums[long] + self.salt[1 + k]))
+                begins = start[size >= n]
+                found.append(mix64(sums[begins + n] - sums[begins] + self.salt[1 + k]))
+            wide = np.zeros(len(part), bool)
+            wide[long] = True
+            if (data >= 0xE0).any():
+                wide |= np.logical_or.reduceat(data >= 0xE0, start)
+            for i in np.flatnonzero(wide):
+                run = part[i].decode("utf-8", "replace")
+                total += (len(run) - 1) // 4
+                if in_runs is None:
+                    in_runs = np.zeros(1 << BITS, np.int64)
+                for h in chain(self._grams(run), self._inner(part[i]) if length[i] > LONG else ()):
+                    np.add.at(in_runs, self._slots(h), 1)
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64), 0
-        slot, count = np.unique((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
-        return slot, count, len(words)
+        slot, count = np.unique(self._slots(np.concatenate(found)), return_counts=True)
+        if in_runs is not None:
+            in_runs[slot] += count
+            slot = np.flatnonzero(in_runs)
+            count = in_runs[slot]
+        return slot, count, total
+
+    @staticmethod
+    def _slots(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def values(count: np.ndarray, words: int) -> np.ndarray:
@@ -162,7 +231,8 @@ def severities(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS,
     labelled rows: 0 where ``labels.toxic`` is 0, else 1 to 3 by thirds of how
     dense the terms are that stand out in toxic rows.  Fitted on ``max_rows`` labelled
     rows at most (documented bound); the model is of fixed size, and every whole
-    text is scored where it lies.
+    text is scored where it lies, long words and scripts without blanks included
+    (see :class:`Terms`).
 
     Null or empty text has no terms and gets the severity of that; null ids are
     scored; repeated rows count each; other columns are not read; without labels of both
