@@ -72,9 +72,29 @@ def _(t):
 
 @query("io19_records", "SELECT CAST(ts AS DATE) AS \"Date\", value FROM events WHERE event_id%7<>0")
 def _(t):
-    v = F.when(c("event_id") % 7 == 0, ".").otherwise(c("value").cast("string"))
-    rec = F.concat(F.lit('{"observations":[{"date":"'), F.to_date("ts").cast("string"), F.lit('","value":"'), v, F.lit('"}]}'))
-    return scans.landed_records(t.events.select(rec.alias("value")), "fred")
+    """Each event as the payload of one provider, by turns."""
+    day, v = F.to_date("ts").cast("string"), F.when(c("event_id") % 7 == 0, ".").otherwise(c("value").cast("string"))
+    fill = lambda text, *xs: F.concat(*[y for i, p in enumerate(text.split("~")) for y in ([xs[i - 1]] if i else []) + [F.lit(p)]])
+    sdmx = ',"structure":{"dimensions":{"observation":[{"id":"geo","values":[{"id":"UK"}]},{"id":"TIME_PERIOD","values":[{"id":"1999"},{"id":"~"}]}]}}}'
+    payloads = {
+        "fred": fill('{"observations":[{"date":"~","value":"~"}]}', day, v),
+        "worldbank": fill('[{"page":1},[{"date":"~","value":"~"}]]', day, v),
+        "imf": fill('{"CompactData":{"DataSet":{"Series":{"Obs":[{"@TIME_PERIOD":"~","@OBS_VALUE":"~"}]}}}}', day, v),
+        "finnhub": fill('[{"datetime":~,"value":"~"}]', (F.unix_date(F.to_date("ts")).cast("long") * 86_400).cast("string"), v),
+        "bcb": fill('[{"data":"~","valor":"~"}]', F.date_format("ts", "dd/MM/yyyy"), F.translate(v, ".", ",")),
+        "statcan": fill('{"vectorDataPoints":[{"vectorId":"v1","refPer2":"~","value":"~"}]}', day, v),
+        "bankofcanada": fill('{"observations":[{"d":"~","FX":{"v":"~"}}]}', day, v),
+        "opencanada": fill('{"result":{"records":[{"_id":1,"REF_DATE":"~","VALUE":"~"}]}}', day, v),
+        "ons": fill('{"observations":[{"dimensions":{"time":{"id":"time","option":{"id":"~"}}},"observation":"~"}]}', day, v),
+        "dbnomics": fill('{"series":{"docs":[{"period_start_day":["~"],"value":["~"]}]}}', day, v),
+        "eurostat": fill('{"dataSets":[{"observations":{"0:1":["~"]}}]' + sdmx, v, day),
+        "ecb": fill('{"dataSets":[{"series":{"0:0":{"observations":{"1":["~"]}}}}]' + sdmx, v, day),
+    }
+    out = None
+    for k, (shape, text) in enumerate(payloads.items()):
+        rows = scans.landed_records(t.events.where(F.pmod("event_id", F.lit(len(payloads))) == k).select(text.alias("value")), shape)
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query("io20_market_days", "SELECT CAST(ts AS DATE) AS \"Date\", upper(event_type) AS report_ticker, value AS open_interest, 0.0::DOUBLE AS daily_volume FROM events")
