@@ -48,7 +48,7 @@ def _(t):
     from ..operators import pairs as pr
     from .market import PO, _pairs
 
-    names = [("click", "view"), ("view", "error"), ("error", "signup")]
+    names = pr.all_pairs(t.hourly)
     wide = pr.widen_pairs(pr.pair_features(_pairs(t), 30, PO), names)
     d, _ = ml.principal_components(wide, [f"corr_{a}_{b}" for a, b in names], 2, "pair_pca")
     return shown(d, "Timestamp", "pair_pca_0 pair_pca_1")

@@ -79,6 +79,11 @@ def pair_features(pairs_long: DataFrame, n: int = 30, order: Order = pair_order(
     return rolling(pairs_long, fn, n - 1, 0, order)
 
 
+def all_pairs(df: DataFrame) -> list[tuple[str, str]]:
+    """All pairs (a < b) of the symbols of ``df``, in order: the columns of a wide table."""
+    return sorted((r["a"], r["b"]) for r in pair_list(df, both_ways=False).collect())
+
+
 def widen_pairs(features: DataFrame, pairs: list[tuple[str, str]], value: str = "corr") -> DataFrame:
     """Columns ``<value>_a_b`` for a named pair list, one row per time; missing values 0."""
     cols = [F.coalesce(F.max(F.when((c("a") == a) & (c("b") == b), c(value))), F.lit(0.0)).alias(f"{value}_{a}_{b}") for a, b in pairs]
@@ -99,11 +104,16 @@ def top_pairs(pairs_long: DataFrame, k: int) -> DataFrame:
     return d.orderBy(F.abs(F.round("corr", 12)).desc(), "a", "b").limit(k).select("a", "b", "corr")
 
 
-def confirmation(features: DataFrame, target: str, related: list[str]) -> DataFrame:
-    """W31 sum over related symbols of last correlation times sign of their last move, with the parts."""
-    last = features.where((c("a") == target) & c("b").isin(related)).groupBy("a", "b").agg(
-        F.max_by(F.struct("corr", "y"), c("Timestamp")).alias("l")
-    )
+def confirmation(features: DataFrame, target: str | None = None, related: list[str] | None = None) -> DataFrame:
+    """W31 sum over related symbols of last correlation times sign of their last move, with the parts.
+
+    Without ``target`` every symbol is scored; without ``related`` all others count.
+    """
+    if target is not None:
+        features = features.where(c("a") == target)
+    if related is not None:
+        features = features.where(c("b").isin(related))
+    last = features.where(c("a") != c("b")).groupBy("a", "b").agg(F.max_by(F.struct("corr", "y"), c("Timestamp")).alias("l"))
     parts = last.select("a", "b", c("l.corr").alias("corr"), (c("l.corr") * F.signum("l.y")).alias("part")).where(c("corr").isNotNull())
     return parts.groupBy(c("a").alias("Symbol")).agg(
         F.sum("part").alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("b", "corr")))).alias("correlations")
