@@ -8,10 +8,13 @@ from .common import QUERIES, SQL, query, table
 from .chat import borrowed_pairs, preferences
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
+from .lexical import ranked
+from .merkle import leaf, manifest
 from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .quality import quality_scores
 from .sharding import curve_tables, described, sharded
+from .simhash import near_prints
 from .token_counts import token_counts
 from .toxicity import severities
 from .url_filters import judged
@@ -130,17 +133,22 @@ def op8(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# CRC-32 by its table: ``t`` has it as ``tab``
+_CRC_TABLE = "t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+
+
+def _crc_sql(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode(coalesce({text}, ''))), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
 def _shard_sql() -> str:
     """CRC-32 by its table, the curve by its tables, then ranks."""
     digit, follow = (str([x for row in t for x in row]) for t in curve_tables(3))
 
-    def crc(text: str) -> str:
-        data = f"list_transform(regexp_extract_all(hex(encode(coalesce({text}, ''))), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)"
-        return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"
-
     return f"""
-WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
-d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {crc("text")} AS text_crc32, CASE WHEN lang IS NULL THEN 0 ELSE {crc("lang")} % 16 END AS x, CASE WHEN source IS NULL THEN 0 ELSE {crc("source")} % 16 END AS y FROM documents, t),
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {_crc_sql("text")} AS text_crc32, CASE WHEN lang IS NULL THEN 0 ELSE {_crc_sql("lang")} % 16 END AS x, CASE WHEN source IS NULL THEN 0 ELSE {_crc_sql("source")} % 16 END AS y FROM documents, t),
 z AS (SELECT *, least(greatest(length(bin(size)) - 5, 0), 15) AS z FROM d),
 c AS (SELECT doc_id, size, text_crc32, list_reduce(list_prepend(0::BIGINT, [3, 2, 1, 0]), lambda a, k: ((a // 16) * 8 + {digit}[(a % 16) * 8 + ((x >> k) & 1) * 4 + ((y >> k) & 1) * 2 + ((z >> k) & 1) + 1]) * 16 + {follow}[(a % 16) * 8 + ((x >> k) & 1) * 4 + ((y >> k) & 1) * 2 + ((z >> k) & 1) + 1]) // 16 AS curve FROM z),
 r AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id) - 1 AS k, count(*) OVER () AS n FROM c)
@@ -152,3 +160,77 @@ def op10(spark, sf_dir):
     """Shards of all documents, along the curve; counts at most one apart."""
     rows = sharded(described(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+_RANK_SQL = """
+WITH x AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM x WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+p AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+v AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY t),
+c AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS c FROM p JOIN v USING (t), s),
+e AS (SELECT item_id, r, doc_id, sum(c)::BIGINT AS score FROM q JOIN c USING (t) GROUP BY ALL HAVING sum(c) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM e QUALIFY rank <= 50"""
+
+
+@query("op11_ranked_search", _RANK_SQL)
+def op11(spark, sf_dir):
+    """The 50 best documents of each benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash")
+def op12(spark, sf_dir):
+    """SimHash components over 3-word shingles, at most 3 bits apart."""
+    return near_prints(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """The tree level by level, up to ``16 ** levels`` leaves a source and as many sources."""
+
+    def hashed(text: str) -> str:
+        fields = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        _CRC_TABLE,
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, source AS s, {hashed('text')} AS leaf, CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 5 = 0 THEN {hashed(low)} ELSE {hashed('text')} END AS bad FROM documents, t)",
+        "a0 AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY s) AS n, r FROM d)",
+    ]
+
+    def grow(x: str, key: str) -> None:
+        for k in range(levels):
+            on = f"SELECT {key}, CASE WHEN n > 1 THEN i // 16 ELSE i END AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY z)) ELSE any_value(h) END AS h, CASE WHEN any_value(n) > 1 THEN (any_value(n) + 15) // 16 ELSE 1 END AS n"
+            ctes.append(f"{x}{k + 1} AS ({on} FROM (SELECT {key}, i, i AS z, h, n FROM {x}{k}) GROUP BY {key}, CASE WHEN n > 1 THEN i // 16 ELSE i END)")
+
+    grow("a", "s")
+    ctes.append(f"b0 AS (SELECT 1 AS g, s, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM a{levels})")
+    grow("b", "g")
+    # the witness of a leaf, folded level by level: text so far, and what the changed leaf comes to
+    ctes.append("f0 AS (SELECT d.r, d.doc_id, d.leaf, d.s, a0.i, d.bad AS f, '' AS w FROM d JOIN a0 USING (r))")
+    step = 0
+    for x, on in (("a", "f.s IS NOT DISTINCT FROM {t}.s"), ("b", "TRUE")):
+        if x == "b":
+            ctes.append(f"f{step + 1} AS (SELECT f.r, f.doc_id, f.leaf, f.s, b0.i, f.f, f.w FROM f{step} f JOIN b0 ON f.s IS NOT DISTINCT FROM b0.s)")
+            step += 1
+        for k in range(levels):
+            t = f"{x}{k}"
+            ctes.append(
+                f"g{step} AS (SELECT f.r, any_value({t}.n) AS n, coalesce(string_agg({t}.h, '' ORDER BY {t}.i) FILTER ({t}.i < f.i), '') AS pre, coalesce(string_agg({t}.h, '' ORDER BY {t}.i) FILTER ({t}.i > f.i), '') AS post "
+                f"FROM f{step} f JOIN {t} ON {on.format(t=t)} AND {t}.i // 16 = f.i // 16 GROUP BY f.r)"
+            )
+            ctes.append(f"f{step + 1} AS (SELECT f.r, f.doc_id, f.leaf, f.s, CASE WHEN g.n > 1 THEN f.i // 16 ELSE f.i END AS i, CASE WHEN g.n > 1 THEN sha256(g.pre || f.f || g.post) ELSE f.f END AS f, f.w || g.pre || g.post AS w FROM f{step} f JOIN g{step} g USING (r))")
+            step += 1
+    return f"""WITH {", ".join(ctes)}
+SELECT f.doc_id, f.leaf, b0.h AS subroot, b.h AS root, sha256(f.w) AS proof_sha256, f.f AS folded_root, f.f = b.h AS verified
+FROM f{step} f JOIN b0 ON f.s IS NOT DISTINCT FROM b0.s, b{levels} b"""
+
+
+@query("op13_merkle", _merkle_sql())
+def op13(spark, sf_dir):
+    """Manifest of all documents; in every fifth row by checksum of its id the text's capitals are lowered before it is checked."""
+    id_ = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest(table(spark, sf_dir, "documents"), tampered=F.when(id_ % 5 == 0, leaf({"text": low})))
