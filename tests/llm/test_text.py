@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -56,14 +58,48 @@ def test_finder_over_slices(monkeypatch):
         assert hit[:2] == (1, 0) and hit[3] - hit[2] == len(item)
 
 
+def test_finder_on_text_that_repeats_itself():
+    """Items of period 1, 2 and 3, whole and with edits, in short texts of the same period."""
+    rng = random.Random(9)
+    items = [(0, "-" * 40), (1, "ab" * 25), (2, "ab " * 20 + "a"), (3, "-" * 30 + "x" + "-" * 30), (4, "=" * 12), (5, "abcabdabc" * 6)]
+    f = Finder(items, 0.1)
+    budget = {i: int(k) for (i, _), k in zip(f.items, f.edits)}
+    for base in ("-" * 150, "ab" * 80, "ab " * 60, "=" * 11, "-" * 35 + "y" + "-" * 35, "abcabdabc" * 12, "-=" * 50):
+        for edits in (0, 1, 3, 9):
+            s = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(s))
+                s[at : at + rng.choice((0, 1))] = rng.choice(("", "x", "-"))
+            text = normal("".join(s))
+            got = {h[0]: h[1:] for h in f(text.decode())}
+            for k, t in items:
+                best = sellers(normal(t), text)
+                assert (best <= budget[k]) == (k in got)
+                if k in got:
+                    assert got[k][0] == best == sellers(normal(t), text[got[k][1] : got[k][2]])
+
+
+@pytest.mark.parametrize("item,text", [("-" * 1000, "-" * 260_000), ("-" * 120, "-" * 260_000), ("ab " * 300, "ab " * 90_000), ("-" * 500 + "x" + "-" * 499, "-" * 260_000)])
+def test_finder_memory_on_text_that_repeats_itself(item, text):
+    find = Finder([(1, item)], 0.1)
+    tracemalloc.start()
+    began = time.time()
+    ((_, edits, start, end),) = find(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert edits == item.count("x") and start == 0 and end - start >= len(item.strip()) - edits
+    assert peak < 300e6 and time.time() - began < 10  # seconds on a busy machine; about one alone
+
+
 def test_contaminated_edge_rows(spark):
     items = spark.createDataFrame([(1, edge.BASE[:120]), (1, edge.BASE[:120]), (2, None), (3, "  "), (None, "w5x5 w6x6 w7x7"), (4, "ONE  two"), (5, "w59999")], "item_id long, text string")
     df = edge.docs(spark)
     for size in (4 << 20, 250):  # one block, and several
         got = sorted({(str(r.doc_id), str(r.item_id)) for r in contaminated(df, items, block_bytes=size).collect()})
         assert got == sorted([(d, "1") for d in ("3", "5", "9", "None")] + [("7", "None"), ("8", "4"), ("10", "4")] + [("7", "5")] * 0)
-    left = decontaminated(df, items)
-    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "11", "2", "4", "None"]
+    for size in (4 << 20, 250):
+        left = decontaminated(df, items, block_bytes=size)
+        assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "11", "2", "4", "None"]
     assert contaminated(edge.empty(spark), items).count() == 0
     assert contaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, utf8_size
+from .common import arrow_map, drop_table, keep, utf8_size
 
 Q = 8  # bytes of a q-gram: one 64-bit word
 BLOCK_BYTES = 4 << 20  # benchmark text that goes to the workers at a time
 _SLICE = 1 << 18  # bytes of a document that are searched at a time
+_PAIRS = 1 << 20  # (place in text, place in item) pairs looked at at a time
+_REGIONS = 4096  # alignments remembered at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 21
 _ONE = 1 << 32  # an edit, beside the start column in one integer
@@ -57,7 +61,7 @@ def align(item: bytes, text: bytes, band: int, allowed: int, before: int = 0) ->
 class Finder:
     """Benchmark items by their q-grams.  ``items`` are ``(id, text)``; ``rate`` is the edits allowed per byte."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rate: float):
+    def __init__(self, items: list[tuple[object, str | None]], rate: float):
         named = [(i, normal(t)) for i, t in items]
         self.short = [(i, t) for i, t in named if 0 < len(t) < Q]  # looked up as they are
         self.items = [(i, t) for i, t in named if len(t) >= Q]
@@ -80,7 +84,7 @@ class Finder:
     def slot(gram: np.ndarray) -> np.ndarray:
         return (gram * _MIX >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def __call__(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
+    def __call__(self, text: str | None) -> list[tuple[object, int, int, int]]:
         """``(item id, edits, start, end)`` of the nearest stretch per item found, in bytes of the normal form."""
         data = normal(text)
         best: dict[int, tuple[int, int, int]] = {}
@@ -104,52 +108,125 @@ class Finder:
         at[at == len(self.gram)] = 0
         real = self.gram[at] == g[p]
         p, at = p[real], at[real]
-        n = self.times[at]
-        row = np.repeat(self.start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, p = self.item[row], np.repeat(p, n)
-        able = (np.bincount(item, minlength=len(self.items)) >= self.needed)[item]  # else too few in all of the text
+        if not len(p):
+            return {}
+        order = np.argsort(at, kind="stable")
+        p = p[order]  # places of each gram, ascending
+        shared, first, times = np.unique(at[order], return_index=True, return_counts=True)
+        n = self.times[shared]
+        row = np.repeat(self.start[shared], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item = self.item[row]
+        # a place of an item counts once however often its gram comes, so this many can count at all
+        able = (np.bincount(item, minlength=len(self.items)) >= self.needed)[item]
         if not able.any():
             return {}
-        row, item, p = row[able], item[able], p[able]
-        width = self.edits[item] + 1
-        base = int(self.longest)  # keeps diagonals from below zero
-        diagonal = p - self.place[row] + base
-        # bands of 2 (k + 1) diagonals, each overlapping half of the next: any k + 1 diagonals lie in one
-        band = diagonal // width
-        many = np.int64(len(data) + 2 * base + 2)
-        # a place of the item counts once in a band, however often its gram comes there
-        base2 = np.int64(self.longest + 1)
-        own = np.unique(np.concatenate((item * many + band, item * many + band - 1)) * base2 + np.tile(self.place[row], 2)) // base2
-        keys, count = np.unique(own, return_counts=True)
-        enough = count >= self.needed[keys // many]
+        which = np.repeat(np.arange(len(shared)), n)[able]
+        item, place = item[able], self.place[row[able]]
+        order = np.argsort(item, kind="stable")
+        which, item, place = which[order], item[order], place[order]
         best: dict[int, tuple[int, int, int]] = {}
-        for key in keys[enough]:
-            k = int(key // many)
-            own, allowed, w = self.items[k][1], int(self.edits[k]), int(self.edits[k]) + 1
-            first = int(key % many) * w - base - allowed
-            cols = 2 * w + 2 * allowed
+        for lo, hi in _runs(item):
+            k = int(item[lo])
+            count = self.in_bands(k, len(data), place[lo:hi], first[which[lo:hi]], times[which[lo:hi]], p)
+            found = self.nearest(k, data, count)
+            if found:
+                best[k] = found
+        return best
+
+    def in_bands(self, k: int, size: int, place: np.ndarray, first: np.ndarray, times: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """By band, the places of item ``k`` whose gram the text has on one of the band's diagonals.
+
+        Band b covers the 2 (k + 1) diagonals from (b - 1)(k + 1) on, less the item's own size; any k + 1
+        lie in one.  ``p[first: first + times]`` are where the text has the gram of a
+        ``place``.  A gram that the text has more often than there are bands is asked
+        for by band, so the work on an item is bounded by its places times the
+        bands, and it is done in pieces of ``_PAIRS``.
+        """
+        w, base = int(self.edits[k]) + 1, len(self.items[k][1]) + int(self.edits[k])
+        bands = (size + base) // w + 2
+        count = np.zeros(bands, np.int64)
+        often = times > bands
+        rows = np.flatnonzero(~often)
+        ends = np.cumsum(times[rows])
+        at = 0
+        while at < len(rows):
+            before = int(ends[at - 1]) if at else 0
+            to = max(int(np.searchsorted(ends, before + _PAIRS, side="right")), at + 1)
+            own, n = rows[at:to], times[rows[at:to]]
+            pair = np.repeat(np.arange(len(own)), n)
+            where = p[np.repeat(first[own], n) + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
+            key = pair * bands + (where - place[own][pair] + base) // w + 1
+            key = np.unique(np.concatenate((key, key - 1)))
+            count += np.bincount(key % bands, minlength=bands)
+            at = to
+        starts = (np.arange(bands) - 1) * w - base
+        step = max(_PAIRS // bands, 1)
+        rows = np.flatnonzero(often)
+        for gram in np.unique(first[rows]):
+            same = rows[first[rows] == gram]
+            there = p[gram : gram + times[same[0]]]
+            for at in range(0, len(same), step):
+                lo = (starts[None, :] + place[same[at : at + step], None]).ravel()
+                has = np.searchsorted(there, lo + 2 * w) > np.searchsorted(there, lo)
+                count += has.reshape(-1, bands).sum(axis=0)
+        return count
+
+    def nearest(self, k: int, data: bytes, count: np.ndarray) -> tuple[int, int, int] | None:
+        """``(edits, start, end)`` of the nearest stretch in the bands with enough grams.
+
+        The grams missing in a band bound its edits from below, so bands go best
+        bound first and those that cannot be better any more are passed over.
+        Bands over the same bytes (text that repeats itself) are aligned once.
+        """
+        own, allowed = self.items[k][1], int(self.edits[k])
+        w, base = allowed + 1, len(own) + allowed
+        bands = np.flatnonzero(count >= self.needed[k])
+        least = -((count[bands] - (len(own) - Q + 1)) // Q)
+        cols = 2 * w + 2 * allowed
+        best: tuple[int, int, int] | None = None
+        done: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        for i in np.lexsort((bands, least)):
+            first = (int(bands[i]) - 1) * w - base - allowed
             start = max(first, 0)
             if start >= len(data):
                 continue
+            if best is not None and (int(least[i]), start) > best[:2]:
+                if least[i] > best[0]:
+                    break
+                continue
             region = data[start : start + cols + len(own)]
-            exact = region.find(own)
-            e, s, end = (0, exact, exact + len(own)) if exact >= 0 else align(own, region, cols, allowed, start - first)
-            if e <= allowed:
-                best[k] = min(best.get(k, (e, start + s, start + end)), (e, start + s, start + end))
+            got = done.get((start - first, region))
+            if got is None:
+                exact = region.find(own)
+                got = (0, exact, exact + len(own)) if exact >= 0 else align(own, region, cols, allowed, start - first)
+                if len(done) < _REGIONS:
+                    done[start - first, region] = got
+            e, s, end = got
+            if e <= allowed and (best is None or (e, start + s, start + end) < best):
+                best = (e, start + s, start + end)
         return best
 
 
-def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int | None, str | None]]]:
-    """The benchmark in lists of about ``block_bytes``, each fetched by itself: a bound on what is sent at once."""
-    size = items.agg(F.sum(utf8_size("text") + 64)).first()[0] or 0
-    n = int(size // block_bytes) + 1
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
 
 
-def _finder(spark, block, rate):
-    sent = spark.sparkContext.broadcast((block, rate))
+def distinct_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, text)`` once for each text, and ``(key, item_id)`` of every row of ``items(item_id, text)``."""
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    rows = keep(rows.withColumn("key", F.sha2("text", 256)))
+    return rows.groupBy("key").agg(F.first("text").alias("text")), rows.select("key", "item_id")
 
+
+def blocks(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """The number of blocks of about ``block_bytes``, and the blocks: lists of ``(key, text)``, each fetched when it is its turn."""
+    size = texts.agg(F.sum(utf8_size("text") + 128)).first()[0] or 0
+    n = int(size // block_bytes) + 1
+    return n, ([tuple(r) for r in texts.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).select("key", "text").collect()] for k in range(n))
+
+
+def _finder(sent):
     def make() -> Finder:
         return Finder(*sent.value)
 
@@ -166,39 +243,56 @@ def contaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.1, block_
     region with as many as the q-gram lemma asks for is verified by banded alignment.
 
     The items are a query set that goes over all documents in blocks of bounded
-    size.  Null or blank texts (on either side) match nothing; null ids are carried; repeated
+    size, one after the other: a block's findings are written before the next is
+    fetched.  Equal texts are looked for once and get their ids by a join.  Memory
+    stays bounded on text that repeats itself (see ``Finder.in_bands``).
+
+    Null or blank texts (on either side) match nothing; null ids are carried; repeated
     rows count each; other columns are not read; empty tables give an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts, ids = distinct_texts(items)
     found = None
-    for block in blocks(items, block_bytes):
-        finder = _finder(docs.sparkSession, block, rate)
+    for block in blocks(texts, block_bytes)[1]:
+        sent = docs.sparkSession.sparkContext.broadcast((block, rate))
 
-        def make(finder=finder):
+        def make(finder=_finder(sent)):
             find = finder()
 
             def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
                 hits = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for h in find(t)]
                 cols = list(zip(*hits)) or [()] * 5
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "edits", "start", "end"])
+                types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "key", "edits", "start", "end"])
 
             return fn
 
-        part = arrow_map(rows, make, "doc_id long, item_id long, edits int, start long, end long")
+        part = keep(arrow_map(rows, make, "doc_id long, key string, edits int, start long, end long"))
+        sent.unpersist()
         found = part if found is None else found.union(part)
-    return found
+    return found.join(ids, "key").select("doc_id", "item_id", "edits", "start", "end")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which :func:`contaminated` finds nothing, with all their columns."""
-    at = docs.columns.index("text")
-    for block in blocks(items, block_bytes):
-        finder = _finder(docs.sparkSession, block, rate)
+    """The rows of ``docs`` in which :func:`contaminated` finds nothing, with all their columns.
+
+    With more than one block of items, the rows that are left are written between blocks.
+    """
+    at, schema = docs.columns.index("text"), docs.schema
+    n, each = blocks(distinct_texts(items)[0], block_bytes)
+    before = None
+    for k, block in enumerate(each):
+        sent = docs.sparkSession.sparkContext.broadcast((block, rate))
 
-        def make(finder=finder):
+        def make(finder=_finder(sent)):
             find = finder()
             return lambda batch: batch.filter(pa.array([not find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = arrow_map(docs, make, docs.schema)
+        docs = arrow_map(docs, make, schema)
+        if k < n - 1:
+            docs = keep(docs)
+            sent.unpersist()
+            if before is not None:
+                drop_table(before)
+            before = docs
     return docs
