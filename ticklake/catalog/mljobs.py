@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as ind, labels as lab, mljobs as ml
 from ..operators.base import apply_together
+from ..operators.similar import similar_days
 from ..plans.ordered import Order, with_row
 from .common import PREDS_SQL, TICKS_SQL, W, query, rr, shown, with_
 
@@ -138,14 +139,25 @@ def _(t):
     return ml.exit_policy(d, COLS, "gain").select("seq", "hold_prob", "should_exit")
 
 
-SD = """d AS (SELECT "Symbol", CAST("Timestamp" AS DATE) dt, avg(mid) a, avg("Volume") b, max(mid)/100 r, row_number() OVER (PARTITION BY "Symbol" ORDER BY CAST("Timestamp" AS DATE)) i FROM t GROUP BY 1,2),
- n AS (SELECT p."Symbol", p.dt, q.r, row_number() OVER (PARTITION BY p."Symbol", p.dt ORDER BY round(power(p.a-q.a,2)+power(p.b-q.b,2),9), q.i) rn FROM d p JOIN d q ON p."Symbol"=q."Symbol" AND q.i<p.i),
- g AS (SELECT "Symbol", dt, avg(r) m, stddev_pop(r) s FROM n WHERE rn<=5 GROUP BY 1,2)"""
+def _similar(days: str) -> str:
+    """All pairs of the rows of ``days``, which has ``a``, ``b``, ``r`` and the row number ``i``."""
+    return days + """,
+ n AS (SELECT p."Symbol", p.i, q.r, row_number() OVER (PARTITION BY p."Symbol", p.i ORDER BY round(power(p.a-q.a,2)+power(p.b-q.b,2),9), q.i) rn FROM d p JOIN d q ON p."Symbol"=q."Symbol" AND q.i<p.i),
+ g AS (SELECT "Symbol", i, avg(r) m, stddev_pop(r) s FROM n WHERE rn<=5 GROUP BY 1,2)"""
 
 
-@query("j18_similar_days", with_(TICKS_SQL, SD) + f"SELECT d.\"Symbol\", CAST(d.dt AS TIMESTAMP) AS \"Timestamp\", {rr('nn_return_mean=coalesce(m,0)','nn_vol=coalesce(s,0)')} FROM d LEFT JOIN g ON g.\"Symbol\"=d.\"Symbol\" AND g.dt=d.dt")
+DAYS = """d AS (SELECT "Symbol", CAST("Timestamp" AS DATE) dt, avg(mid) a, avg("Volume") b, max(mid)/100 r, row_number() OVER (PARTITION BY "Symbol" ORDER BY CAST("Timestamp" AS DATE)) i FROM t GROUP BY 1,2)"""
+
+
+@query("j18_similar_days", with_(TICKS_SQL, _similar(DAYS)) + f"SELECT d.\"Symbol\", CAST(d.dt AS TIMESTAMP) AS \"Timestamp\", {rr('nn_return_mean=coalesce(m,0)','nn_vol=coalesce(s,0)')} FROM d LEFT JOIN g ON g.\"Symbol\"=d.\"Symbol\" AND g.i=d.i")
 def _(t):
     d = t.ticks.groupBy("Symbol", F.to_date("Timestamp").cast("timestamp_ntz").alias("Timestamp")).agg(
         F.avg("mid").alias("a"), F.avg("Volume").alias("b"), (F.max("mid") / 100).alias("r")
     )
-    return shown(ml.similar_days(d, ["a", "b"], "r", 5, order=DAY), "Symbol Timestamp", "nn_return_mean nn_vol")
+    return shown(similar_days(d, ["a", "b"], "r", 5, order=DAY), "Symbol Timestamp", "nn_return_mean nn_vol")
+
+
+@query("j18_similar_ticks", with_(TICKS_SQL, _similar('d AS (SELECT "Symbol", seq, i, mid a, "Volume" b, mid/100 r FROM t)')) + f"SELECT seq, {rr('nn_return_mean=coalesce(m,0)','nn_vol=coalesce(s,0)')} FROM d LEFT JOIN g ON g.\"Symbol\"=d.\"Symbol\" AND g.i=d.i")
+def _(t):
+    """Every tick against all earlier ones of its symbol."""
+    return shown(similar_days(t.ticks.withColumn("r", c("mid") / 100), ["mid", "Volume"], "r", 5), "seq", "nn_return_mean nn_vol")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, row_index
+from ..plans.ordered import IDX, TICKS, Order, attach, row_index
 from ..plans.values import cumulative_by_value, quantile_arrays
 
 c = F.col
@@ -86,7 +86,7 @@ def mean_shift(df: DataFrame, cols: Sequence[str], threshold: float = 1.0, order
     d = row_index(long, o)
     n = d.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("__n"))
     half = F.floor(c("__n") / 2)
-    out = d.join(n, [*keys, "column"]).groupBy(*keys, "column").agg(
+    out = attach(d, n, [*keys, "column"], [IDX]).groupBy(*keys, "column").agg(
         F.first(half).alias("middle"),
         F.avg(F.when(c(IDX) < half, c("v"))).alias("mean_before"),
         F.avg(F.when(c(IDX) >= half, c("v"))).alias("mean_after"),

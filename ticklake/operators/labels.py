@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, rolling, row_index
+from ..plans.ordered import IDX, TICKS, Order, attach, join_same, rolling, row_index
 from .base import nz, safe_div
 
 c = F.col
@@ -28,7 +28,7 @@ def purged_folds(df: DataFrame, splits: int, embargo: int = 0, group: str | None
     keys = list(order.keys)
     d = row_index(df, order)
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    d = d.join(sizes, keys)
+    d = attach(d, sizes, keys, [IDX])
     block = F.floor(c("__n") / (splits + 1))
     # the validation block of fold k starts at n - (splits - k) * block
     arms = []
@@ -41,8 +41,8 @@ def purged_folds(df: DataFrame, splits: int, embargo: int = 0, group: str | None
     d = d.select(*df.columns, c("__f.fold").alias("fold"), c("__f.part").alias("part"), c("__f.near").alias("__near"))
     if group is None:
         return d.where(c("part").isNotNull()).drop("__near")
-    held = d.where(c("__near")).select(*keys, "fold", group).distinct()
-    train = d.where(c("part") == "train").join(held, [*keys, "fold", group], "left_anti").select(d.columns)
+    held = d.where(c("__near") & c(group).isNotNull()).select(*keys, "fold", group).distinct()
+    train = join_same(d.where(c("part") == "train"), held, [*keys, "fold", group], "left_anti").select(d.columns)
     return train.unionByName(d.where(c("part") == "val")).drop("__near")
 
 

@@ -1,4 +1,4 @@
-"""Model-side table jobs on ``pyspark.ml``."""
+"""Model-side table jobs on ``pyspark.ml``."""
 
 from __future__ import annotations
 
@@ -239,46 +239,3 @@ def exit_policy(df: DataFrame, cols: Sequence[str], gain: str, seed: int = 0) ->
     d = df.withColumn("__y", (c(gain) > 0).cast("double"))
     out = predict(fit_classifier(d, cols, "__y", seed), d, "hold_prob")
     return out.withColumn("should_exit", 2 * c("hold_prob") - 1 < 0).drop("__y")
-
-
-def similar_days(df: DataFrame, cols: Sequence[str], ret: str, k: int = 5, components: int = 5, order: Order = TICKS, block: int = 256) -> DataFrame:
-    """J18 mean and population deviation of the returns of the ``k`` nearest earlier rows.
-
-    Exact at any size: the rows of a key lie in blocks of ``block``, every block meets
-    itself and the earlier ones of its key, a meeting gives the ``k`` nearest per
-    row, and the ``k`` nearest of these are kept.
-    """
-    comps = min(components, len(cols))
-    scored, _ = principal_components(df, cols, comps)
-    d = row_index(scored, order)
-    keys = list(order.keys)
-    vec = F.array(*[c(f"pc_{i}") for i in range(comps)])
-    table = checkpoint(d.select(*keys, c(IDX).alias("i"), vec.alias("v"), c(ret).alias("r")))
-    lists = table.groupBy(*keys, F.floor(c("i") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "v", "r"))).alias("x"))
-    past = lists.withColumnsRenamed({"b": "pb", "x": "px", **{n: f"__{n}" for n in keys}})
-    meet = lists.join(past, [*[lists[n].eqNullSafe(past[f"__{n}"]) for n in keys], past["pb"] <= lists["b"]]).select(*keys, "x", "px")
-    fields = [table.schema[n] for n in keys]
-    schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in (("i", T.LongType()), ("d", T.DoubleType()), ("j", T.LongType()), ("r", T.DoubleType()))]])
-
-    def nearest(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x, p = row.x, row.px
-                i, j = np.array([e["i"] for e in x]), np.array([e["i"] for e in p])
-                a, b = (np.array([e["v"] for e in y], float).reshape(len(y), comps) for y in (x, p))
-                r = np.array([e["r"] for e in p], float)
-                dist = np.round(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 9)
-                dist[j[None, :] >= i[:, None]] = np.inf
-                near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                rows, n = np.repeat(np.arange(len(i)), near.shape[1]), near.ravel()
-                real = np.isfinite(dist[rows, n])
-                rows, n = rows[real], n[real]
-                yield pd.DataFrame({**{name: [getattr(row, name)] * len(rows) for name in keys}, "i": i[rows], "d": dist[rows, n], "j": j[n], "r": r[n]}, columns=schema.names)
-
-    found = meet.mapInPandas(nearest, schema).groupBy(*keys, "i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j", "r"))), 1, k).alias("n"))
-    size, total = F.size("n"), F.aggregate("n", F.lit(0.0), lambda acc, e: acc + e["r"])
-    found = found.withColumn("m", total / size)
-    spread = F.sqrt(F.aggregate("n", F.lit(0.0), lambda acc, e: acc + (e["r"] - c("m")) * (e["r"] - c("m"))) / size)
-    found = found.select(*keys, c("i").alias(IDX), F.struct(c("m"), spread.alias("s")).alias("__n"))
-    got = join_same(d, found, [*keys, IDX], "left")
-    return got.select(*df.columns, F.coalesce("__n.m", F.lit(0.0)).alias("nn_return_mean"), F.coalesce("__n.s", F.lit(0.0)).alias("nn_vol"))

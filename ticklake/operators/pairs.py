@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import BLK, IDX, Order, full, halo_blocks, rolling
+from ..plans.ordered import BLK, IDX, Order, attach, full, halo_blocks, rolling
 from ..plans.steps import finite_machine
 from .base import flag, nz, safe_div
 
@@ -211,7 +211,7 @@ def hedge_spread(pairs_long: DataFrame, n: int = 20, order: Order = pair_order()
     ``x`` is the first symbol of the pair, regressed on the second.
     """
     beta = pairs_long.groupBy("a", "b").agg(F.regr_slope("x", "y").alias("hedge"))
-    d = pairs_long.join(beta, ["a", "b"]).withColumn("spread", c("x") - c("hedge") * c("y"))
+    d = attach(pairs_long, beta, ["a", "b"], [order.ts]).withColumn("spread", c("x") - c("hedge") * c("y"))
 
     def fn(d, w):
         d = d.withColumns({"__m": full(F.avg, "spread", n, w), "__s": full(F.stddev_samp, "spread", n, w)})

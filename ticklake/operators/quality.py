@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import IDX, TICKS, Order, micros, rolling, running
+from ..plans.ordered import IDX, TICKS, Order, attach, micros, rolling, running
 from ..plans.values import exact_quantiles
 from ..plans.steps import settled_scan
 from .base import nz, safe_div
@@ -55,7 +55,7 @@ def removal_counts(flagged: DataFrame, keys: Sequence[str] = ("Symbol",)) -> Dat
 def zscore_filter(df: DataFrame, cols: Sequence[str], threshold: float = 3.0, keys: Sequence[str] = ("Symbol",)) -> DataFrame:
     """F02 values further than ``threshold`` population deviations become NULL."""
     aggs = [f(x).alias(f"__{n}_{x}") for x in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    d = df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+    d = attach(df, df.groupBy(*keys).agg(*aggs), list(keys), cols)
     for x in cols:
         z = F.abs(safe_div(c(x) - c(f"__m_{x}"), c(f"__s_{x}")))
         d = d.withColumn(x, F.when(~F.coalesce(z > threshold, F.lit(False)), c(x)))
@@ -130,7 +130,7 @@ def online_filter(df: DataFrame, threshold: float = 3.0, order: Order = TICKS) -
     sp, mid = c("Ask") - c("Bid"), (c("Ask") + c("Bid")) / 2
     # spreads are taken about their mean, so that squares keep their digits
     centre = df.groupBy(*keys).agg(F.avg(sp).alias("__c"), F.min(micros(order.ts)).alias("__t0"))
-    d = df.join(centre, keys).withColumns(
+    d = attach(df, centre, keys, [order.ts, *order.tie]).withColumns(
         {
             "__s": sp - c("__c"),
             "__mid": mid,
@@ -183,7 +183,7 @@ def robust_preprocess(df: DataFrame, cols: Sequence[str], n: int = 5, trim: floa
 
     d = rolling(df, fn, 2 * h, 2 * h, order)
     aggs = [f(x).alias(f"__{m}_{x}") for x in cols for m, f in (("m", F.avg), ("s", F.stddev_pop))]
-    d = d.join(d.groupBy(*keys).agg(*aggs), keys)
+    d = attach(d, d.groupBy(*keys).agg(*aggs), keys, [order.ts, *order.tie])
     for x in cols:
         m, s = c(f"__m_{x}"), c(f"__s_{x}")
         d = d.withColumn(x, F.when(s > 0, F.greatest(F.least(c(x), m + z * s), m - z * s)).otherwise(c(x)))

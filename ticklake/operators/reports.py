@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, full, join_same, micros, rolling, row_index, running, with_row
+from ..plans.ordered import IDX, TICKS, Order, attach, full, join_same, micros, rolling, row_index, running, with_row
 from .base import nz, safe_div
 from .indicators import rsi, sma
 
@@ -238,7 +238,7 @@ def walk_forward_windows(df: DataFrame, train: int, val: int, step: int, order:
     off, size = (0, train) if part == "train" else (train, val)
     lo = F.greatest(F.ceil((i - off - size + 1) / step), F.lit(0).cast("long"))
     hi = F.least(F.floor((i - off) / step), last)
-    d = d.join(n, keys).where(lo <= hi)
+    d = attach(d, n, keys, [IDX]).where(lo <= hi)
     return d.withColumn("window", F.explode(F.sequence(lo, hi))).drop("__n", IDX)
 
 
@@ -258,7 +258,7 @@ def walk_forward_rmse(df: DataFrame, y: str, train: int, val: int, step: int, or
     keys = list(order.keys)
     tr = walk_forward_windows(df, train, val, step, order, "train").groupBy(*keys, "window").agg(F.avg(y).alias("__mu"))
     va = walk_forward_windows(df, train, val, step, order)
-    d = va.join(tr, [*keys, "window"]).groupBy(*keys, "window").agg(F.sqrt(F.avg(F.pow(c(y) - c("__mu"), 2))).alias("rmse"))
+    d = join_same(va, tr, [*keys, "window"]).groupBy(*keys, "window").agg(F.sqrt(F.avg(F.pow(c(y) - c("__mu"), 2))).alias("rmse"))
     return d
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.asof import asof_join
-from ..plans.ordered import TICKS, Order, micros, rolling, running
+from ..plans.ordered import TICKS, Order, attach, micros, rolling, running
 from ..plans.steps import settled_scan
 from .base import nz, safe_div
 
@@ -173,15 +173,16 @@ def run_positions(
 
 def delayed_quotes(df: DataFrame, latency_ms: int, cols: Sequence[str] = ("mid", "Bid", "Ask"), order: Order = TICKS) -> DataFrame:
     """W51 quote of the first tick not before the row's time plus the latency (the last tick if none)."""
-    quotes = df.select(*order.keys, c(order.ts).alias("__qts"), *order.tie, *[c(x).alias(f"fill_{x}") for x in cols])
-    shifted = F.timestamp_micros(micros(order.ts) + latency_ms * 1000).cast("timestamp_ntz")
-    d = df.withColumn("__orig", c(order.ts)).withColumn(order.ts, shifted)
+    one = order.with_keys("__key")  # a struct, so that a null key is a key like any other
+    d = df.withColumns({"__key": F.struct(*order.keys), "__orig": c(order.ts)})
+    quotes = d.select("__key", c(order.ts).alias("__qts"), *order.tie, *[c(x).alias(f"fill_{x}") for x in cols])
+    d = d.withColumn(order.ts, F.timestamp_micros(micros(order.ts) + latency_ms * 1000).cast("timestamp_ntz"))
     fill = [f"fill_{x}" for x in cols]
-    d = asof_join(d, quotes, fill, "__qts", order.tie, order, forward=True)
+    d = asof_join(d, quotes, fill, "__qts", order.tie, one, forward=True)
     d = d.withColumn(order.ts, c("__orig")).drop("__orig")
-    ends = quotes.groupBy(*order.keys).agg(F.max_by(F.struct(*fill), F.struct("__qts", *order.tie)).alias("__end"))
-    d = d.join(ends, list(order.keys))
-    return d.withColumns({x: F.coalesce(c(x), c(f"__end.{x}")) for x in fill}).drop("__end")
+    ends = quotes.groupBy("__key").agg(F.max_by(F.struct(*fill), F.struct("__qts", *order.tie)).alias("__end"))
+    d = attach(d, ends, ["__key"], [order.ts, *order.tie])
+    return d.withColumns({x: F.coalesce(c(x), c(f"__end.{x}")) for x in fill}).drop("__end", "__key")
 
 
 def extract_trades(

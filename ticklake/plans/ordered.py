@@ -17,14 +17,14 @@ kit here cuts each series into pieces and still gives the exact result:
                 ``(A, B)`` pair; pairs are scanned, then each block is replayed
                 from its carry.
 
-Keys and timestamps must not be NULL, and ``order.tie`` must make the order of
-rows within a key unique.
+Rows with a NULL key or time stay: NULL keys are one key, NULL times come first.
+``order.tie`` must make the order of rows within a key unique.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -98,13 +98,23 @@ def join_same(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner"
     return df.join(other, same, how).drop(*[f"__on_{k}" for k in on])
 
 
-def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+SALTS = 32  # parts over which the rows of one key are dealt
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str], spread: Sequence[str | Column] = ()) -> DataFrame:
     """Per-key values on the rows of the key; without keys ``small`` has one row.
 
-    The join side is left to the optimiser: it broadcasts under its size
-    threshold and splits skewed keys above it.
+    With ``spread``, columns that differ between the rows of a key, a key's rows
+    are dealt over ``SALTS`` parts by their hash and its values are copied to each, so
+    no task gets a whole hot key.  Without, the optimiser splits what it finds skewed.
     """
-    return join_same(df, small, keys) if keys else with_row(df, small)
+    if not keys:
+        return with_row(df, small)
+    if not spread:
+        return join_same(df, small, keys)
+    salt = "__salt"
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_same(df.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")), copies, [*keys, salt]).drop(salt)
 
 
 _SHUFFLING = re.compile(r"\b(Window|Join|Aggregate|FlatMapGroupsInPandas|Distinct|Sort)\b")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint
-from .ordered import BLK, IDX, TICKS, Order, row_index
+from .ordered import BLK, IDX, TICKS, Order, join_same, row_index
 
 # step(state, row values) -> next state; states are 0..k-1
 Step = Callable[[int, tuple], int]
@@ -59,7 +59,7 @@ def finite_machine(
         return pdf.assign(__in=seen)[entry_schema.names]
 
     entries = tables.groupBy(*keys).applyInPandas(enter, entry_schema)
-    joined = rows.join(entries, [*keys, BLK])
+    joined = join_same(rows, entries, [*keys, BLK])
     out_schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +123,7 @@ def settled_scan(
         return pdf.assign(__next=entries)[next_schema.names]
 
     def run_blocks(which: DataFrame) -> DataFrame:
-        return narrow.join(which, [*keys, BLK]).groupBy(*keys, BLK).applyInPandas(summarise, block_schema)
+        return join_same(narrow, which, [*keys, BLK]).groupBy(*keys, BLK).applyInPandas(summarise, block_schema)
 
     first = narrow.select(*keys, BLK).distinct().withColumn("__entry", F.array(*[F.lit(float(x)) for x in start]))
     state = checkpoint(run_blocks(first))
@@ -146,4 +146,4 @@ def settled_scan(
         return pdf[out_schema.names]
 
     entries = state.select(*keys, BLK, "__entry")
-    return rows.join(entries, [*keys, BLK]).groupBy(*keys, BLK).applyInPandas(replay, out_schema)
+    return join_same(rows, entries, [*keys, BLK]).groupBy(*keys, BLK).applyInPandas(replay, out_schema)
