@@ -91,9 +91,11 @@ def regimes(df: DataFrame, cols: Sequence[str], k: int = 3, step: int = 500, ord
 def principal_components(df: DataFrame, cols: Sequence[str], k: int, prefix: str = "pc") -> tuple[DataFrame, np.ndarray]:
     """M03/M04 scores on the first ``k`` components of the centred columns, and the loadings.
 
-    The sign of a component is that of its largest loading.
+    The sign of a component is that of its largest loading.  An empty table has no components.
     """
-    means = df.agg(*[F.avg(x).alias(x) for x in cols]).first()
+    means = df.agg(*[F.avg(x).alias(x) for x in cols], F.count(F.lit(1)).alias("__n")).first()
+    if not means["__n"]:
+        return df.withColumns({f"{prefix}_{i}": F.lit(0.0) for i in range(k)}), np.zeros((len(cols), k))
     d = assemble(df.withColumns({f"__c_{x}": F.coalesce(c(x) - means[x], F.lit(0.0)) for x in cols}), [f"__c_{x}" for x in cols])
     model = PCA(k=k, inputCol="__x", outputCol="__p").fit(d)
     loadings = model.pc.toArray()
