@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import IDX, TICKS, Order, attach, row_index
@@ -31,26 +31,18 @@ def psi(expected: DataFrame, actual: DataFrame, cols: Sequence[str], buckets: in
     both = e.withColumn("__e", F.lit(1)).unionByName(a.withColumn("__e", F.lit(0))).join(F.broadcast(cuts), "column")  # one row per requested column
     k = F.size("__cuts")
     at = F.size(F.filter("__cuts", lambda b: b <= c("v")))
-    at = F.when((at == k) & (c("v") == F.element_at("__cuts", -1)), k - 1).otherwise(at)
-    counts = (
-        both.withColumn("__b", at)
-        .where((c("__b") >= 1) & (c("__b") < k))
-        .groupBy("column", "__b")
-        .agg(F.sum("__e").alias("__ne"), F.sum(1 - c("__e")).alias("__na"), F.first(k).alias("__k"))
-    )
-    totals = counts.groupBy("column").agg(F.sum("__ne").alias("__te"), F.sum("__na").alias("__ta"))
-    bins = cuts.where(F.size("__cuts") > 1).select("column", F.explode(F.sequence(F.lit(1), F.size("__cuts") - 1)).alias("__b"))
-    full = bins.join(counts, ["column", "__b"], "left").join(totals, "column", "left")
-    share = {}
-    for side in "ea":
-        x = F.coalesce(c(f"__n{side}") / c(f"__t{side}"), F.lit(0.0))
-        share[side] = F.when(x == 0, 1e-6).otherwise(x)
-    scored = full.groupBy("column").agg(
-        F.sum((share["e"] - share["a"]) * F.ln(share["e"] / share["a"])).alias("psi"),
-        F.first("__ta").alias("__ta"),
-    )
-    scored = scored.withColumn("psi", F.when(c("__ta") == 0, float("inf")).otherwise(c("psi"))).drop("__ta")
-    return cuts.select("column").join(scored, "column", "left").fillna(0.0, ["psi"])
+    both = both.withColumn("__b", F.when((at == k) & (c("v") == F.element_at("__cuts", -1)), k - 1).otherwise(at))
+    hits = {f"__{side}{i}": F.count_if((c("__b") == i) & (i < k) & (c("__e") == is_e)) for i in range(1, buckets + 1) for side, is_e in (("e", 1), ("a", 0))}
+    bins = both.groupBy("column").agg(F.first(k).alias("__k"), *[x.alias(n) for n, x in hits.items()])
+    total = {side: sum((c(f"__{side}{i}") for i in range(1, buckets + 1)), F.lit(0)) for side in "ea"}
+
+    def share(side: str, i: int) -> Column:
+        x = F.coalesce(c(f"__{side}{i}") / F.nullif(total[side], F.lit(0)), F.lit(0.0))
+        return F.when(x == 0, 1e-6).otherwise(x)
+
+    parts = [F.when(F.lit(i) < c("__k"), (share("e", i) - share("a", i)) * F.ln(share("e", i) / share("a", i))).otherwise(0.0) for i in range(1, buckets + 1)]
+    score = F.when(c("__k") < 2, 0.0).when(total["a"] == 0, float("inf")).otherwise(sum(parts, F.lit(0.0)))
+    return bins.select("column", score.alias("psi"))
 
 
 def ks(first: DataFrame, second: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Order, attach, running, stage
+from .ordered import Order, attach, join_same, running
 
 VB = "__vb"
 
@@ -44,76 +44,55 @@ def average_ranks(df: DataFrame, keys: Sequence[str], col: str, out: str) -> Dat
     return df.join(ranks, [*keys, col], "left")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], accuracy: int = 10_000
-) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per (key, ``prob``) with ``value``.
+DIGIT = 1 << 16  # steps into which a power of two is cut
+_TOP = (1 << 62) - 1
+
+
+def digits(v: Column) -> Column:
+    """Sign, exponent and first 16 bits of a double as one integer that rises with it.
 
-    A mergeable sketch brackets each quantile, one aggregate counts what lies
-    below the bracket, and only rows inside it (about 6/accuracy of a large
-    group) are ordered.
+    Values under 2**-1000 share 0; infinities and NaN (the greatest) have their own.
+    """
+    a = F.abs(v)
+    e = F.least(F.floor(F.log2(a)), F.lit(1023))
+    at = (e + 1001) * DIGIT + F.floor((a / F.pow(F.lit(2.0), e) - 1) * DIGIT)
+    size = F.when(a == float("inf"), F.lit(_TOP - 1)).when(a < 2.0**-1000, F.lit(0)).otherwise(at)
+    return F.when(F.isnan(v), F.lit(_TOP)).when(v < 0, -size).otherwise(size).cast("long")
+
+
+def quantile_arrays(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per key, ``out`` in the order of ``probs``.
+
+    Radix selection in two passes over (key, value).  The first counts rows by
+    the leading digits of their value, which tells the bucket and the rank in it
+    of every quantile; the second only keeps the buckets that are hit, counts
+    equal values and orders them.  What is ordered at once are the counts of a key's
+    buckets, and the distinct values of one bucket.  NULL values do not count; a NULL key is a key.
     """
     keys = list(keys)
-    v = F.col(col).cast("double")
-    eps = 3.0 / accuracy
-    data = stage(df.where(F.col(col).isNotNull()).select(*keys, v.alias("__v")))
-    lows = F.array(*[F.lit(max(p - eps, 0.0)) for p in probs])
-    highs = F.array(*[F.lit(min(p + eps, 1.0)) for p in probs])
-    sketch = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", lows, F.lit(accuracy)).alias("__lo"),
-        F.percentile_approx("__v", highs, F.lit(accuracy)).alias("__hi"),
-    )
-    small = F.col("__n") < 4 * accuracy
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small | F.lit(p <= 0), F.col("__min")).otherwise(F.col("__lo")[i]).alias("lo"),
-                F.when(small | F.lit(p >= 1), F.col("__max")).otherwise(F.col("__hi")[i]).alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    sketch = sketch.select(*keys, "__n", brackets.alias("__br"))
-    joined = attach(data, sketch, keys)
-    below = joined.groupBy(*keys).agg(
-        F.first("__n").alias("__n"),
-        *[F.count_if(F.col("__v") < F.col("__br")[i]["lo"]).alias(f"__below{i}") for i in range(len(probs))],
-    )
-    inside = (
-        joined.select(
-            *keys,
-            "__v",
-            F.explode(
-                F.filter("__br", lambda b: (F.col("__v") >= b["lo"]) & (F.col("__v") <= b["hi"]))
-            ).alias("__b"),
-        )
-        .groupBy(*keys, F.col("__b.i").alias("__i"), "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    w = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("__upto", F.sum("__c").over(w))
-    ranked = attach(inside, below, keys)
-    offs = F.array(*[F.col(f"__below{i}") for i in range(len(probs))])
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    ranked = ranked.withColumn("prob", plist[F.col("__i")]).withColumn("__end", F.col("__upto") + offs[F.col("__i")])
-    ranked = ranked.withColumn("__h", (F.col("__n") - 1) * F.col("prob"))
+    data = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v")).withColumn("__d", digits(F.col("__v")))
+    counts = data.groupBy(*keys, "__d").agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*keys).orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
+    spot = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
+    counts = counts.withColumns({"__upto": F.sum("__c").over(upto), "__n": F.sum("__c").over(Window.partitionBy(*keys))})
+    ranks = F.array(*[f(x) for x in spot for f in (F.floor, F.ceil)])
+    hit = F.exists(ranks, lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c")))
+    hits = counts.where(hit).select(*keys, "__d", "__n", (F.col("__upto") - F.col("__c")).alias("__before"))
+    same = join_same(data, hits, [*keys, "__d"]).groupBy(*keys, "__d", "__v", "__n", "__before").agg(F.count(F.lit(1)).alias("__c"))
+    inside = Window.partitionBy(*keys, "__d").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = same.withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
 
     def at(rank: Column) -> Column:  # the value whose run of ranks holds ``rank``
         return F.max(F.when((F.col("__end") > rank) & (F.col("__end") - F.col("__c") <= rank), F.col("__v")))
 
-    out = ranked.groupBy(*keys, "prob").agg(
-        F.first("__h").alias("__h"), at(F.floor("__h")).alias("__a"), at(F.ceil("__h")).alias("__b")
-    )
-    frac = F.col("__h") - F.floor("__h")
-    return out.select(*keys, "prob", (F.col("__a") + (F.col("__b") - F.col("__a")) * frac).alias("value"))
+    pairs = F.array(*[F.struct(at(F.floor(x)).alias("a"), at(F.ceil(x)).alias("b")) for x in spot])
+    got = placed.groupBy(*keys).agg(F.first("__n").alias("__n"), pairs.alias("__q"))
+    values = [F.col("__q")[i]["a"] + (F.col("__q")[i]["b"] - F.col("__q")[i]["a"]) * (x - F.floor(x)) for i, x in enumerate(spot)]
+    return got.select(*keys, F.array(*values).alias(out))
 
 
-def quantile_arrays(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str) -> DataFrame:
-    """``exact_quantiles`` as one array per key, in the order of ``probs``."""
-    q = exact_quantiles(df, keys, col, probs)
-    pairs = F.array_sort(F.collect_list(F.struct("prob", "value")))
-    return q.groupBy(*keys).agg(F.transform(pairs, lambda x: x["value"]).alias(out))
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+    """:func:`quantile_arrays` as one row per (key, ``prob``) with ``value``."""
+    q = quantile_arrays(df, keys, col, probs, "__q")
+    both = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("__q").alias("value"))
+    return q.select(*keys, F.inline(both).alias("prob", "value"))
