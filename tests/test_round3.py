@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklake.operators import drift, labels, pairs, quality, reports, signals, similar
-from ticklake.plans.ordered import Order
+from ticklake.plans.ordered import IDX, Order, linear_scan
 from ticklake.plans.steps import finite_machine, settled_scan
+from ticklake.plans.values import digits, quantile_arrays
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -134,3 +135,78 @@ def test_similar_days_edges(spark):
     got = {(r.Symbol, r.x): (r.nn_return_mean, r.nn_vol) for r in similar.similar_days(df, ["x"], "r", 2).collect()}
     assert len(got) == 5 and got["A", 0.0] == got[None, None] == (0.0, 0.0) and got["A", 1.0] == (1.0, 0.0)
     assert similar.similar_days(df.where("false"), ["x"], "r").count() == 0
+
+
+# --- quantiles by radix selection ---
+
+
+@pytest.mark.parametrize("accuracy", [1, 8, 1 << 16])
+def test_quantiles_of_awkward_values(spark, accuracy):
+    rng = np.random.default_rng(8)
+    a = np.concatenate((rng.normal(0, 1, 300), rng.normal(0, 1e9, 50), [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 2.0**60, 1 - 2**-53]))
+    series = {"a": a, "b": np.array([7.5]), None: np.round(rng.normal(0, 3, 200)), "d": np.array([-1.0, float("inf"), float("-inf"), 2.0])}
+    rows = [(k, float(x)) for k, v in series.items() for x in v] + [("a", None), ("only null", None)]
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.k: r.q for r in quantile_arrays(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", probs, "q", accuracy).collect()}
+    assert set(got) == set(series)
+    for k in ("a", "b", None):
+        assert got[k] == pytest.approx(list(np.quantile(series[k], probs)), rel=1e-12, abs=1e-12)
+    assert got["d"][2] == 0.5
+
+
+def test_digits_rise(spark):
+    rng = np.random.default_rng(2)
+    x = np.sort(np.concatenate((rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), *[[2.0**e, np.nextafter(2.0**e, 0), np.nextafter(2.0**e, np.inf)] for e in range(-999, 1023, 7)])))
+    got = [r.d for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double").select("i", digits(F.col("v")).alias("d")).orderBy("i").collect()]
+    assert got == sorted(got)
+
+
+def test_index_of_quantiles_and_shifts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    e, a = rng.normal(0, 1, 400), rng.normal(0.5, 1, 300)
+    left = spark.createDataFrame([(float(x), 1.0) for x in e], "x double, flat double")
+    right = spark.createDataFrame([(float(x), 2.0) for x in a], "x double, flat double")
+    cuts = np.quantile(e, np.arange(11) / 10)
+    want = 0.0
+    p, q = (np.histogram(v, cuts)[0] for v in (e, a))
+    for u, v in zip(p / p.sum(), q / q.sum()):
+        u, v = u or 1e-6, v or 1e-6
+        want += (u - v) * math.log(u / v)
+    got = {r.column: r.psi for r in drift.psi(left, right, ["x", "flat"]).collect()}
+    assert got["x"] == pytest.approx(want, rel=1e-9) and got["flat"] == 0.0
+    for d, name in ((left, "l"), (right, "r")):
+        d.write.parquet(str(tmp_path / name))
+    plan = drift.psi(*(spark.read.parquet(str(tmp_path / n)) for n in "lr"), ["x", "flat"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
+# --- recurrences ---
+
+
+def test_linear_scan_over_pieces(spark):
+    """Many pieces, resets, NULL steps (which spread as NULL), a NULL key, and a chain on one numbering."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for key, n in (("A", 500), (None, 60), ("B", 1)):
+        for i in range(n):
+            rows.append((key, T0 + dt.timedelta(minutes=7 * i), i, float(rng.normal()), float(rng.uniform(0.2, 1.01))))
+    df = spark.createDataFrame(rows, "Symbol string, Timestamp timestamp_ntz, seq long, x double, k double").repartition(4)
+    order = Order(bucket_seconds=3600)
+    a = F.when(F.col(IDX) % 97 == 0, 0.0).otherwise(F.col("k"))
+    d = linear_scan(df, {"y": (a, F.col("x"))}, order, keep_index=True)
+    d = linear_scan(d, {"z": (F.when(F.col(IDX) == 0, 0.0).otherwise(0.5), F.when(F.col(IDX) == 300, F.lit(None)).otherwise(F.col("y")))}, order)
+    got = {(r.Symbol, r.seq): (r.y, r.z) for r in d.collect()}
+    assert len(got) == len(rows) and IDX not in d.columns
+    y = z = 0.0
+    for key, _, i, x, k in rows:
+        y = (0.0 if i % 97 == 0 else k) * (y if i else 0.0) + x
+        z = (0.5 * z if i else 0.0) + (math.nan if i == 300 else y)
+        assert got[key, i][0] == pytest.approx(y, rel=1e-9, abs=1e-12)
+        assert got[key, i][1] == (None if math.isnan(z) else pytest.approx(z, rel=1e-9, abs=1e-12))
+
+
+def test_recurrence_plan(spark, nulled):
+    from ticklake.operators.indicators import ema
+
+    plan = ema(nulled.drop("x"), {"e": ("mid", 5)})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 3 and plan.count("Exchange hashpartitioning") <= 6

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, full, join_same, linear_scan, rolling, row_index, running
+from ..plans.ordered import IDX, TICKS, Order, attach, full, linear_scan, rolling, running
 from .base import RowOp, crossing, flag, nz, price_col, safe_div, sign_int
 
 c = F.col
@@ -94,13 +94,13 @@ def rsi(col: str = "mid", n: int = 14, out: str | None = None, zero_loss: str =
     return RowOp("rsi", (col,), n, fn)
 
 
-def ema(df: DataFrame, spans: Mapping[str, tuple[str, int]], order: Order = TICKS, start: int = 0) -> DataFrame:
+def ema(df: DataFrame, spans: Mapping[str, tuple[str, int]], order: Order = TICKS, start: int = 0, keep_index: bool = False) -> DataFrame:
     """W05 exponential averages: ``{out: (column, span)}``, first value seeds."""
     steps = {}
     for out, (col, span) in spans.items():
         alpha = 2.0 / (span + 1.0)
         steps[out] = ewm_step(c(col), alpha, start)
-    return linear_scan(df, steps, order)
+    return linear_scan(df, steps, order, keep_index)
 
 
 def ewm_step(x: Column, alpha: float, start: int = 0) -> tuple[Column, Column]:
@@ -114,7 +114,7 @@ def ewm_step(x: Column, alpha: float, start: int = 0) -> tuple[Column, Column]:
 def macd(df: DataFrame, col: str | None = None, fast=12, slow=26, signal=9, order: Order = TICKS) -> DataFrame:
     """W06 MACD line, signal line, histogram and its sign."""
     col = col or price_col(df)
-    d = ema(df, {"__fast": (col, fast), "__slow": (col, slow)}, order)
+    d = ema(df, {"__fast": (col, fast), "__slow": (col, slow)}, order, keep_index=True)
     d = d.withColumn("macd", c("__fast") - c("__slow")).drop("__fast", "__slow")
     d = ema(d, {"macd_signal": ("macd", signal)}, order)
     return d.withColumn("macd_hist", c("macd") - c("macd_signal")).withColumn("macd_cross", sign_int(c("macd_hist")))
@@ -174,7 +174,7 @@ def keltner(col: str = "mid", n: int = 20, mult: float = 2.0) -> RowOp:
 
 def squeeze(df: DataFrame, n=20, bb=2.0, kc=1.5, high="High", low="Low", close="Close", order: Order = TICKS) -> DataFrame:
     """W12 Bollinger-inside-Keltner squeeze and the break out of it."""
-    d = ema(df, {"__ema": (close, n)}, order)
+    d = ema(df, {"__ema": (close, n)}, order, keep_index=True)
 
     def fn(d, w):
         d = d.withColumn("__tr", true_range(c(high), c(low), prev(close, w)))
@@ -217,11 +217,11 @@ def kama(df: DataFrame, close="Close", n=10, fast=2, slow=30, order: Order = TIC
         er = safe_div(F.abs(c(close) - prev(close, w, n)), c("__vol"))
         return d.withColumn("__sc", F.pow(er * (hi - lo) + lo, 2)).drop("__m", "__vol")
 
-    d = rolling(df, efficiency, n, 0, order)
+    d = rolling(df, efficiency, n, 0, order, keep_index=True)
     seed = c(IDX) < n
     a = F.when(seed, 0.0).otherwise(1 - c("__sc"))
     b = F.when(seed, c(close)).otherwise(c("__sc") * c(close))
-    d = linear_scan(d, {"kama": (a, b)}, order).drop("__sc")
+    d = linear_scan(d, {"kama": (a, b)}, order, keep_index=True).drop("__sc")
     return _price_cross(d, close, "kama", "kama_cross", order)
 
 
@@ -247,19 +247,19 @@ def kalman_gain(idx: Column, q: Column, r: Column) -> Column:
 def kalman_ma(df: DataFrame, close="Close", q=1e-5, r=1e-2, order: Order = TICKS) -> DataFrame:
     """W14 constant-noise Kalman average: the gain depends on the row number alone."""
     k = kalman_gain(c(IDX), F.lit(float(q)), F.lit(float(r)))
-    d = linear_scan(df, {"kma": (1 - k, k * c(close))}, order)
+    d = linear_scan(df, {"kma": (1 - k, k * c(close))}, order, keep_index=True)
     return _price_cross(d, close, "kma", "kma_cross", order)
 
 
 def kalman_smooth(df: DataFrame, col: str = "mid", q: float = 1e-2, r: float | None = None, order: Order = TICKS) -> DataFrame:
     """W14 Kalman price and volatility; the noise defaults to the variance of the changes of the key."""
     keys = list(order.keys)
-    d = rolling(df, lambda d, w: d.withColumn("__ch", c(col) - prev(col, w)), 1, 0, order)
+    d = rolling(df, lambda d, w: d.withColumn("__ch", c(col) - prev(col, w)), 1, 0, order, keep_index=True)
     noise = F.var_samp("__ch") if not r else F.lit(float(r))
     per_key = d.groupBy(*keys).agg(F.coalesce(nz(noise), F.lit(1.0)).alias("__r"))
-    d = join_same(row_index(d.drop("__ch"), order), per_key, keys)
+    d = attach(d.drop("__ch"), per_key, keys, [IDX])
     d = d.withColumn("__g", kalman_gain(c(IDX), F.lit(float(q)), c("__r")))
-    d = d.withColumn("kalman_volatility", F.sqrt(kalman_variance(c(IDX).cast("double"), F.lit(float(q)), c("__r")))).drop(IDX, "__r")
+    d = d.withColumn("kalman_volatility", F.sqrt(kalman_variance(c(IDX).cast("double"), F.lit(float(q)), c("__r")))).drop("__r")
     return linear_scan(d, {"kalman_price": (1 - c("__g"), c("__g") * c(col))}, order).drop("__g")
 
 
@@ -274,7 +274,7 @@ def supertrend(df: DataFrame, n=10, mult=3.0, high="High", low="Low", close="Clo
         hit = F.when(c(close) > prev("__ub", w), 1).when(c(close) < prev("__lb", w), -1)
         return d.withColumn("__hit", F.when(c(IDX) >= n, hit)).withColumn("__live", c(IDX) >= n)
 
-    d = rolling(df, bands, n + 1, 0, order)
+    d = rolling(df, bands, n + 1, 0, order, keep_index=True)
     d = running(d, {"__dir": ("last", c("__hit"))}, order)
     line = F.when(c("__live"), F.when(c("__dir") == 1, c("__lb")).otherwise(c("__ub")))
     d = d.withColumn("supertrend", line).drop("__tr", "__atr", "__ub", "__lb", "__hit", "__live", "__dir")
@@ -571,7 +571,7 @@ def window_stats(col: str = "mid", n: int = 30) -> RowOp:
 
 def variance_recursion(df: DataFrame, col: str = "return", omega=0.1, alpha=0.1, beta=0.8, order: Order = TICKS) -> DataFrame:
     """W58 fixed-parameter conditional volatility: root of a variance that starts at 0."""
-    d = rolling(df, lambda d, w: d.withColumn("__p", prev(col, w)), 1, 0, order)
+    d = rolling(df, lambda d, w: d.withColumn("__p", prev(col, w)), 1, 0, order, keep_index=True)
     first = c(IDX) == 0
     a = F.when(first, 0.0).otherwise(beta)
     b = F.when(first, 0.0).otherwise(omega + alpha * c("__p") * c("__p"))

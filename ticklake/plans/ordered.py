@@ -13,9 +13,9 @@ kit here cuts each series into pieces and still gives the exact result:
                 copied to the neighbour block, so a frame never leaves its block.
 ``running``     unbounded-preceding sum / count / max / min / last.  In-block
                 running value combined with the prefix over earlier blocks.
-``linear_scan`` ``y[i] = a[i] * y[i-1] + b[i]``.  A block composes to one
-                ``(A, B)`` pair; pairs are scanned, then each block is replayed
-                from its carry.
+``linear_scan`` ``y[i] = a[i] * y[i-1] + b[i]``.  A (key, bucket) composes to
+                one ``(A, B)`` pair; the pairs are scanned, and each bucket's rows
+                follow from where it starts.
 
 Rows with a NULL key or time stay: NULL keys are one key, NULL times come first.
 ``order.tie`` must make the order of rows within a key unique.
@@ -27,7 +27,9 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,7 @@ from ..session import checkpoint
 BKT = "__bkt"
 IDX = "__idx"
 BLK = "__blk"
+PIECE = "__piece"
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ class Order:
 
     ``bucket_seconds`` is the width of the time buckets; choose it so that one
     (key, bucket) fits comfortably in a task.  ``block_rows`` is the block
-    length used by ``rolling``, ``scan_rows`` the one used by ``linear_scan``.
+    length used by ``rolling``, ``scan_rows`` the one of state machines.
     """
 
     keys: tuple[str, ...] = ("Symbol",)
@@ -133,21 +136,35 @@ def stage(df: DataFrame) -> DataFrame:
     return checkpoint(df) if _SHUFFLING.search(plan) else df
 
 
+def in_pieces(df: DataFrame, order: Order) -> DataFrame:
+    """Add the piece of a row: its keys and time bucket as one struct.
+
+    A struct is never null, so pieces meet in plain equi joins with null keys
+    alike, and the shuffle of such a join serves the window or group that follows.
+    """
+    return df.withColumn(PIECE, F.struct(*order.keys, order.bucket().alias(BKT)))
+
+
+def by_key(order: Order) -> WindowSpec:
+    """A window over the pieces of a key."""
+    return Window.partitionBy(*[F.col(PIECE)[k] for k in order.keys])
+
+
+def offsets(rows: DataFrame, order: Order) -> DataFrame:
+    """``piece, __off``: rows of the key before each piece of ``rows``."""
+    counts = rows.groupBy(PIECE).agg(F.count(F.lit(1)).alias("__n"))
+    before = by_key(order).orderBy(F.col(PIECE)[BKT]).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(PIECE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+
+
 def row_index(df: DataFrame, order: Order = TICKS, out: str = IDX) -> DataFrame:
-    """Add the dense 0-based row number within the key."""
-    keys = list(order.keys)
-    rows = stage(df).withColumn(BKT, order.bucket())
-    counts = rows.groupBy(*keys, BKT).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, BKT, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
-    )
-    inside = Window.partitionBy(*keys, BKT).orderBy(*order.sort())
-    return (
-        join_same(rows, offsets, [*keys, BKT])
-        .withColumn(out, F.row_number().over(inside) - F.lit(1) + F.col("__off"))
-        .drop(BKT, "__off")
-    )
+    """Add the dense 0-based row number within the key; rows that have ``__idx`` already (``keep_index``) keep it."""
+    if out == IDX and IDX in df.columns:
+        return df
+    rows = in_pieces(stage(df), order)
+    inside = Window.partitionBy(PIECE).orderBy(*order.sort())
+    numbered = rows.join(offsets(rows, order), PIECE)
+    return numbered.withColumn(out, F.row_number().over(inside) - F.lit(1) + F.col("__off")).drop(PIECE, "__off")
 
 
 def halo_blocks(df: DataFrame, order: Order, back: int, ahead: int = 0) -> tuple[DataFrame, WindowSpec]:
@@ -201,16 +218,15 @@ def running(
     value).  ``reverse`` runs from the newest row, ``exclusive`` leaves the
     current row out.
     """
-    keys = list(order.keys)
-    rows = stage(df).withColumn(BKT, order.bucket())
+    rows = in_pieces(stage(df), order)
     for name, (_, expr) in outs.items():
         rows = rows.withColumn(f"__x_{name}", expr)
     place = F.struct(*[F.col(c) for c in (order.ts, *order.tie)])
     pick = F.min_by if reverse else F.max_by
     aggs, carried, values = [], [], []
-    per_key = Window.partitionBy(*keys).orderBy(F.col(BKT).desc() if reverse else F.col(BKT).asc())
-    before = per_key.rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, BKT).orderBy(*order.sort(reverse))
+    at = F.col(PIECE)[BKT]
+    before = by_key(order).orderBy(at.desc() if reverse else at.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(PIECE).orderBy(*order.sort(reverse))
     frame = inside.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     for name, (kind, _) in outs.items():
         x, c = F.col(f"__x_{name}"), F.col(f"__c_{name}")
@@ -231,9 +247,9 @@ def running(
             values.append((F.coalesce(total, zero) if kind == "count" else total).alias(name))
         else:
             values.append((F.greatest if kind == "max" else F.least)(here, c).alias(name))
-    directory = rows.groupBy(*keys, BKT).agg(*aggs).select(*keys, BKT, *carried)
+    directory = rows.groupBy(PIECE).agg(*aggs).select(PIECE, *carried)
     kept = [c for c in df.columns if c not in outs]
-    return join_same(rows, directory, [*keys, BKT]).select(*kept, *values)
+    return rows.join(directory, PIECE).select(*kept, *values)
 
 
 def running_within(df: DataFrame, outs, order: Order = TICKS, **kw) -> DataFrame:
@@ -247,79 +263,86 @@ def linear_scan(
     df: DataFrame,
     outs: Mapping[str, tuple[Column, Column]],
     order: Order = TICKS,
+    keep_index: bool = False,
 ) -> DataFrame:
     """Add ``y[i] = a[i] * y[i-1] + b[i]`` per output; ``a`` of the first row should be 0.
 
-    Expressions may use ``__idx``, the row number within the key.
+    Expressions may use ``__idx``, the row number within the key.  A piece (key
+    and time bucket) composes to one ``(A, B)`` pair, the pairs of a key are
+    scanned, and the rows of a piece follow from its own prefix and what it starts from.
     """
     names = list(outs)
-    keys = list(order.keys)
-    kept = df.columns
-    rows = row_index(df, order)
-    for n, (a, b) in outs.items():
-        rows = rows.withColumn(f"__a_{n}", a.cast("double")).withColumn(f"__b_{n}", b.cast("double"))
-    scanned = _scan(rows, keys, IDX, names, order.scan_rows, depth=2)
-    return scanned.select(*[c for c in kept if c not in names], *names)
-
-
-def _compose(a, b):
-    """Affine map of a run of steps: (product of a, value reached from 0)."""
-    prod, val = 1.0, 0.0
-    for x, y in zip(a, b):
-        prod *= x
-        val = x * val + y
-    return prod, val
-
-
-def _replay(a, b, start):
-    out, val = [], start
-    for x, y in zip(a, b):
-        val = x * val + y
-        out.append(val)
-    return out
-
-
-def _scan(rows: DataFrame, keys: list[str], pos: str, names: list[str], size: int, depth: int) -> DataFrame:
-    """Inclusive scan of the affine steps in ``__a_*`` / ``__b_*`` ordered by ``pos``."""
-    schema = rows.schema
-    out_schema = T.StructType([*schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
+    kept = [c for c in df.columns if c not in names and c != IDX]
+    rows = in_pieces(stage(df), order)
+    key_fields = [rows.schema[PIECE].dataType[k] for k in order.keys]
+    numbered = IDX in df.columns
+    first = F.lit(0).cast("long").alias("__off")
+
+    def stepped(d: DataFrame) -> DataFrame:
+        if not numbered:
+            inside = Window.partitionBy(PIECE).orderBy(*order.sort())
+            d = d.withColumn(IDX, F.row_number().over(inside) - F.lit(1) + F.col("__off"))
+        return d.withColumns({f"__{s}_{n}": x.cast("double") for n, ab in outs.items() for s, x in zip("ab", ab)})
+
+    steps = [f"__{s}_{n}" for n in names for s in "ab"]
+    placed = rows.select("*", first) if numbered else rows.join(offsets(rows, order), PIECE)
+    narrow = stepped(placed).select(PIECE, "__off", IDX, *steps)
+    sums = narrow.groupBy(PIECE).applyInArrow(_summary(names), T.StructType([narrow.schema[PIECE], narrow.schema["__off"], *[T.StructField(x, T.DoubleType()) for x in steps]]))
+    carry_schema = T.StructType([narrow.schema[PIECE], narrow.schema["__off"], *[T.StructField(f"__c_{n}", T.DoubleType()) for n in names]])
+    carries = sums.groupBy(*[F.col(PIECE)[f.name].alias(f.name) for f in key_fields]).applyInArrow(_chain(names), carry_schema)
+    joined = stepped(rows.join(carries, PIECE))
+    out = [*kept, *([IDX] if keep_index else [])]
+    schema = T.StructType([*[joined.schema[c] for c in out], *[T.StructField(n, T.DoubleType()) for n in names]])
+    return joined.groupBy(PIECE).applyInArrow(_replay(names, out), schema)
+
+
+def _prefixes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The affine map from the start to each step, by doubling."""
+    step = 1
+    while step < len(a):
+        b = np.concatenate((b[:step], a[step:] * b[:-step] + b[step:]))
+        a = np.concatenate((a[:step], a[step:] * a[:-step]))
+        step *= 2
+    return a, b
+
+
+def _steps(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(t[f"__{s}_{name}"].combine_chunks().to_numpy(zero_copy_only=False) for s in "ab")
+
+
+def _summary(names: list[str]):
+    def summarise(t: pa.Table) -> pa.Table:
+        t = t.sort_by(IDX)
+        out = {PIECE: t[PIECE][:1], "__off": t["__off"][:1]}
         for n in names:
-            start = pdf[f"__c_{n}"].iloc[0] if f"__c_{n}" in pdf else 0.0
-            pdf[n] = _replay(pdf[f"__a_{n}"].tolist(), pdf[f"__b_{n}"].tolist(), start)
-        return pdf[out_schema.names]
-
-    if depth == 0:
-        return rows.groupBy(*keys).applyInPandas(replay, out_schema)
-
-    blk = f"{BLK}{depth}"
-    blocked = rows.withColumn(blk, F.floor(F.col(pos) / size).cast("long"))
-    key_fields = [schema[k] for k in keys]
-    pair_fields = [T.StructField(f"__{p}_{n}", T.DoubleType()) for n in names for p in "ab"]
-    sum_schema = T.StructType([*key_fields, T.StructField(blk, T.LongType()), *pair_fields])
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        row = {k: pdf[k].iloc[0] for k in [*keys, blk]}
+            a, b = _prefixes(*_steps(t, n))
+            out |= {f"__a_{n}": a[-1:], f"__b_{n}": b[-1:]}
+        return pa.table(out)
+
+    return summarise
+
+
+def _chain(names: list[str]):
+    def chain(t: pa.Table) -> pa.Table:
+        bucket = t[PIECE].combine_chunks().field(BKT)
+        t = t.take(pc.array_sort_indices(bucket, null_placement="at_start"))
+        out = {PIECE: t[PIECE], "__off": t["__off"]}
         for n in names:
-            row[f"__a_{n}"], row[f"__b_{n}"] = _compose(pdf[f"__a_{n}"].tolist(), pdf[f"__b_{n}"].tolist())
-        return pd.DataFrame([row])[sum_schema.names]
-
-    steps = [f"__{p}_{n}" for n in names for p in "ab"]
-    blocks = (
-        blocked.select(*keys, blk, pos, *steps)
-        .groupBy(*keys, blk)
-        .applyInPandas(summarise, sum_schema)
-    )
-    reached = _scan(blocks, keys, blk, names, 1024, depth - 1) if depth > 1 else _scan(
-        blocks, keys, blk, names, size, 0
-    )
-    carries = reached.select(
-        *keys, (F.col(blk) + 1).alias(blk), *[F.col(n).alias(f"__c_{n}") for n in names]
-    )
-    joined = join_same(blocked, carries, [*keys, blk], "left")
-    for n in names:  # a NULL carry past block 0 is a NaN that must keep spreading
-        joined = joined.withColumn(f"__c_{n}", F.when(F.col(blk) > 0, F.col(f"__c_{n}")).otherwise(0.0))
-    return joined.groupBy(*keys, blk).applyInPandas(replay, out_schema)
+            _, b = _prefixes(*_steps(t, n))  # the series starts from 0
+            out[f"__c_{n}"] = np.concatenate(([0.0], b[:-1]))
+        return pa.table(out)
+
+    return chain
+
+
+def _replay(names: list[str], out: list[str]):
+    def replay(t: pa.Table) -> pa.Table:
+        t = t.sort_by(IDX)
+        cols = {c: t[c] for c in out}
+        for n in names:
+            a, b = _prefixes(*_steps(t, n))
+            y = a * t[f"__c_{n}"][0].as_py() + b
+            cols[n] = pa.array(y, mask=np.isnan(y))
+        return pa.table(cols)
+
+    return replay

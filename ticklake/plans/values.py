@@ -48,29 +48,30 @@ DIGIT = 1 << 16  # steps into which a power of two is cut
 _TOP = (1 << 62) - 1
 
 
-def digits(v: Column) -> Column:
-    """Sign, exponent and first 16 bits of a double as one integer that rises with it.
+def digits(v: Column, steps: int = DIGIT) -> Column:
+    """Sign, exponent and leading digits of a double as one integer that rises with it.
 
     Values under 2**-1000 share 0; infinities and NaN (the greatest) have their own.
     """
     a = F.abs(v)
     e = F.least(F.floor(F.log2(a)), F.lit(1023))
-    at = (e + 1001) * DIGIT + F.floor((a / F.pow(F.lit(2.0), e) - 1) * DIGIT)
+    at = (e + 1001) * steps + F.floor((a / F.pow(F.lit(2.0), e) - 1) * steps)
     size = F.when(a == float("inf"), F.lit(_TOP - 1)).when(a < 2.0**-1000, F.lit(0)).otherwise(at)
     return F.when(F.isnan(v), F.lit(_TOP)).when(v < 0, -size).otherwise(size).cast("long")
 
 
-def quantile_arrays(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str) -> DataFrame:
+def quantile_arrays(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str, accuracy: int = DIGIT) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key, ``out`` in the order of ``probs``.
 
     Radix selection in two passes over (key, value).  The first counts rows by
     the leading digits of their value, which tells the bucket and the rank in it
     of every quantile; the second only keeps the buckets that are hit, counts
     equal values and orders them.  What is ordered at once are the counts of a key's
-    buckets, and the distinct values of one bucket.  NULL values do not count; a NULL key is a key.
+    buckets, and the distinct values of one bucket; ``accuracy`` is the number of
+    buckets to a power of two.  NULL values do not count; a NULL key is a key.
     """
     keys = list(keys)
-    data = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v")).withColumn("__d", digits(F.col("__v")))
+    data = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v")).withColumn("__d", digits(F.col("__v"), accuracy))
     counts = data.groupBy(*keys, "__d").agg(F.count(F.lit(1)).alias("__c"))
     upto = Window.partitionBy(*keys).orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
     spot = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
@@ -91,8 +92,8 @@ def quantile_arrays(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     return got.select(*keys, F.array(*values).alias(out))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], accuracy: int = DIGIT) -> DataFrame:
     """:func:`quantile_arrays` as one row per (key, ``prob``) with ``value``."""
-    q = quantile_arrays(df, keys, col, probs, "__q")
+    q = quantile_arrays(df, keys, col, probs, "__q", accuracy)
     both = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("__q").alias("value"))
     return q.select(*keys, F.inline(both).alias("prob", "value"))
