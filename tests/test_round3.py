@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklake.operators import drift, labels, pairs, quality, reports, signals, similar
+from ticklake.operators import context, drift, indicators, labels, pairs, quality, registry, reports, signals, similar
 from ticklake.plans.ordered import IDX, Order, linear_scan
 from ticklake.plans.steps import finite_machine, settled_scan
 from ticklake.plans.values import digits, quantile_arrays
+from ticklake.streaming import ticks
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -205,8 +206,54 @@ def test_linear_scan_over_pieces(spark):
         assert got[key, i][1] == (None if math.isnan(z) else pytest.approx(z, rel=1e-9, abs=1e-12))
 
 
-def test_recurrence_plan(spark, nulled):
-    from ticklake.operators.indicators import ema
+def test_recurrence_plan(spark, nulled, tmp_path):
+    nulled.write.parquet(str(tmp_path / "t"))
+    plan = indicators.ema(spark.read.parquet(str(tmp_path / "t")), {"e": ("mid", 5)})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 3 and plan.count("Exchange hashpartitioning") <= 5
 
-    plan = ema(nulled.drop("x"), {"e": ("mid", 5)})._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FlatMapGroupsInArrow") == 3 and plan.count("Exchange hashpartitioning") <= 6
+
+# --- keywords, pairs, pieces and streams without caps ---
+
+
+@pytest.mark.parametrize("words,listed,frame", [(5, 100_000, 64 << 20), (500, 40, 500), (50_000, 20_000, 2000)])
+def test_keywords_against_brute_force(spark, words, listed, frame):
+    rng = np.random.default_rng(words)
+    letters = list("abcdeé ")
+    kw = [(f"S{i % max(words // 3, 1)}", "".join(rng.choice(letters, int(rng.integers(1, 9))))) for i in range(words)] + [("S0", " "), ("S1", None), ("S2", " AB ")]
+    texts = [(i, "".join(rng.choice(letters, int(rng.integers(0, 60)))).upper() if i % 3 else "".join(rng.choice(letters, 30))) for i in range(60)] + [(99, None), (100, ""), (1, "bad CAB")]
+    got = context.keyword_matches(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(kw, "symbol string, keyword string"), max_listed=listed, frame_bytes=frame).collect()
+    by = {}
+    for s, w in kw:
+        if w and w.strip():
+            by.setdefault(w.strip().lower(), set()).add(s)
+    want = {(i, s) for i, t in texts if t for w, ss in by.items() if w in t.lower() for s in ss}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_no_keywords(spark):
+    texts = spark.createDataFrame([(1, "a")], "id long, text string")
+    assert context.keyword_matches(texts, spark.createDataFrame([], "symbol string, keyword string")).count() == 0
+
+
+def test_pairs_of_common_times(spark):
+    rows = [(s, T0 + dt.timedelta(hours=h)) for s, hs in (("a", (0, 1)), ("b", (1,)), ("c", (2,)), (None, (0, 1, 2))) for h in hs]
+    df = spark.createDataFrame(rows, "Symbol string, Timestamp timestamp_ntz")
+    assert {tuple(r) for r in pairs.pair_list(df).collect()} == {("a", "b"), ("b", "a")}
+    assert pairs.all_pairs(df) == [("a", "b")] and pairs.pair_list(df, ["a", "c"]).count() == 0
+
+
+def test_per_key_sees_no_edge(nulled):
+    def fn(pdf):
+        return pdf[["Symbol", "seq"]].assign(m=pdf["mid"].rolling(5).mean())
+
+    got = registry.per_key(nulled, fn, "Symbol string, seq long, m double", SMALL, back=4)
+    alike(got, "seq", "m")
+    pdf = nulled.where("Symbol = 'A'").toPandas().sort_values("seq")
+    want = pdf["mid"].rolling(5).mean()
+    have = {r.seq: r.m for r in got.where("Symbol = 'A'").collect()}
+    assert all((have[i] is None) == math.isnan(w) and (math.isnan(w) or have[i] == pytest.approx(w)) for i, w in zip(pdf["seq"], want))
+
+
+def test_stream_lookback_is_checked(nulled):
+    with pytest.raises(ValueError, match="back"):
+        ticks.stream_operator(nulled, indicators.sma("mid", 20), 10, "x", "y", "z")

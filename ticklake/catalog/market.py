@@ -57,15 +57,22 @@ def _(t):
     return shown(pr.pair_features(_pairs(t), 30, PO), "a b Timestamp", "corr ratio")
 
 
-@query("w30_wide", with_(HOURLY_SQL, PAIRS, CORR) + f"""SELECT "Timestamp", {rr("corr_click_view=coalesce(max(corr) FILTER (a='click' AND b='view'),0)","corr_view_error=coalesce(max(corr) FILTER (a='view' AND b='error'),0)")} FROM c GROUP BY 1""")
+NAMES = ("click", "error", "purchase", "signup", "view")
+WIDE = {f"corr_{a}_{b}": f"coalesce(max(corr) FILTER (a='{a}' AND b='{b}'),0)" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]}
+
+
+@query("w30_wide", with_(HOURLY_SQL, PAIRS, CORR) + f"""SELECT "Timestamp", {rr(*[f"{k}={v}" for k, v in WIDE.items()])} FROM c GROUP BY 1""")
 def _(t):
-    d = pr.widen_pairs(pr.pair_features(_pairs(t), 30, PO), [("click", "view"), ("view", "error")])
-    return shown(d, "Timestamp", "corr_click_view corr_view_error")
+    """All pairs of the symbols there are."""
+    pairs = pr.all_pairs(t.hourly)
+    d = pr.widen_pairs(pr.pair_features(_pairs(t), 30, PO), pairs)
+    return shown(d, "Timestamp", " ".join(f"corr_{a}_{b}" for a, b in pairs))
 
 
-@query("w31_confirmation", with_(HOURLY_SQL, PAIRS, CORR, """z AS (SELECT b, arg_max(corr,"Timestamp") cr, arg_max(y,"Timestamp") y FROM c WHERE a='click' AND b IN ('view','error') GROUP BY 1)""") + "SELECT 'click' AS \"Symbol\", round(sum(cr*sign(y)),6)+0.0 AS score FROM z")
+@query("w31_confirmation", with_(HOURLY_SQL, PAIRS, CORR, """z AS (SELECT a, b, arg_max(corr,"Timestamp") cr, arg_max(y,"Timestamp") y FROM c GROUP BY 1, 2)""") + "SELECT a AS \"Symbol\", round(sum(cr*sign(y)),6)+0.0 AS score FROM z WHERE cr IS NOT NULL GROUP BY 1")
 def _(t):
-    return shown(pr.confirmation(pr.pair_features(_pairs(t), 30, PO), "click", ["view", "error"]), "Symbol", "score")
+    """Every symbol against all others."""
+    return shown(pr.confirmation(pr.pair_features(_pairs(t), 30, PO)), "Symbol", "score")
 
 
 @query("w32_adjacency", with_(HOURLY_SQL, PAIRS, CORR) + f"SELECT \"Timestamp\", a AS src, b AS dst, {rr('weight=coalesce(corr,0)')} FROM c")

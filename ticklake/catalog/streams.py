@@ -45,7 +45,7 @@ def _(t):
 @query("t02_stream_features", with_(TICKS_SQL) + f"SELECT seq, {rr('ma_20='+full_sql('avg','mid',20))} FROM t")
 def _(t):
     out, state, ck = (shared_folder(t.spark) for _ in range(3))
-    st.stream_operator(_arrive(t), lambda d: apply_together(d, [ind.sma("mid", 20)]), 512, out, state, ck)
+    st.stream_operator(_arrive(t), ind.sma("mid", 20), 512, out, state, ck)
     return shown(t.spark.read.parquet(out), "seq", "ma_20")
 
 

@@ -139,9 +139,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0)).cast("double")
 
 
+LETTERS = "[A-Za-z]{3,}"
+
+
 def tokens(text: Column) -> Column:
     """X18 runs of three or more letters in lower case without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([A-Za-z]{3,})"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"({LETTERS})"), F.lit(1))
     return F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import symbol_variants, words
 from ..plans.asof import asof_join
@@ -115,31 +118,41 @@ def statements_and_ratios(statements: DataFrame, ratios: DataFrame, macro: DataF
     return d if macro is None else d.join(macro, "Date", "left")
 
 
-def keyword_matches(texts: DataFrame, keywords: DataFrame, text: str = "text", row_id: str = "id", max_listed: int = 500) -> DataFrame:
-    """J13 (id, symbol) where the lower-cased text contains one of the symbol's keywords.
+def keyword_matches(
+    texts: DataFrame, keywords: DataFrame, text: str = "text", row_id: str = "id", max_listed: int = 100_000, frame_bytes: int = 64 << 20
+) -> DataFrame:
+    """J13 (id, symbol), once each, where the lower-cased text contains one of the symbol's keywords.
+
+    Texts are dealt into buckets of about ``frame_bytes`` and keywords into
+    parts of about ``max_listed``; every bucket meets every part in a task, which
+    goes over each text once with an automaton of the part's words.  One way for all
+    sizes, and only the two sums that set the number of buckets and parts reach the driver.
 
-    A short keyword list (checked) is tested in one pass over the texts.  A
-    longer one meets them by an equi join on three-letter pieces.
+    Blank keywords and null or empty texts match nothing.
     """
-    low = texts.select(row_id, F.lower(text).alias("__t"))
+    low = texts.select(row_id, F.lower(text).alias("__t")).where("__t <> ''")
     kw = keywords.select("symbol", F.lower(F.trim("keyword")).alias("__k")).where("__k <> ''").distinct()
-    few = kw.limit(max_listed + 1).collect()
-    if len(few) <= max_listed:
-        if not few:
-            return low.select(row_id, F.lit("").alias("symbol")).limit(0)
-        listed = F.array(*[F.struct(F.lit(r["symbol"]).alias("s"), F.lit(r["__k"]).alias("k")) for r in few])
-        found = F.filter(listed, lambda x: F.contains(c("__t"), x["k"]))
-        return low.select(row_id, F.explode(F.array_distinct(F.transform(found, lambda x: x["s"]))).alias("symbol"))
-    grams = low.select(row_id, F.explode(_pieces(c("__t"))).alias("__g"))  # ids and pieces only
-    long_ = kw.where(F.length("__k") >= 3).withColumn("__g", F.substring("__k", 1, 3))
-    found = grams.join(long_, "__g").select(row_id, "symbol", "__k")
-    hits = found.where(F.length("__k") == 3).select(row_id, "symbol")
-    tested = found.where(F.length("__k") > 3).join(low, row_id).where(F.contains(c("__t"), c("__k")))
-    hits = hits.unionByName(tested.select(row_id, "symbol"))
-    for n in (1, 2):  # shorter words are pieces themselves
-        pieces = low.select(row_id, F.explode(_pieces(c("__t"), n)).alias("__k"))
-        hits = hits.unionByName(pieces.join(kw.where(F.length("__k") == n), "__k").select(row_id, "symbol"))
-    return hits.distinct()
+    parts = kw.count() // max(max_listed, 1) + 1
+    buckets = int((low.agg(F.sum(F.octet_length("__t"))).first()[0] or 0) // frame_bytes) + 1
+    left = low.select("*", F.pmod(F.xxhash64(row_id, "__t"), F.lit(buckets).cast("long")).alias("__b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__p"))
+    right = kw.select("symbol", "__k", F.pmod(F.xxhash64("__k"), F.lit(parts)).cast("int").alias("__p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("__b"))
+    schema = T.StructType([low.schema[row_id], kw.schema["symbol"]])
+
+    def scan(rows: pa.Table, words: pa.Table) -> pa.Table:
+        automaton, symbols = ahocorasick.Automaton(), {}
+        for symbol, word in zip(words["symbol"].to_pylist(), words["__k"].to_pylist()):
+            symbols.setdefault(word, []).append(symbol)
+            automaton.add_word(word, word)
+        places, found = [], []
+        if symbols:
+            automaton.make_automaton()
+            for i, t in enumerate(rows["__t"].to_pylist()):
+                own = {s for word in {w for _, w in automaton.iter(t)} for s in symbols[word]}
+                places += [i] * len(own)
+                found += own
+        return pa.table({row_id: rows[row_id].take(pa.array(places, pa.int64())), "symbol": pa.array(found, words.schema.field("symbol").type)})
+
+    return left.groupBy("__b", "__p").cogroup(right.groupBy("__b", "__p")).applyInArrow(scan, schema).distinct()
 
 
 def _pieces(text: Column, n: int = 3) -> Column:

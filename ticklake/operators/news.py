@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..plans.ordered import IDX, Order, micros, rolling
@@ -120,11 +124,23 @@ def _runs(df: DataFrame, items: Column, *keep: str) -> DataFrame:
 
 
 def top_keywords(df: DataFrame, n: int = 6, text: str = "text", row_id: str = "id") -> DataFrame:
-    """K07 the ``n`` commonest tokens of each text, first seen first on ties.  No shuffle."""
-    d = _runs(df.where(c(text).isNotNull()), tx.tokens(c(text)), row_id)
-    best = F.slice(F.array_sort(F.transform("runs", lambda r: F.struct((-r["n"]).alias("m"), r["p"].alias("p"), r["v"].alias("v")))), 1, n)
-    d = d.select(row_id, F.posexplode(best).alias("__k", "__r"))
-    return d.select(row_id, c("__r.v").alias("keyword"), (-c("__r.m")).cast("long").alias("n"), (c("__k") + 1).alias("rank"))
+    """K07 the ``n`` commonest tokens of each text, first seen first on ties.  No shuffle; one counter at a time."""
+    d = df.where(c(text).isNotNull()).select(row_id, F.lower(text).alias("__t"))
+    schema = T.StructType([d.schema[row_id], *[T.StructField(*x) for x in (("keyword", T.StringType()), ("n", T.LongType()), ("rank", T.IntegerType()))]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, word, times, rank = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                best = Counter(w for w in letters.findall(t) if w not in stop).most_common(n)  # keeps the order of first sight
+                place += [i] * len(best)
+                rank += range(1, len(best) + 1)
+                word += [w for w, _ in best]
+                times += [k for _, k in best]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), pa.array(word, pa.string()), pa.array(times, pa.int64()), pa.array(rank, pa.int32())], names)
+
+    names, stop, letters = schema.names, frozenset(tx.STOP_WORDS), re.compile(tx.LETTERS)
+    return d.mapInArrow(count, schema)
 
 
 def embed_long(df: DataFrame, text: str = "text", row_id: str = "id", dim: int = 32) -> DataFrame:

@@ -19,21 +19,13 @@ def pair_order(order: Order = Order()) -> Order:
     return Order(("a", "b"), order.ts, (), order.bucket_seconds, order.block_rows, order.scan_rows)
 
 
-def pair_list(df: DataFrame, whitelist=None, both_ways: bool = True, max_symbols: int = 2_000) -> DataFrame:
-    """(a, b) pairs of the symbols of ``df`` (or of the whitelist).
-
-    The universe must be small: more than ``max_symbols`` is an error, not a cut.
-    """
-    names = df.select("Symbol").distinct()
+def pair_list(df: DataFrame, whitelist=None, both_ways: bool = True, ts: str = "Timestamp") -> DataFrame:
+    """(a, b) pairs of the symbols of ``df`` (or of the whitelist) that have a time in common."""
+    names = df.select("Symbol", ts).where(c("Symbol").isNotNull()).distinct()
     if whitelist is not None:
         names = names.where(c("Symbol").isin(list(whitelist)))
-    got = [r[0] for r in names.limit(max_symbols + 1).collect()]  # bounded by the check below
-    if len(got) > max_symbols:
-        raise ValueError(f"more than {max_symbols} symbols: give a whitelist or a pair list")
-    got.sort()
-    spark = df.sparkSession
-    rows = [(a, b) for a in got for b in got if (a != b if both_ways else a < b)]
-    return spark.createDataFrame(rows, "a string, b string")
+    both = names.withColumnRenamed("Symbol", "a").join(names.withColumnRenamed("Symbol", "b"), ts)
+    return both.where(c("a") != c("b") if both_ways else c("a") < c("b")).select("a", "b").distinct()
 
 
 def pair_rows(df: DataFrame, pairs: DataFrame, value: str, ts: str = "Timestamp") -> DataFrame:
@@ -80,7 +72,7 @@ def pair_features(pairs_long: DataFrame, n: int = 30, order: Order = pair_order(
 
 
 def all_pairs(df: DataFrame) -> list[tuple[str, str]]:
-    """All pairs (a < b) of the symbols of ``df``, in order: the columns of a wide table."""
+    """All pairs (a < b) of symbols of ``df`` with a common time, in order: the columns of a wide table."""
     return sorted((r["a"], r["b"]) for r in pair_list(df, both_ways=False).collect())
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import market as mk
-from ..plans.ordered import TICKS, Order
+from ..plans.ordered import BLK, IDX, TICKS, Order, halo_blocks
 from . import indicators as ind, quality
 from .base import RowOp, apply_together, require_columns
 
@@ -98,9 +98,19 @@ def label_sign(label: str = "label", score: str = "score"):
     return F.when(low.startswith("pos"), F.col(score)).when(low.startswith("neg"), -F.col(score)).otherwise(0.0)
 
 
-def per_key(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str], bucket_seconds: int, ts: str = "Timestamp") -> DataFrame:
-    """P06 a pandas function per (key, time bucket): groups stay small however long a key is."""
-    from ..plans.ordered import BKT, bucket
+def per_key(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: Order = TICKS, back: int = 0, ahead: int = 0) -> DataFrame:
+    """P06 a pandas function per block of a key's rows: groups stay small however long a key is.
 
-    d = df.withColumn(BKT, bucket(ts, bucket_seconds))
-    return d.groupBy(*keys, BKT).applyInPandas(lambda pdf: fn(pdf.drop(columns=[BKT])), schema)
+    ``fn`` gets the rows of a block in their order, with ``back`` rows before and
+    ``ahead`` after it, and returns a row (or none) for each under the same index; those
+    of the block itself are kept.  So a function that looks no further sees no edge.
+    """
+    rows, _ = halo_blocks(df, order, back, ahead)
+    columns = df.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(IDX, ignore_index=True)
+        out = fn(pdf[columns])
+        return out[(pdf[BLK] == pdf["__home"]).reindex(out.index).to_numpy()]
+
+    return rows.groupBy(*order.keys, BLK).applyInPandas(run, schema)

@@ -144,8 +144,11 @@ def classification_risk(df: DataFrame, y: str, pred: str, order: Order, weights:
     return out.withColumn("objective", objective).drop("__s", "__tp", "__pp", "__ap")
 
 
-def poisson_weight(*parts: Column, limit: int = 12) -> Column:
-    """Poisson(1) draw from a hash: the same row and replicate always draw the same weight."""
+def poisson_weight(*parts: Column, limit: int = 18) -> Column:
+    """Poisson(1) draw from a hash: the same row and replicate always draw the same weight.
+
+    The draw has 53 bits; from 18 on the distribution function is 1 at that precision.
+    """
     u = (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)).cast("double")) / float(1 << 53)
     draw, cum, p = F.lit(limit), [], math.exp(-1)
     total = 0.0

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.base import RowOp, apply_together
 from ..operators.quality import _tick_filter
 from ..operators.risk import last_rows
 from ..plans.ordered import TICKS, Order
@@ -51,9 +52,16 @@ def run_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
 
 
 def stream_operator(
-    df: DataFrame, op: Callable[[DataFrame], DataFrame], lookback: int, out: str, state: str, checkpoint: str, order: Order = TICKS
+    df: DataFrame, op: RowOp | Sequence[RowOp], lookback: int, out: str, state: str, checkpoint: str, order: Order = TICKS
 ) -> None:
-    """T02 run a batch operator over each micro-batch with ``lookback`` earlier rows per key; write new rows only."""
+    """T02 run row operators over each micro-batch with ``lookback`` earlier rows per key; write new rows only.
+
+    An operator that looks further back, or ahead, is an error.
+    """
+    ops = [op] if isinstance(op, RowOp) else list(op)
+    for o in ops:
+        if o.back > lookback or o.ahead:
+            raise ValueError(f"{o.name} looks {o.back} rows back and {o.ahead} ahead; the stream keeps {lookback}")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -61,7 +69,7 @@ def stream_operator(
         before = f"{state}/{batch_id - 1}"
         if batch_id and path_exists(spark, before):
             rows = rows.unionByName(spark.read.parquet(before).withColumn("__new", F.lit(False)))
-        op(rows).where("__new").drop("__new").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        apply_together(rows, ops, order).where("__new").drop("__new").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         last_rows(rows.drop("__new"), lookback, order).write.mode("overwrite").parquet(f"{state}/{batch_id}")
         remove(spark, f"{state}/{batch_id - 2}")
 
