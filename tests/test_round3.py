@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklake.operators import context, drift, indicators, labels, pairs, quality, registry, reports, signals, similar
-from ticklake.plans.ordered import IDX, Order, linear_scan
+from ticklake.plans.ordered import IDX, Order, linear_scan, own_index
 from ticklake.plans.steps import finite_machine, settled_scan
 from ticklake.plans.values import digits, quantile_arrays
 from ticklake.streaming import ticks
@@ -197,7 +197,7 @@ def test_linear_scan_over_pieces(spark):
     d = linear_scan(df, {"y": (a, F.col("x"))}, order, keep_index=True)
     d = linear_scan(d, {"z": (F.when(F.col(IDX) == 0, 0.0).otherwise(0.5), F.when(F.col(IDX) == 300, F.lit(None)).otherwise(F.col("y")))}, order)
     got = {(r.Symbol, r.seq): (r.y, r.z) for r in d.collect()}
-    assert len(got) == len(rows) and IDX not in d.columns
+    assert len(got) == len(rows) and IDX in d.columns and IDX not in own_index(df, d).columns
     y = z = 0.0
     for key, _, i, x, k in rows:
         y = (0.0 if i % 97 == 0 else k) * (y if i else 0.0) + x

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..plans.ordered import IDX, TICKS, Order, attach, full, linear_scan, rolling, running
+from ..plans.ordered import IDX, TICKS, Order, attach, full, linear_scan, own_index, rolling, running
 from .base import RowOp, crossing, flag, nz, price_col, safe_div, sign_int
 
 c = F.col
@@ -117,7 +117,7 @@ def macd(df: DataFrame, col: str | None = None, fast=12, slow=26, signal=9, orde
     d = ema(df, {"__fast": (col, fast), "__slow": (col, slow)}, order, keep_index=True)
     d = d.withColumn("macd", c("__fast") - c("__slow")).drop("__fast", "__slow")
     d = ema(d, {"macd_signal": ("macd", signal)}, order)
-    return d.withColumn("macd_hist", c("macd") - c("macd_signal")).withColumn("macd_cross", sign_int(c("macd_hist")))
+    return own_index(df, d.withColumn("macd_hist", c("macd") - c("macd_signal")).withColumn("macd_cross", sign_int(c("macd_hist"))))
 
 
 def stochastic(k: int = 14, d_n: int = 3, high="High", low="Low", close="mid") -> RowOp:
@@ -197,7 +197,7 @@ def squeeze(df: DataFrame, n=20, bb=2.0, kc=1.5, high="High", low="Low", close="
         return d.withColumn("squeeze_break", brk)
 
     out = rolling(d, fn, n + 1, 0, order)
-    return out.drop("__tr", "__ma", "__sd", "__atr", "__ema", "__up", "__dn", "__on")
+    return own_index(df, out.drop("__tr", "__ma", "__sd", "__atr", "__ema", "__up", "__dn", "__on"))
 
 
 def _price_cross(df: DataFrame, price: str, line: str, out: str, order: Order) -> DataFrame:
@@ -222,7 +222,7 @@ def kama(df: DataFrame, close="Close", n=10, fast=2, slow=30, order: Order = TIC
     a = F.when(seed, 0.0).otherwise(1 - c("__sc"))
     b = F.when(seed, c(close)).otherwise(c("__sc") * c(close))
     d = linear_scan(d, {"kama": (a, b)}, order, keep_index=True).drop("__sc")
-    return _price_cross(d, close, "kama", "kama_cross", order)
+    return own_index(df, _price_cross(d, close, "kama", "kama_cross", order))
 
 
 def kalman_variance(i: Column, q: Column, r: Column) -> Column:
@@ -248,7 +248,7 @@ def kalman_ma(df: DataFrame, close="Close", q=1e-5, r=1e-2, order: Order = TICKS
     """W14 constant-noise Kalman average: the gain depends on the row number alone."""
     k = kalman_gain(c(IDX), F.lit(float(q)), F.lit(float(r)))
     d = linear_scan(df, {"kma": (1 - k, k * c(close))}, order, keep_index=True)
-    return _price_cross(d, close, "kma", "kma_cross", order)
+    return own_index(df, _price_cross(d, close, "kma", "kma_cross", order))
 
 
 def kalman_smooth(df: DataFrame, col: str = "mid", q: float = 1e-2, r: float | None = None, order: Order = TICKS) -> DataFrame:
@@ -260,7 +260,7 @@ def kalman_smooth(df: DataFrame, col: str = "mid", q: float = 1e-2, r: float | N
     d = attach(d.drop("__ch"), per_key, keys, [IDX])
     d = d.withColumn("__g", kalman_gain(c(IDX), F.lit(float(q)), c("__r")))
     d = d.withColumn("kalman_volatility", F.sqrt(kalman_variance(c(IDX).cast("double"), F.lit(float(q)), c("__r")))).drop("__r")
-    return linear_scan(d, {"kalman_price": (1 - c("__g"), c("__g") * c(col))}, order).drop("__g")
+    return own_index(df, linear_scan(d, {"kalman_price": (1 - c("__g"), c("__g") * c(col))}, order).drop("__g"))
 
 
 def supertrend(df: DataFrame, n=10, mult=3.0, high="High", low="Low", close="Close", order: Order = TICKS) -> DataFrame:
@@ -278,7 +278,7 @@ def supertrend(df: DataFrame, n=10, mult=3.0, high="High", low="Low", close="Clo
     d = running(d, {"__dir": ("last", c("__hit"))}, order)
     line = F.when(c("__live"), F.when(c("__dir") == 1, c("__lb")).otherwise(c("__ub")))
     d = d.withColumn("supertrend", line).drop("__tr", "__atr", "__ub", "__lb", "__hit", "__live", "__dir")
-    return _price_cross(d, close, "supertrend", "supertrend_break", order)
+    return own_index(df, _price_cross(d, close, "supertrend", "supertrend_break", order))
 
 
 def obv_mfi(df: DataFrame, n=14, price="mid", high="High", low="Low", volume="Volume", order: Order = TICKS) -> DataFrame:
@@ -576,7 +576,7 @@ def variance_recursion(df: DataFrame, col: str = "return", omega=0.1, alpha=0.1,
     a = F.when(first, 0.0).otherwise(beta)
     b = F.when(first, 0.0).otherwise(omega + alpha * c("__p") * c("__p"))
     d = linear_scan(d, {"__var": (a, b)}, order)
-    return d.withColumn("garch_vol", F.sqrt("__var")).drop("__p", "__var")
+    return own_index(df, d.withColumn("garch_vol", F.sqrt("__var")).drop("__p", "__var"))
 
 
 def exit_levels(df: DataFrame, price: str, vol: str, regime: str, n=14, mult=3.0, threshold=0.02, order: Order = TICKS) -> DataFrame:

@@ -23,7 +23,6 @@ Rows with a NULL key or time stay: NULL keys are one key, NULL times come first.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -34,8 +33,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint
-
 BKT = "__bkt"
 IDX = "__idx"
 BLK = "__blk"
@@ -120,22 +117,6 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], spread: Sequence[st
     return join_same(df.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")), copies, [*keys, salt]).drop(salt)
 
 
-_SHUFFLING = re.compile(r"\b(Window|Join|Aggregate|FlatMapGroupsInPandas|Distinct|Sort)\b")
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder if its plan already shuffles.
-
-    The directory of bucket counts or totals reads the input a second time.
-    On a scan that is two columns; on the result of other operators it would
-    run all of them again, and double with every operator of a chain.
-    """
-    if df.isStreaming:
-        return df
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return checkpoint(df) if _SHUFFLING.search(plan) else df
-
-
 def in_pieces(df: DataFrame, order: Order) -> DataFrame:
     """Add the piece of a row: its keys and time bucket as one struct.
 
@@ -157,14 +138,33 @@ def offsets(rows: DataFrame, order: Order) -> DataFrame:
     return counts.select(PIECE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
 
 
+def _tag(order: Order) -> str:
+    return "|".join([*order.keys, order.ts, *order.tie])
+
+
+def is_numbered(df: DataFrame, order: Order) -> bool:
+    """Whether ``df`` carries ``__idx`` of this order (noted in the column's metadata)."""
+    return IDX in df.columns and df.schema[IDX].metadata.get("order") == _tag(order)
+
+
+def own_index(df: DataFrame, out: DataFrame) -> DataFrame:
+    """``out`` without the numbering that an operator made on its way, unless its input ``df`` had it."""
+    return out if IDX in df.columns else out.drop(IDX)
+
+
 def row_index(df: DataFrame, order: Order = TICKS, out: str = IDX) -> DataFrame:
-    """Add the dense 0-based row number within the key; rows that have ``__idx`` already (``keep_index``) keep it."""
-    if out == IDX and IDX in df.columns:
+    """Add the dense 0-based row number within the key; rows that carry it already are left as they are.
+
+    The offsets read the keys and times of ``df`` a second time.  Number once
+    at the start of a chain: ``rolling`` and ``linear_scan`` keep and use what is there.
+    """
+    if out == IDX and is_numbered(df, order):
         return df
-    rows = in_pieces(stage(df), order)
+    rows = in_pieces(df, order)
     inside = Window.partitionBy(PIECE).orderBy(*order.sort())
     numbered = rows.join(offsets(rows, order), PIECE)
-    return numbered.withColumn(out, F.row_number().over(inside) - F.lit(1) + F.col("__off")).drop(PIECE, "__off")
+    numbered = numbered.withColumn(out, F.row_number().over(inside) - F.lit(1) + F.col("__off")).drop(PIECE, "__off")
+    return numbered.withMetadata(out, {"order": _tag(order)})
 
 
 def halo_blocks(df: DataFrame, order: Order, back: int, ahead: int = 0) -> tuple[DataFrame, WindowSpec]:
@@ -192,7 +192,7 @@ def rolling(
     """Run ``fn(rows, window)`` where frames look ``back`` rows back and ``ahead`` ahead."""
     rows, window = halo_blocks(df, order, back, ahead)
     out = fn(rows, window).where(F.col(BLK) == F.col("__home")).drop(BLK, "__home")
-    return out if keep_index else out.drop(IDX)
+    return out if keep_index or is_numbered(df, order) else out.drop(IDX)
 
 
 def full(agg: Callable[[Column], Column], x: Column | str, n: int, w: WindowSpec) -> Column:
@@ -218,7 +218,7 @@ def running(
     value).  ``reverse`` runs from the newest row, ``exclusive`` leaves the
     current row out.
     """
-    rows = in_pieces(stage(df), order)
+    rows = in_pieces(df, order)
     for name, (_, expr) in outs.items():
         rows = rows.withColumn(f"__x_{name}", expr)
     place = F.struct(*[F.col(c) for c in (order.ts, *order.tie)])
@@ -273,9 +273,11 @@ def linear_scan(
     """
     names = list(outs)
     kept = [c for c in df.columns if c not in names and c != IDX]
-    rows = in_pieces(stage(df), order)
+    rows = in_pieces(df, order)
     key_fields = [rows.schema[PIECE].dataType[k] for k in order.keys]
-    numbered = IDX in df.columns
+    numbered = is_numbered(df, order)
+    if not numbered:
+        rows = rows.drop(IDX)
     first = F.lit(0).cast("long").alias("__off")
 
     def stepped(d: DataFrame) -> DataFrame:
@@ -291,8 +293,9 @@ def linear_scan(
     carry_schema = T.StructType([narrow.schema[PIECE], narrow.schema["__off"], *[T.StructField(f"__c_{n}", T.DoubleType()) for n in names]])
     carries = sums.groupBy(*[F.col(PIECE)[f.name].alias(f.name) for f in key_fields]).applyInArrow(_chain(names), carry_schema)
     joined = stepped(rows.join(carries, PIECE))
-    out = [*kept, *([IDX] if keep_index else [])]
-    schema = T.StructType([*[joined.schema[c] for c in out], *[T.StructField(n, T.DoubleType()) for n in names]])
+    out = [*kept, *([IDX] if keep_index or numbered else [])]
+    tagged = joined if numbered else joined.withMetadata(IDX, {"order": _tag(order)})
+    schema = T.StructType([*[tagged.schema[c] for c in out], *[T.StructField(n, T.DoubleType()) for n in names]])
     return joined.groupBy(PIECE).applyInArrow(_replay(names, out), schema)
 
 
