@@ -150,6 +150,17 @@ def test_state_goes_on(spark, tmp_path):
     assert {r.doc_id: (r.keep_id, r.group_size) for r in v.collect()} == {7: (7, 2), 9: (7, 2), 8: (8, 1), 1: (1, 1)}
 
 
+def test_bytes_are_checked_on_hits_of_an_earlier_call(spark, tmp_path):
+    """With digests that collide, a later call follows the locators kept in state."""
+    weak = lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 0)
+    folder = str(tmp_path / "index")
+    for name, rows in (("a b", [(5, "aa"), (6, "cc")]), ("c%d", [(1, "zz"), (7, "aa")]), ("e", [(2, "cc"), (None, "zz")])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / name))
+        _, v = exact_duplicates(spark.read.parquet(str(tmp_path / name)).where("text <> ''"), folder=folder, digest=weak)
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in v.collect())
+    assert got == [("1", 1, 2, True), ("2", 2, 2, True), ("5", 5, 2, True), ("6", 2, 2, False), ("7", 5, 2, False), ("None", 1, 2, False)]
+
+
 def test_normalised(spark):
     df = spark.createDataFrame([("a \t\r\n\x0b\x0cb\x1cc d",), (None,)], "text string").select(normalised().alias("t"))
     assert [r.t for r in df.collect()] == ["a b\x1cc d", ""]

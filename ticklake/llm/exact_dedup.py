@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.scans import path_exists
 from .common import keep, shared_folder
 
 # State lives in RocksDB files of the executors, with its log in the shared
@@ -64,6 +67,16 @@ def update_index(spark: SparkSession, landed: str, folder: str) -> DataFrame:
     return changes.groupBy("digest").agg(F.max_by(F.struct("first", "size"), "batch").alias("s")).select("digest", "s.first", "s.size")
 
 
+def landed_before(spark: SparkSession, keys: DataFrame, located: DataFrame) -> DataFrame:
+    """``text, doc_id, __file, __row`` of the rows that earlier calls landed, fetched by their locators from their own files."""
+    here = located.select(F.col("__file").alias("file")).distinct()
+    files = [unquote(r.file) for r in keys.select("file").distinct().join(here, "file", "left_anti").collect()]  # names only
+    if not files:
+        return located.select("text", "doc_id", "__file", "__row").limit(0)
+    read = spark.read.parquet(*files).select(F.col("text").cast("string"), F.col("doc_id").cast("long"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return read.join(keys.select(F.col("file").alias("__file"), F.col("row").alias("__row")), ["__file", "__row"], "left_semi").select("text", "doc_id", "__file", "__row")
+
+
 def exact_duplicates(docs: DataFrame, *, digest=sha256, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(docs with locators, verdicts)`` of ``docs(doc_id, text)``.
 
@@ -78,6 +91,10 @@ def exact_duplicates(docs: DataFrame, *, digest=sha256, folder: str | None = Non
     that a group with very many copies is dealt over many tasks.  Rows with other
     bytes (a collision of ``digest``) are grouped anew by their bytes.
 
+    With ``folder``, a call goes on from the state that earlier calls left there, and
+    the verdicts cover their rows too; texts that were kept then are read from
+    their own files, which must still be there.
+
     Null text counts as empty, and empty texts are equal.  A null doc_id sorts
     last; of rows with equal ids and texts one stays.  Other columns are not read.
     An empty table gives an empty result.
@@ -87,14 +104,18 @@ def exact_duplicates(docs: DataFrame, *, digest=sha256, folder: str | None = Non
     located = with_locator(docs)
     text = normalised()
     ident = F.col("doc_id").cast("long")
-    keys = located.select(digest(text).alias("digest"), ident.isNull().alias("missing"), ident.alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
     landed = f"{folder}/landed"
+    goes_on = path_exists(spark, landed)
+    keys = located.select(digest(text).alias("digest"), ident.isNull().alias("missing"), ident.alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
     keys.write.mode("append").parquet(landed)
     keys = spark.read.schema(KEY).parquet(landed)
     index = keep(update_index(spark, landed, folder))
 
     twice = index.where("size > 1").select("digest", F.col("first.file").alias("kfile"), F.col("first.row").alias("krow"), F.ceil(F.col("size") / ROWS_PER_SALT).cast("int").alias("salts"))
-    hits = located.select(digest(text).alias("digest"), text.alias("text"), ident.alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row")).join(twice, "digest")
+    rows = located.select("text", "doc_id", "__file", "__row")
+    if goes_on:
+        rows = rows.unionByName(landed_before(spark, keys, located))
+    hits = rows.select(digest(text).alias("digest"), text.alias("text"), ident.alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row")).join(twice, "digest")
     first = (F.col("file") == F.col("kfile")) & (F.col("row") == F.col("krow"))
     stays = hits.where(first).select("digest", F.col("text").alias("ktext"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     other = hits.where(~first).select("digest", "text", "doc_id", "file", "row", F.pmod(F.xxhash64("file", "row"), "salts").cast("int").alias("salt"))
