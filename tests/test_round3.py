@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklake.operators import context, drift, indicators, labels, pairs, quality, registry, reports, signals, similar
+from ticklake.operators import context, drift, indicators, labels, mljobs, pairs, quality, registry, reports, signals, similar
 from ticklake.plans.ordered import IDX, Order, linear_scan, own_index
 from ticklake.plans.steps import finite_machine, settled_scan
 from ticklake.plans.values import digits, quantile_arrays
@@ -257,3 +257,48 @@ def test_per_key_sees_no_edge(nulled):
 def test_stream_lookback_is_checked(nulled):
     with pytest.raises(ValueError, match="back"):
         ticks.stream_operator(nulled, indicators.sma("mid", 20), 10, "x", "y", "z")
+
+
+# --- regimes on growing history ---
+
+
+def brute_regimes(x, step, k, rounds):
+    """A fit per cut on all rows before it (columns are rows of one key, by place)."""
+    out, n = [], len(x)
+    last = max(n // step, 1) - 1
+    for i in range(n):
+        cut = min(i // step, last)
+        history = x[: (cut + 1) * step] if n >= step else x
+        centre, _ = mljobs.weighted_centres(history, np.ones(len(history)), k, rounds)
+        centre = centre[np.argsort(centre[:, 0], kind="stable")]
+        out.append(int(((centre - x[i]) ** 2).sum(axis=1).argmin()))
+    return out
+
+
+@pytest.mark.parametrize("n,step", [(900, 100), (50, 100), (430, 7)])
+def test_regimes_against_a_fit_per_cut(spark, monkeypatch, n, step):
+    """Few distinct points: nothing is lost in merging, over several spans of blocks."""
+    monkeypatch.setattr(mljobs, "SPAN", 4)
+    rng = np.random.default_rng(n)
+    x = np.round(np.concatenate([rng.normal(m, 1, (n // 3 + 1, 2)) for m in (0, 4, 9)])[rng.permutation(n)], 0)[:n]
+    df = spark.createDataFrame([("A", T0 + dt.timedelta(minutes=i), i, float(a), float(b)) for i, (a, b) in enumerate(x)], "Symbol string, Timestamp timestamp_ntz, seq long, x double, y double").repartition(4)
+    got = {r.seq: r.regime for r in mljobs.regimes(df, ["x", "y"], 3, step).collect()}
+    assert [got[i] for i in range(n)] == brute_regimes(x, step, 3, 50)
+
+
+def test_regimes_of_many_points(spark):
+    """Compressed history still parts clear groups; NULLs and NULL keys stay; empty tables too."""
+    rng = np.random.default_rng(1)
+    rows = [(key, T0 + dt.timedelta(minutes=i), i, float(rng.normal((0, 50, 100)[i % 3], 1)) if i % 3 or i % 30 else None) for key in ("A", None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "Symbol string, Timestamp timestamp_ntz, seq long, x double")
+    got = mljobs.regimes(df, ["x"], 3, 200, features=32).collect()
+    assert len(got) == 3000 and all(r.regime == r.seq % 3 for r in got)
+    assert mljobs.regimes(df.where("false"), ["x"]).count() == 0
+
+
+def test_weighted_centres():
+    x = np.array([[0.0], [1.0], [10.0], [11.0], [10.0]])
+    centre, weight = mljobs.weighted_centres(x, np.array([1.0, 1, 1, 1, 2]), 2, 10)
+    assert centre.ravel().tolist() == [0.5, 10.25] and weight.tolist() == [2, 4]
+    centre, weight = mljobs.weighted_centres(x, np.ones(5), 9, 10)
+    assert len(centre) == 4 and weight.tolist() == [1, 1, 2, 1]

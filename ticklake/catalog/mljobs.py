@@ -30,9 +30,23 @@ def _(t):
     return ranges.agg(F.sum("n").alias("n"))
 
 
-@query("m02_regimes", with_(TICKS_SQL) + "SELECT seq FROM t")
-def _(t):
-    return ml.regimes(t.ticks, ["mid", "Volume"], 3, 1_000).where(c("regime").between(0, 2)).select("seq")
+def _lloyd(step: int, k: int, rounds: int) -> str:
+    """k-means of one column's history at every cut, by its value counts: quantile starts, then ``rounds`` steps."""
+    ctes = [
+        f"b AS (SELECT *, least(i // {step}, greatest((max(i) OVER () + 1) // {step}, 1) - 1) AS cut FROM t)",
+        f"h AS (SELECT c.cut, \"Volume\" v, count(*)::DOUBLE w FROM (SELECT DISTINCT cut FROM b) c JOIN b ON b.i < (c.cut + 1) * {step} GROUP BY 1, 2)",
+        "u AS (SELECT *, sum(w) OVER (PARTITION BY cut ORDER BY v) cum, sum(w) OVER (PARTITION BY cut) total FROM h)",
+        f"c0 AS (SELECT cut, j, min(v) FILTER (cum >= (j + 0.5) / {k} * total) m FROM u, range({k}) r(j) GROUP BY 1, 2)",
+    ]
+    for n in range(rounds):
+        ctes.append(f"n{n} AS (SELECT h.cut, v, w, arg_min(j, struct_pack(d := (v - m) * (v - m), j := j)) j FROM h JOIN c{n} USING (cut) GROUP BY 1, 2, 3)")
+        ctes.append(f"c{n + 1} AS (SELECT c.cut, c.j, coalesce(sum(w * v) / sum(w), any_value(m)) m FROM c{n} c LEFT JOIN n{n} n ON n.cut = c.cut AND n.j = c.j GROUP BY 1, 2)")
+    return ", ".join(ctes)
+
+
+@query("m02_regimes", with_(TICKS_SQL, _lloyd(400, 3, 30)) + 'SELECT seq, CAST(arg_min(j, struct_pack(d := ("Volume" - m) * ("Volume" - m), j := j)) AS INTEGER) AS regime FROM b JOIN c30 USING (cut) GROUP BY seq')
+def _(t):
+    return ml.regimes(t.ticks, ["Volume"], 3, 400, rounds=30).select("seq", "regime")
 
 
 PC = """s AS (SELECT avg(mid) am, avg("Volume") av, covar_samp(mid,mid) a, covar_samp(mid,"Volume") b, covar_samp("Volume","Volume") d FROM t), e AS (SELECT *, (a+d)/2+sqrt(power((a-d)/2,2)+b*b) l FROM s),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import IDX, TICKS, Order, join_same, row_index
+from ..plans.ordered import IDX, TICKS, Order, attach, row_index
 from ..plans.values import quantile_arrays
 from ..session import checkpoint
 from .base import safe_div
@@ -62,30 +63,101 @@ def market_baskets(df: DataFrame, cols: Sequence[str], k: int = 4, min_count: in
     return d, ranges
 
 
-def regimes(df: DataFrame, cols: Sequence[str], k: int = 3, step: int = 500, order: Order = TICKS, seed: int = 0) -> DataFrame:
-    """M02 regime per row: every ``step`` rows k-means is fitted anew on the history so far and labels the next block.
+PIECE_ROWS = 50_000  # rows that one task compresses
+SPAN = 256  # blocks whose history one task merges
 
-    Labels are ordered by the first feature of the centre, so they keep their
-    meaning between fits.
+
+def weighted_centres(x: np.ndarray, w: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(centres, weights)`` of weighted k-means: started at quantiles along the first column, ``rounds`` steps at most.
+
+    Up to ``k`` distinct points are their own centres.
+    """
+    x, at = np.unique(x, axis=0, return_inverse=True)
+    w = np.bincount(at.ravel(), w, len(x))
+    if len(x) <= k:
+        return x, w
+    cum = np.cumsum(w)
+    centre = x[np.searchsorted(cum, (np.arange(k) + 0.5) / k * cum[-1])]
+    for _ in range(rounds):
+        near = ((x[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+        total = np.bincount(near, w, k)
+        mean = np.stack([np.bincount(near, w * col, k) for col in x.T], axis=1) / np.where(total > 0, total, 1)[:, None]
+        new = np.where(total[:, None] > 0, mean, centre)
+        if (new == centre).all():
+            break
+        centre = new
+    near = ((x[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+    total = np.bincount(near, w, k)
+    return centre[total > 0], total[total > 0]
+
+
+def _features(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted centres of all rows of ``t(centres, weights)``, put together."""
+    x = t["centres"].combine_chunks().flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return x, t["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def regimes(df: DataFrame, cols: Sequence[str], k: int = 3, step: int = 500, order: Order = TICKS, features: int = 256, rounds: int = 50) -> DataFrame:
+    """M02 regime per row: every ``step`` rows k-means is fitted anew on the history so far and labels the block that ends there.
+
+    Rows past the last whole block take its fit.  Labels are ordered by the first
+    feature of the centre, so they keep their meaning between fits; NULL reads as 0.
+
+    Blocks are compressed to at most ``features`` weighted centres side by side,
+    which are merged in order, first within spans of blocks and then over the
+    spans, so that every fit finds its history as two such sets.  The number of jobs
+    does not depend on the rows.  With up to ``features`` distinct points nothing is lost.
     """
+    width, names = len(cols), [f"__f{i}" for i in range(len(cols))]
     d = row_index(df, order)
-    n = d.agg(F.max(IDX)).first()[0]
-    if n is None:
+    size = d.agg(F.max(IDX).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    if size.n is None:
         return df.withColumn("regime", F.lit(0))
-    cuts = list(range(step, n + 2, step)) or [n + 1]
-    d = assemble(d, cols)
-    out = None
-    for i, cut in enumerate(cuts):
-        model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="__k").fit(d.where(c(IDX) < cut))
-        lo = 0 if i == 0 else cuts[i - 1]
-        hi = cut if i + 1 < len(cuts) else n + 1
-        ranks = {int(j): r for r, j in enumerate(np.argsort([v[0] for v in model.clusterCenters()], kind="stable"))}
-        label = F.lit(0)
-        for j, r in ranks.items():
-            label = F.when(c("__k") == j, r).otherwise(label)
-        part = model.transform(d.where((c(IDX) >= lo) & (c(IDX) < hi))).withColumn("regime", label)
-        out = part if out is None else out.unionByName(part)
-    return out.select(*df.columns, "regime")
+    last = max((size.n + 1) // step, 1) - 1
+    pieces = size.rows // (last + 1) // PIECE_ROWS + 1
+    d = d.withColumn("__cut", F.least(F.floor(c(IDX) / step), F.lit(last)).cast("long"))
+    seen = d.where((c(IDX) < (last + 1) * step) | F.lit(last == 0)).select("__cut", F.pmod(F.xxhash64(IDX, *order.keys), F.lit(pieces)).alias("__p"), *[F.coalesce(c(x).cast("double"), F.lit(0.0)).alias(n) for x, n in zip(cols, names)])
+    cf = "__cut long, centres array<array<double>>, weights array<double>"
+
+    def table(cut: list, sets: list[tuple[np.ndarray, np.ndarray]], key: str = "__cut") -> pa.Table:
+        lists = pa.list_(pa.list_(pa.float64()))
+        return pa.table({key: pa.array(cut, pa.int64()), "centres": pa.array([x.tolist() for x, _ in sets], lists), "weights": pa.array([w.tolist() for _, w in sets], pa.list_(pa.float64()))})
+
+    def compress(t: pa.Table) -> pa.Table:
+        x = np.stack([t[n].to_numpy() for n in names], axis=1)
+        return table([t["__cut"][0].as_py()], [weighted_centres(x, np.ones(len(x)), features, 5)])
+
+    def merged(t: pa.Table, key: str) -> tuple[list, list]:
+        """For each value of ``key``, in order, what its rows and all before them come to."""
+        now, keys, sets = (np.empty((0, width)), np.empty(0)), [], []
+        for v in sorted(set(t[key].to_pylist())):
+            own = _features(t.filter(pc.equal(t[key], v)), width)
+            now = weighted_centres(*(np.concatenate(p) for p in zip(now, own)), features, 5)
+            keys.append(v)
+            sets.append(now)
+        return keys, sets
+
+    def fit(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for i in range(len(t)):
+                row = t[i : i + 1]
+                own = _features(row, width)
+                if row["before"][0].is_valid:
+                    own = tuple(np.concatenate(p) for p in zip(_features(row.select(["before", "bw"]).rename_columns(["centres", "weights"]), width), own))
+                centre, _ = weighted_centres(*own, k, rounds)
+                yield table(row["__cut"].to_pylist(), [(centre[np.argsort(centre[:, 0], kind="stable")], np.ones(len(centre)))]).to_batches()[0]
+
+    blocks = seen.groupBy("__cut", "__p").applyInArrow(compress, cf)
+    local = checkpoint(blocks.groupBy(F.floor(c("__cut") / SPAN).alias("__span")).applyInArrow(lambda t: table(*merged(t, "__cut")), cf))
+    ends = local.groupBy(F.floor(c("__cut") / SPAN).alias("__span")).agg(F.max_by(F.struct("centres", "weights"), "__cut").alias("e")).select("__span", "e.centres", "e.weights")
+    spans = ends.groupBy((c("__span") < 0).alias("__all")).applyInArrow(lambda t: table(*merged(t, "__span"), "__span"), cf.replace("__cut", "__span"))  # a row for every SPAN blocks
+    before = spans.select((c("__span") + 1).alias("__span"), c("centres").alias("before"), c("weights").alias("bw"))
+    history = local.withColumn("__span", F.floor(c("__cut") / SPAN)).join(before, "__span", "left").drop("__span")
+    fits = checkpoint(history.mapInArrow(fit, cf).select("__cut", "centres"))
+    x = F.array(*[F.coalesce(c(n).cast("double"), F.lit(0.0)) for n in cols])
+    dist = F.transform("centres", lambda m, i: F.struct(F.aggregate(F.zip_with(m, x, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v).alias("d"), i.alias("i")))
+    return attach(d, fits, ["__cut"], [IDX, *order.keys]).withColumn("regime", F.array_min(dist)["i"]).select(*df.columns, "regime")
 
 
 def principal_components(df: DataFrame, cols: Sequence[str], k: int, prefix: str = "pc") -> tuple[DataFrame, np.ndarray]:
