@@ -102,12 +102,33 @@ def _(t):
     return shown(pr.coherence(_pairs(t), 64, PO), "a b Timestamp", "coherence")
 
 
-@query("w34_dtw_pairs")
+def _warped(rows: str, n: int, name: str = "w") -> str:
+    """The cost table of ``x`` and ``y`` of every row of ``rows``, a diagonal at a time; the result is ``{name}_done.dist``."""
+    inf = "'infinity'::DOUBLE"
+    cell = f"CASE WHEN i >= greatest(1, d + 1 - {n}) AND i <= least({n}, d) THEN (x[i] - y[d + 1 - i]) * (x[i] - y[d + 1 - i]) + least(last[i], last[i + 1], before[i]) ELSE {inf} END"
+    start = f"[{inf} FOR i IN range({n + 1})]"
+    return (
+        f"{name}(id, x, y, d, last, before) AS (SELECT id, x, y, 1, {start}, list_prepend(0.0::DOUBLE, [{inf} FOR i IN range({n})]) FROM {rows} "
+        f"UNION ALL SELECT id, x, y, d + 1, [{cell} FOR i IN range({n + 1})], last FROM {name} WHERE d < {2 * n}), {name}_done AS (SELECT id, sqrt(last[{n + 1}]) dist FROM {name} WHERE d = {2 * n})"
+    )
+
+
+def _motif(name: str, values: str) -> str:
+    return f"{name}_in AS (SELECT seq id, l x, {values} y FROM tw WHERE i >= 15), " + _warped(f"{name}_in", 16, name)
+
+
+DTW = f"""pw AS (SELECT *, row_number() OVER () id, CASE WHEN count(*) OVER ({PW} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) = 30 THEN list(x) OVER ({PW} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END lx,
+ list(y) OVER ({PW} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) ly FROM pl WHERE a<b), pin AS (SELECT id, lx x, ly y FROM pw WHERE lx IS NOT NULL)"""
+TW = f"tw AS (SELECT seq, i, list(mid) OVER ({W} ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) l FROM t)"
+
+
+@query("w34_dtw_pairs", with_(HOURLY_SQL, PAIRS, DTW, _warped("pin", 30)).replace("WITH", "WITH RECURSIVE", 1) + f"SELECT {KP}, {rr('dtw=dist')} FROM pw LEFT JOIN w_done USING (id)")
 def _(t):
     return shown(pr.dtw_pairs(_pairs(t, False), 30, PO), "a b Timestamp", "dtw")
 
 
-@query("w34_dtw_motifs")
+@query("w34_dtw_motifs", with_(TICKS_SQL, TW, _motif("r", "[i * 3.0::DOUBLE FOR i IN range(16)]"), _motif("s", "[CASE WHEN i IN (7, 8) THEN 90.0::DOUBLE ELSE 0.0 END FOR i IN range(16)]")).replace("WITH", "WITH RECURSIVE", 1)
+ + f"SELECT {K}, {rr('dtw_rise=r.dist', 'dtw_spike=s.dist')} FROM t LEFT JOIN r_done r ON r.id = seq LEFT JOIN s_done s ON s.id = seq")
 def _(t):
     motifs = {"rise": [float(i * 3) for i in range(16)], "spike": [0.0] * 7 + [90.0, 90.0] + [0.0] * 7}
     return shown(pr.dtw_motifs(t.ticks, "mid", motifs), "seq Symbol", "dtw_rise dtw_spike")

@@ -148,19 +148,41 @@ def coherence(pairs_long: DataFrame, n: int = 64, order: Order = pair_order()) -
     return rows.groupBy(*order.keys, BLK).applyInPandas(block, schema)
 
 
-def _dtw(x: np.ndarray, y: np.ndarray) -> float:
-    """Root of the least sum of squared differences along a warping path, by anti-diagonals."""
-    n, m = len(x), len(y)
-    cost = (x[:, None] - y[None, :]) ** 2
-    inf = np.inf
-    before, last = np.full(n + 1, inf), np.full(n + 1, inf)
-    before[0] = 0.0  # diagonal 0 of the padded table
-    for d in range(2, n + m + 1):
-        now = np.full(n + 1, inf)
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        now[i] = cost[i - 1, d - i - 1] + np.minimum(np.minimum(last[i - 1], last[i]), before[i - 1])
-        before, last = last, now
-    return float(np.sqrt(last[n]))
+DTW_ROWS = 4_096  # windows whose tables are filled at once
+
+
+def _dtw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Root of the least sum of squared differences along a warping path, for every row of ``x`` and ``y``.
+
+    The cost tables of all rows are filled together, anti-diagonal by
+    anti-diagonal; a single row (1-d) gives a single distance.
+    """
+    if x.ndim == 1:
+        return float(_dtw(x[None], y[None])[0])
+    out = np.empty(len(x))
+    n, m = x.shape[1], y.shape[1]
+    for at in range(0, len(x), DTW_ROWS):
+        a, b = x[at : at + DTW_ROWS].T, y[at : at + DTW_ROWS].T  # a row of the table is contiguous
+        before, last = np.full((n + 1, a.shape[1]), np.inf), np.full((n + 1, a.shape[1]), np.inf)
+        before[0] = 0.0  # diagonal 0 of the padded table
+        for d in range(2, n + m + 1):
+            now = np.full_like(last, np.inf)
+            lo, hi = max(1, d - m), min(n, d - 1)
+            cost = (a[lo - 1 : hi] - b[d - hi - 1 : d - lo][::-1]) ** 2
+            now[lo : hi + 1] = cost + np.minimum(np.minimum(last[lo - 1 : hi], last[lo : hi + 1]), before[lo - 1 : hi])
+            before, last = last, now
+        out[at : at + DTW_ROWS] = np.sqrt(last[n])
+    return out
+
+
+def _rolling_dtw(x: np.ndarray, y: np.ndarray | None, motif: np.ndarray | None, home: np.ndarray, n: int) -> np.ndarray:
+    """Distance of the last ``n`` values of ``x`` to those of ``y`` or to ``motif``, for the rows of ``home`` that have ``n``."""
+    out, rows = np.full(len(x), np.nan), np.flatnonzero(home)
+    rows = rows[rows >= n - 1]
+    if len(rows):
+        a = _windows(x, n)[rows - n + 1]
+        out[rows] = _dtw(a, _windows(y, n)[rows - n + 1] if motif is None else np.broadcast_to(motif, (len(rows), n)))
+    return out
 
 
 def dtw_pairs(pairs_long: DataFrame, n: int = 30, order: Order = pair_order()) -> DataFrame:
@@ -170,9 +192,8 @@ def dtw_pairs(pairs_long: DataFrame, n: int = 30, order: Order = pair_order()) -
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(IDX)
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         home = (pdf[BLK] == pdf["__home"]).to_numpy()
-        pdf["dtw"] = [_dtw(x[i - n + 1 : i + 1], y[i - n + 1 : i + 1]) if h and i >= n - 1 else np.nan for i, h in enumerate(home)]
+        pdf["dtw"] = _rolling_dtw(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), None, home, n)
         return pdf[home][schema.names]
 
     return rows.groupBy(*order.keys, BLK).applyInPandas(block, schema)
@@ -188,10 +209,7 @@ def dtw_motifs(df: DataFrame, value: str, motifs: dict[str, list[float]], order:
         pdf = pdf.sort_values(IDX)
         x, home = pdf[value].to_numpy(float), (pdf[BLK] == pdf["__home"]).to_numpy()
         for k, motif in motifs.items():
-            m = np.asarray(motif, float)
-            pdf[f"dtw_{k}"] = [
-                _dtw(x[i - len(m) + 1 : i + 1], m) if h and i >= len(m) - 1 else np.nan for i, h in enumerate(home)
-            ]
+            pdf[f"dtw_{k}"] = _rolling_dtw(x, None, np.asarray(motif, float), home, len(motif))
         return pdf[home][schema.names]
 
     return rows.groupBy(*order.keys, BLK).applyInPandas(block, schema)
