@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import indicators as ind, pairs as pr, registry as reg, risk
+from ..plans.ordered import Order
 from .common import HOURLY_SQL, TICKS_SQL, W, full_sql, query, rr, shown, with_
 from .market import PAIRS, SES, _pairs
 
@@ -17,6 +18,29 @@ def _(t):
     return shown(d, "seq", "donchian_high mid_lag2 mid_mean5 microprice_delta", None)
 
 
+@query("p03_checked_feature", with_(TICKS_SQL) + "SELECT seq, round(mid*2,6) AS twice FROM t WHERE mid IS NOT NULL")
+def _(t):
+    """A registered operator with the columns it needs and those it must leave without NULL."""
+    reg.feature("twice", requires=["mid"], no_null=["twice"])(lambda d, o: d.withColumn("twice", F.round(c("mid") * 2, 6)))
+    try:
+        return reg.build_features(t.ticks.where("mid is not null"), ["twice"]).select("seq", "twice")
+    finally:
+        del reg.FEATURES["twice"]
+
+
+@query("p04_custom_columns", with_(TICKS_SQL) + f"SELECT seq, {rr(f'mid_range=max(mid) OVER ({W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)-min(mid) OVER ({W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)')} FROM t")
+def _(t):
+    spread = lambda x, w: F.max(x).over(w.rowsBetween(-3, 0)) - F.min(x).over(w.rowsBetween(-3, 0))
+    return shown(ind.lags_and_stats(["mid"], custom={"range": spread}, custom_back=3)(t.ticks), "seq", "mid_range")
+
+
+@query("p06_per_key", with_(TICKS_SQL) + f"SELECT seq, {rr(f'mean9=CASE WHEN count(*) OVER ({W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)=9 THEN avg(mid) OVER ({W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) END')} FROM t")
+def _(t):
+    """A pandas function over blocks of a symbol with the rows before them."""
+    d = reg.per_key(t.ticks, lambda pdf: pdf[["seq"]].assign(mean9=pdf["mid"].rolling(9).mean()), "seq long, mean9 double", Order(block_rows=512), back=8)
+    return shown(d, "seq", "mean9")
+
+
 @query("p07_text_scores", "SELECT doc_id, CAST(length(text)-length(replace(text,'e','')) AS DOUBLE) AS score FROM documents")
 def _(t):
     return reg.score_text(t.documents, lambda xs: [x.count("e") for x in xs]).select("doc_id", "score")

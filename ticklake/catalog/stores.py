@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.ordered import with_row
 from ..session import shared_folder
 from ..sources import scans, stores
 from .common import TICKS_SQL, query, rr, with_
@@ -155,3 +156,129 @@ def _(t):
     d = t.events.select(F.lit("r1").alias("run_id"), F.lit("events").alias("raw_file"), F.lit("sma").alias("transform"), c("event_type").alias("output")).distinct()
     d.withColumn("logged", F.current_timestamp()).write.parquet(p)
     return stores.lineage(t.spark, p, "r1").select("run_id", "raw_file", "transform", "output")
+
+
+def _split_files(t, columns, ext="parquet"):
+    """A file (folder) of ticks for each symbol; gives the folder and the symbols."""
+    p, names = shared_folder(t.spark), ("click", "error", "purchase", "signup", "view")
+    for n in names:
+        w = t.ticks.where(c("Symbol") == n).select(*columns).write
+        w.csv(f"{p}/{n}.csv", header=True) if ext == "csv" else w.parquet(f"{p}/{n}.parquet")
+    return p, names
+
+
+@query("io04_many_symbols", with_(TICKS_SQL) + 'SELECT "Symbol", seq, mid FROM t')
+def _(t):
+    p, names = _split_files(t, ["Timestamp", "seq", "mid"])
+    return scans.many_symbols(t.spark, {n: f"{p}/{n}.parquet" for n in names}).select("Symbol", "seq", "mid")
+
+
+@query("io05_first_source", with_(TICKS_SQL) + """SELECT "Symbol", count(*) AS n, round(sum("Bid"),4) AS bid FROM t WHERE "Symbol" IN ('click','view') GROUP BY 1""")
+def _(t):
+    """One symbol from its Parquet history, one from its CSV."""
+    p, fmt = shared_folder(t.spark), F.date_format("Timestamp", "yyyyMMdd HH:mm:ss:SSS").alias("Timestamp")
+    t.ticks.where("Symbol = 'click'").write.parquet(f"{p}/click.parquet")
+    t.ticks.where("Symbol = 'view'").select(fmt, "Bid", "Ask", "BidVolume", "AskVolume").write.csv(f"{p}/view.csv", header=True)
+    d = [scans.first_source(t.spark, s, p).select("Symbol", "Bid") for s in ("click", "view")]
+    return d[0].unionByName(d[1]).groupBy("Symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Bid"), 4).alias("bid"))
+
+
+@query("io12_csv_to_parquet", with_(TICKS_SQL) + 'SELECT CAST("Timestamp" AS DATE) AS date, count(*) AS n, round(sum("Ask"),4) AS ask FROM t GROUP BY 1')
+def _(t):
+    p, out = shared_folder(t.spark), shared_folder(t.spark)
+    d = t.ticks.select(F.date_format("Timestamp", "yyyyMMdd HH:mm:ss:SSS").alias("Timestamp"), "Bid", "Ask", "BidVolume", "AskVolume")
+    d.write.csv(p, header=True)
+    stores.csv_to_parquet(t.spark, p, out)
+    return t.spark.read.parquet(out).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Ask"), 4).alias("ask"))
+
+
+def _context(t, value, expr):
+    """Daily values of every symbol as one CSV for each, read by the context loader and joined as of the ticks."""
+    from ..operators.context import add_context
+    from .common import shown
+
+    p = shared_folder(t.spark)
+    day = t.ticks.groupBy("Symbol", F.to_date("Timestamp").alias("Date")).agg(expr.alias(value))
+    for n in ("click", "error", "purchase", "signup", "view"):
+        day.where(c("Symbol") == n).select(c("Date").cast("string"), value).coalesce(1).write.csv(f"{p}/{n}", header=True)
+    named = {n: t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{p}/{n}") for n in ("click", "error", "purchase", "signup", "view")}
+    folder = shared_folder(t.spark)
+    for n, path in named.items():  # one file for each symbol, under its name
+        fs = path.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+        part = next(x.getPath() for x in fs.listStatus(path) if x.getPath().getName().endswith(".csv"))
+        to = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.csv")
+        fs.mkdirs(to.getParent())
+        fs.rename(part, to)
+    return shown(add_context(t.ticks, scans.context_csv(t.spark, folder, value), [value]), "seq", value)
+
+
+def _context_sql(value, expr):
+    return with_(TICKS_SQL, f'd AS (SELECT "Symbol", CAST("Timestamp" AS DATE) dt, {expr} v FROM t GROUP BY 1, 2)') + f'SELECT seq, {rr(f"{value}=coalesce(v,0)")} FROM t LEFT JOIN d ON d."Symbol"=t."Symbol" AND d.dt=CAST(t."Timestamp" AS DATE)'
+
+
+@query("io14_alternative_data", _context_sql("esg_score", "avg(mid)"))
+def _(t):
+    return _context(t, "esg_score", F.avg("mid"))
+
+
+@query("io15_corporate_actions", _context_sql("dividend", "max(\"Volume\")/100"))
+def _(t):
+    return _context(t, "dividend", F.max("Volume") / 100)
+
+
+@query("io17_options", _context_sql("implied_vol", "min(mid)"))
+def _(t):
+    return _context(t, "implied_vol", F.min("mid"))
+
+
+@query("io21_index", """SELECT CAST(ts AS DATE) AS day, round(min(value),4) AS low, round(max(value),4) AS high FROM events GROUP BY 1""")
+def _(t):
+    p = shared_folder(t.spark)
+    d = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.min("value"), 4).alias("low "), F.round(F.max("value"), 4).alias(" high"))
+    d.write.csv(p, header=True)
+    return scans.index_csv(t.spark, p)
+
+
+@query("io30_external", with_(TICKS_SQL, 'x AS (SELECT "Timestamp", max(mid) m FROM t WHERE seq%2=0 GROUP BY 1)') + 'SELECT seq, m AS ext_level FROM t LEFT JOIN x USING ("Timestamp")')
+def _(t):
+    table = t.ticks.where("seq % 2 = 0").groupBy("Timestamp").agg(F.max("mid").alias("level"))
+    return scans.external_context(t.ticks, table, {"Timestamp": "Timestamp", "level": "ext_level"}).select("seq", "ext_level")
+
+
+SUITE = {
+    "expectations": [
+        {"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "Bid"}},
+        {"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "Volume"}},
+        {"expectation_type": "expect_table_row_count_to_be_between", "kwargs": {"min_value": 1}},
+    ]
+}
+HOLES = """h AS (SELECT seq, CASE WHEN seq%7=0 THEN NULL ELSE "Bid" END b, CASE WHEN seq%5=0 THEN NULL ELSE "Volume" END v FROM t)"""
+
+
+def _holed(t):
+    bid, volume = F.when(c("seq") % 7 != 0, c("Bid")), F.when(c("seq") % 5 != 0, c("Volume"))
+    return t.ticks.select("Timestamp", "seq", bid.alias("Bid"), volume.alias("Volume"))
+
+
+@query("f10_quarantine", with_(TICKS_SQL, HOLES) + "SELECT seq, b IS NULL OR v IS NULL AS quarantined FROM h")
+def _(t):
+    p = shared_folder(t.spark)
+    stores.quarantine(_holed(t), SUITE, p)
+    good, bad = (f(t.spark, p).select("seq", F.lit(q).alias("quarantined")) for f, q in ((stores.good_rows, False), (stores.bad_rows, True)))
+    return good.unionByName(bad)
+
+
+@query("f10_quarantine_report", with_(TICKS_SQL, HOLES) + """SELECT 'Bid' AS "column", count(*) FILTER (b IS NULL) AS unexpected FROM h UNION ALL SELECT 'Volume', count(*) FILTER (v IS NULL) FROM h UNION ALL SELECT '', 0""")
+def _(t):
+    return stores.quarantine(_holed(t), SUITE, shared_folder(t.spark))[0].select("column", "unexpected")
+
+
+@query("io31_ingest", with_(TICKS_SQL, "g AS (SELECT * FROM t WHERE seq%7<>0)") + 'SELECT count(*) AS good, (SELECT count(*) FROM t WHERE seq%7=0) AS bad, round(sum("Ask"),4) AS ask, 6::BIGINT AS lineage FROM g')
+def _(t):
+    raw, out, lineage = (shared_folder(t.spark) for _ in range(3))
+    bid = F.when(c("seq") % 7 != 0, c("Bid")).alias("Bid")
+    t.ticks.select(F.date_format("Timestamp", "yyyyMMdd HH:mm:ss:SSS").alias("Timestamp"), bid, "Ask", "BidVolume", "AskVolume").write.csv(raw, header=True)
+    stores.ingest(t.spark, raw, out, {"expectations": SUITE["expectations"][:1]}, lineage, "run")
+    d = stores.good_rows(t.spark, out).agg(F.count(F.lit(1)).alias("good"), F.round(F.sum("Ask"), 4).alias("ask"))
+    d = with_row(d, stores.bad_rows(t.spark, out).agg(F.count(F.lit(1)).alias("bad")))
+    return with_row(d, t.spark.read.parquet(lineage).agg(F.count(F.lit(1)).alias("lineage")))

@@ -226,29 +226,40 @@ def coerce(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     return cast, counts.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 
-def expectations(df: DataFrame, suite: Mapping | str) -> DataFrame:
-    """F10 one row per expectation with its unexpected count and outcome; one aggregate in all."""
+def _suite(suite: Mapping | str) -> list[tuple[str, Mapping]]:
     suite = json.loads(suite) if isinstance(suite, str) else suite
-    items = suite["expectations"]
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, e in enumerate(items):
-        kw = e["kwargs"]
-        if e["expectation_type"] == "expect_column_values_to_not_be_null" and kw["column"] in df.columns:
-            aggs.append(F.count_if(c(kw["column"]).isNull()).alias(f"__u{i}"))
+    return [(e["expectation_type"], e["kwargs"]) for e in suite["expectations"]]
+
+
+def row_expectations(df: DataFrame, suite: Mapping | str) -> dict[str, Column]:
+    """F10 per expectation on single rows, whether a row breaks it; named by its place in the suite."""
+    out = {}
+    for i, (kind, kw) in enumerate(_suite(suite)):
+        if kind == "expect_column_values_to_not_be_null" and kw["column"] in df.columns:
+            out[f"__u{i}"] = c(kw["column"]).isNull()
+    return out
+
+
+def expectation_counts(df: DataFrame, suite: Mapping | str) -> list[Column]:
+    """F10 the aggregates that :func:`expectation_report` needs."""
+    return [F.count(F.lit(1)).alias("__rows"), *[F.count_if(bad).alias(n) for n, bad in row_expectations(df, suite).items()]]
+
+
+def expectation_report(counts: DataFrame, columns: Sequence[str], suite: Mapping | str) -> DataFrame:
+    """F10 one row per expectation with its unexpected count and outcome, from a row of counts."""
     out = []
-    for i, e in enumerate(items):
-        kind, kw = e["expectation_type"], e["kwargs"]
+    for i, (kind, kw) in enumerate(_suite(suite)):
         bad: Column = F.lit(0)
         if kind == "expect_column_values_to_not_be_null":
-            bad = c(f"__u{i}") if kw["column"] in df.columns else c("__rows")
+            bad = c(f"__u{i}") if kw["column"] in columns else c("__rows")
         elif kind == "expect_column_to_exist":
-            bad = F.lit(int(kw["column"] not in df.columns))
+            bad = F.lit(int(kw["column"] not in columns))
         elif kind == "expect_table_columns_to_match_set":
-            missing = set(kw["column_set"]) - set(df.columns)
-            extra = set(df.columns) - set(kw["column_set"]) if kw.get("exact_match", True) else set()
+            missing = set(kw["column_set"]) - set(columns)
+            extra = set(columns) - set(kw["column_set"]) if kw.get("exact_match", True) else set()
             bad = F.lit(len(missing) + len(extra))
         elif kind == "expect_table_column_count_to_be_between":
-            n = len(df.columns)
+            n = len(columns)
             bad = F.lit(int(not (kw.get("min_value") or 0) <= n <= (kw.get("max_value") or n)))
         elif kind == "expect_table_row_count_to_be_between":
             low, high = kw.get("min_value"), kw.get("max_value")
@@ -260,15 +271,14 @@ def expectations(df: DataFrame, suite: Mapping | str) -> DataFrame:
             bad = F.when(good, 0).otherwise(1)
         else:
             raise ValueError(f"unknown expectation {kind}")
-        out.append(
-            F.struct(
-                F.lit(kind).alias("expectation"),
-                F.lit(kw.get("column", "")).alias("column"),
-                bad.cast("long").alias("unexpected"),
-                (bad == 0).alias("success"),
-            )
-        )
-    return df.agg(*aggs).select(F.explode(F.array(*out)).alias("r")).select("r.*")
+        fields = (F.lit(kind).alias("expectation"), F.lit(kw.get("column", "")).alias("column"), bad.cast("long").alias("unexpected"), (bad == 0).alias("success"))
+        out.append(F.struct(*fields))
+    return counts.select(F.explode(F.array(*out)).alias("r")).select("r.*")
+
+
+def expectations(df: DataFrame, suite: Mapping | str) -> DataFrame:
+    """F10 one row per expectation with its unexpected count and outcome; one aggregate in all."""
+    return expectation_report(df.agg(*expectation_counts(df, suite)), df.columns, suite)
 
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -6,10 +6,10 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .scans import path_exists
+from .scans import path_exists, remove
 
 c = F.col
 
@@ -37,14 +37,31 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     out.write.mode("append").parquet(path)
 
 
+def crowded(spark: SparkSession, path: str, target_rows: int) -> DataFrame:
+    """IO11 ``date, files, wanted`` of the partitions that have more files than their rows need."""
+    d = spark.read.parquet(path).groupBy("date", c("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    d = d.groupBy("date").agg(F.count("file").alias("files"), F.greatest(F.ceil(F.sum("n") / target_rows), F.lit(1).cast("long")).alias("wanted"))
+    return d.where("files > wanted")
+
+
 def compact(spark: SparkSession, path: str, staging: str, target_rows: int = 5_000_000) -> None:
-    """IO11 rewrite many small files of a date-partitioned table into few, through a staging folder."""
-    df = spark.read.parquet(path)
-    sizes = df.groupBy("date").agg(F.greatest(F.ceil(F.count(F.lit(1)) / target_rows), F.lit(1).cast("long")).alias("__k"))
-    d = df.join(sizes, "date").withColumn("__s", F.pmod(F.xxhash64(*df.columns), c("__k")))
-    d.repartition("date", "__s").drop("__s", "__k").write.mode("overwrite").partitionBy("date").option("compression", "zstd").parquet(staging)
+    """IO11 rewrite the crowded partitions of a date-partitioned table with few files; the others keep theirs.
+
+    The new files are complete in ``staging`` before a partition is touched, and
+    stay there until all are swapped in.  If that breaks off, the next call with the
+    same ``staging`` finishes it, so nothing is lost in between.  One writer at a time.
+    """
+    zstd = {"compression": "zstd"}
+    if not path_exists(spark, f"{staging}/_SUCCESS"):
+        many = crowded(spark, path, target_rows)
+        if many.isEmpty():
+            return
+        df = spark.read.parquet(path)
+        d = df.join(many.select("date", "wanted"), "date").withColumn("__s", F.pmod(F.xxhash64(*df.columns), c("wanted")))
+        d.repartition("date", "__s").drop("__s", "wanted").write.mode("overwrite").partitionBy("date").options(**zstd).parquet(staging)
     done = spark.read.parquet(staging)
-    done.write.mode("overwrite").partitionBy("date").option("compression", "zstd").parquet(path)
+    done.write.mode("overwrite").partitionBy("date").options(partitionOverwriteMode="dynamic", **zstd).parquet(path)
+    remove(spark, staging)
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str) -> None:
@@ -106,14 +123,16 @@ def from_messages(df: DataFrame, schema: str) -> DataFrame:
 # ---------------------------------------------------------------- versions, hashes, lineage
 
 
+def hash_sums(df: DataFrame) -> list[Column]:
+    """IO28 row count and the sums of two row hashes."""
+    cols = [c(x) for x in sorted(df.columns)]
+    wide = lambda x: F.coalesce(F.sum(x.cast("decimal(20,0)")).cast("string"), F.lit("0"))
+    return [F.count(F.lit(1)).alias("rows"), wide(F.xxhash64(*cols)).alias("h1"), wide(F.hash(*cols)).alias("h2")]
+
+
 def table_hash(df: DataFrame) -> DataFrame:
     """IO28 order-free content hash: sums of two row hashes and the row count."""
-    cols = sorted(df.columns)
-    h = F.xxhash64(*[c(x) for x in cols])
-    wide = lambda x: F.sum(x.cast("decimal(20,0)")).cast("string")
-    low = F.hash(*[c(x) for x in cols])
-    d = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(wide(h), F.lit("0")).alias("h1"), F.coalesce(wide(low), F.lit("0")).alias("h2"))
-    return d.select("rows", F.sha2(F.concat_ws("|", c("rows").cast("string"), "h1", "h2"), 256).alias("hash"))
+    return df.agg(*hash_sums(df)).select("rows", F.sha2(F.concat_ws("|", c("rows").cast("string"), "h1", "h2"), 256).alias("hash"))
 
 
 def config_hash(config: Mapping) -> str:
@@ -188,16 +207,46 @@ def lineage(spark: SparkSession, path: str, run_id: str | None = None, output: s
     return d if output is None else d.where(c("output") == output)
 
 
+def quarantine(df: DataFrame, suite: Mapping, target: str, ts: str = "Timestamp") -> tuple[DataFrame, str]:
+    """F10/IO31 store ``df`` under ``target`` by ``quarantined`` and date: rows that break an expectation apart from the others.
+
+    One pass: the report's counts and the content hash of the rows are observed
+    while they are written.  Gives the report and the hash; ``good_rows`` and ``bad_rows`` read the two sides.
+    """
+    from ..operators.quality import expectation_counts, expectation_report, row_expectations
+
+    bad: Column = F.lit(False)
+    for broken in row_expectations(df, suite).values():
+        bad = bad | broken
+    seen = Observation()
+    counts = expectation_counts(df, suite)
+    d = df.observe(seen, *counts, *hash_sums(df)).withColumn("quarantined", bad).withColumn("date", F.to_date(ts))
+    d.write.mode("append").partitionBy("quarantined", "date").option("compression", "zstd").parquet(target)
+    got = seen.get
+    names = [n for n in got if n.startswith("__")]
+    row = df.sparkSession.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"`{n}` long" for n in names))
+    return expectation_report(row, df.columns, suite), hashlib.sha256("|".join(str(got[n]) for n in ("rows", "h1", "h2")).encode()).hexdigest()
+
+
+def _side(spark: SparkSession, target: str, bad: bool) -> DataFrame:
+    return spark.read.parquet(target).where(c("quarantined") == bad).drop("quarantined", "date")
+
+
+def good_rows(spark: SparkSession, target: str) -> DataFrame:
+    """F10 the rows under ``target`` that met all expectations."""
+    return _side(spark, target, False)
+
+
+def bad_rows(spark: SparkSession, target: str) -> DataFrame:
+    """F10 the rows under ``target`` that broke one."""
+    return _side(spark, target, True)
+
+
 def ingest(spark: SparkSession, raw: str, target: str, suite: Mapping, lineage_path: str, run_id: str) -> DataFrame:
-    """IO31 read raw CSV, check expectations, store by date, record hash and lineage; gives the report."""
-    from ..operators.quality import expectations
+    """IO31 read raw CSV once: check expectations, store good and bad rows apart, record hash and lineage; gives the report."""
     from .scans import tick_csv
 
     df = tick_csv(spark, raw)
-    report = expectations(df, suite).withColumn("run_id", F.lit(run_id))
-    if report.where(~c("success")).limit(1).count():
-        return report
-    save_by_date(df, target)
-    digest = table_hash(df).first()["hash"]
+    report, digest = quarantine(df, suite, target)
     log_lineage(spark, lineage_path, [(run_id, raw, "ingest", x) for x in df.columns] + [(run_id, raw, "hash", digest)])
-    return report
+    return report.withColumn("run_id", F.lit(run_id))
