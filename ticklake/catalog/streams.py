@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import indicators as ind, labels as lab, quality as q
-from ..operators.base import apply_together
 from ..plans.ordered import micros
 from ..session import shared_folder
 from ..sources.scans import path_exists

@@ -16,7 +16,6 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForest
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.ordered import IDX, TICKS, Order, attach, row_index
 from ..plans.values import quantile_arrays
