@@ -17,12 +17,16 @@ c = F.col
 PIECES, FILES = 4, 4  # files that arrive together make a batch
 
 
-def _arrive(t, table=None):
-    """The table as files that arrive one after the other, and a stream over them."""
+def _arrive(t, table=None, even=False):
+    """The table as files that arrive one after the other, and a stream over them; ``even``: pieces of equal time, else of about equal rows."""
     d = t.quotes if table is None else table
     path = shared_folder(t.spark)
     at = F.coalesce(micros("Timestamp"), F.lit(-(1 << 62)))
-    cuts = d.agg(F.percentile_approx(at, [i / PIECES for i in range(1, PIECES)], 1000)).first()[0] or []
+    if even:
+        lo, hi = d.agg(F.min(micros("Timestamp")), F.max(micros("Timestamp"))).first()
+        cuts = [] if lo is None else [lo + (hi - lo) * i // PIECES for i in range(1, PIECES)]
+    else:
+        cuts = d.agg(F.percentile_approx(at, [i / PIECES for i in range(1, PIECES)], 1000)).first()[0] or []
     for lo, hi in zip([None, *cuts], [*cuts, None]):  # the first and the last piece are open
         piece = d if lo is None else d.where(at > lo)
         piece = piece if hi is None else piece.where(at <= hi)
@@ -62,15 +66,24 @@ def _(t):
     return _run(t, st.filter_stream(_arrive(t)).select("seq", "Symbol"))
 
 
-@query("t05_batch_check", with_(TICKS_SQL) + "SELECT seq FROM t")
+BATCHES = """p AS (SELECT *, mid AS prediction, mid + sin(seq)*("Volume"-48) AS target FROM q),
+ e AS (SELECT min(epoch_us("Timestamp")) lo, max(epoch_us("Timestamp")) hi FROM p),
+ d AS (SELECT p.*, (epoch_us("Timestamp")>lo+(hi-lo)//4)::INT + (epoch_us("Timestamp")>lo+(hi-lo)*2//4)::INT + (epoch_us("Timestamp")>lo+(hi-lo)*3//4)::INT AS batch FROM p, e),
+ v AS (UNPIVOT (SELECT seq, batch, mid, "Volume", "Ask"-"Bid" AS spread, target-prediction AS residual FROM d) ON mid, "Volume", spread, residual INTO NAME name VALUE x),
+ s AS (SELECT b.batch, name, count(*) n, avg(x) m, stddev_samp(x) sd FROM (SELECT DISTINCT batch FROM d) b JOIN v ON v.batch<=b.batch GROUP BY 1,2),
+ f AS (SELECT seq, v.batch, CAST(sum(CASE WHEN n>10 AND sd>0 AND abs((x-m)/sd)>1.8 THEN 1 ELSE 0 END) AS INT) AS anomalies FROM v JOIN s USING (batch, name) GROUP BY 1,2),
+ g AS (SELECT b.batch, sum(anomalies)/count(*) > 0.15 AS quarantined FROM (SELECT DISTINCT batch FROM d) b JOIN f ON f.batch<=b.batch GROUP BY 1)"""
+
+
+@query("t05_batch_check", with_(QUOTES_SQL, BATCHES) + "SELECT seq, anomalies, quarantined FROM f JOIN g USING (batch)")
 def _(t):
     out, bad, state, ck = (shared_folder(t.spark) for _ in range(4))
-    d = _arrive(t)
-    st.check_batches(d, ["mid", "Volume"], out, bad, state, ck)
+    d = t.quotes.withColumns({"prediction": c("mid"), "target": c("mid") + F.sin("seq") * (c("Volume") - 48)})
+    d = _arrive(t, d, even=True)
+    st.check_batches(d, ["mid", "Volume"], out, bad, state, ck, z=1.8, max_rate=0.15)
     schema = T.StructType([*d.schema.fields, T.StructField("anomalies", T.IntegerType())])
-    seen = [t.spark.read.schema(schema).parquet(p) for p in (out, bad) if path_exists(t.spark, p)]
-    both = seen[0] if len(seen) == 1 else seen[0].unionByName(seen[1])  # passed and quarantined batches
-    return both.select("seq")
+    seen = [t.spark.read.schema(schema).parquet(p).select("seq", "anomalies", F.lit(p == bad).alias("quarantined")) for p in (out, bad) if path_exists(t.spark, p)]
+    return seen[0] if len(seen) == 1 else seen[0].unionByName(seen[1])  # passed and quarantined batches
 
 
 def _features(t):
@@ -136,6 +149,38 @@ def _(t):
     return shown(d.withColumn("Timestamp", c("Timestamp").cast("timestamp_ntz")).withColumn("alert", F.round("gap", 6) > 0.9), "Symbol Timestamp alert", "gap")
 
 
+def _two_feeds(t):
+    """A feed without every third user, and one with the even users only whose prices are off by a part of the volume."""
+    a = t.ticks.where(c("user_id") % 3 > 0)
+    b = t.ticks.where(c("user_id") % 2 == 0).withColumn("mid", c("mid") + c("Volume") * 0.01)
+    return [_arrive(t, d.select("Symbol", "Timestamp", "seq", "mid"), even=True) for d in (a, b)]
+
+
+TWO_FEEDS = """a AS (SELECT * FROM t WHERE user_id%3>0), b AS (SELECT * REPLACE (mid+"Volume"*0.01 AS mid) FROM t WHERE user_id%2=0),
+ wm AS (SELECT least((SELECT max("Timestamp") FROM a), (SELECT max("Timestamp") FROM b)) - INTERVAL '1 hour' AS wm)"""
+
+
+@query("t10_live_feed", with_(TICKS_SQL, TWO_FEEDS) + """SELECT 'a' AS feed, seq, round(mid,6) AS mid FROM a
+ UNION ALL SELECT 'b', seq, round(mid,6) FROM b, wm WHERE "Timestamp"<=wm AND NOT EXISTS (SELECT 1 FROM a WHERE a."Symbol"=b."Symbol" AND a."Timestamp"=b."Timestamp")""")
+def _(t):
+    a, b = _two_feeds(t)
+    d = _run(t, st.live_feed(a.withColumn("feed", F.lit("a")), b.withColumn("feed", F.lit("b")), "1 hour"))
+    return shown(d, "feed seq", "mid")
+
+
+@query("t10_divergence", with_(TICKS_SQL, TWO_FEEDS, """g AS (SELECT a."Symbol", a."Timestamp", abs(a.mid-b.mid) AS gap FROM a JOIN b ON a."Symbol"=b."Symbol" AND a."Timestamp"=b."Timestamp"),
+ n AS (SELECT "Symbol", time_bucket(INTERVAL '1 hour', "Timestamp") AS start, max(round(gap,9)) AS top, arg_max("Timestamp", (round(gap,9), -epoch_us("Timestamp"))) AS "at" FROM g GROUP BY 1,2),
+ k AS (SELECT *, coalesce(lag(top) OVER (PARTITION BY "Symbol" ORDER BY start), 0)>0.9 AS was FROM n, wm WHERE start + INTERVAL '1 hour'<=wm)""")
+ + 'SELECT "Symbol", "at", round(CASE WHEN top>0.9 THEN top ELSE 0 END,6) AS divergence, NOT top>0.9 AS resolved FROM k WHERE top>0.9 OR was')
+def _(t):
+    a, b = _two_feeds(t)
+    out, state, ck = (shared_folder(t.spark) for _ in range(3))
+    windows = st.feed_windows(a, b, "1 hour", "1 hour").withColumn("largest", F.round("largest", 9))
+    st.divergence_alarms(windows, 0.9, out, state, ck)
+    d = t.spark.read.parquet(out)
+    return shown(d.withColumn("at", c("at").cast("timestamp_ntz")), "Symbol at resolved", "divergence")
+
+
 BARS = """b AS (SELECT "Symbol", time_bucket(INTERVAL '1 hour', "Timestamp") s, avg(mid) m, max(mid) hi, count(*) n FROM t GROUP BY 1,2)"""
 
 
@@ -145,6 +190,22 @@ def _(t):
     return shown(d.withColumn("start", c("start").cast("timestamp_ntz")), "Symbol start n high", "mean")
 
 
+@query("t13_sliding", with_(TICKS_SQL, """b AS (SELECT "Symbol", s - INTERVAL 30 MINUTE * o AS s, mid FROM (SELECT *, time_bucket(INTERVAL '30 minutes', "Timestamp") s FROM t), unnest([0,1]) u(o))""")
+ + """SELECT "Symbol", s AS start, count(*) AS n, round(avg(mid),6) AS mean, min(mid) AS low FROM b GROUP BY 1,2 HAVING s + INTERVAL '1 hour' <= (SELECT max("Timestamp") FROM t) - INTERVAL '2 hours'""")
+def _(t):
+    d = _run(t, st.bars(_arrive(t), "1 hour", "2 hours", "30 minutes"))
+    return shown(d.withColumn("start", c("start").cast("timestamp_ntz")), "Symbol start n low", "mean")
+
+
+@query("t13_sessions", with_(TICKS_SQL, """m AS (SELECT "Symbol", "Timestamp", coalesce(("Timestamp" - lag("Timestamp") OVER y) >= INTERVAL '10 minutes', true)::INT AS new FROM t WINDOW y AS (PARTITION BY "Symbol" ORDER BY "Timestamp", seq)),
+ k AS (SELECT *, sum(new) OVER (PARTITION BY "Symbol" ORDER BY "Timestamp" ROWS UNBOUNDED PRECEDING) AS nr FROM m)""")
+ + """SELECT "Symbol", min("Timestamp") AS start, max("Timestamp") + INTERVAL '10 minutes' AS "end", count(*) AS n FROM k GROUP BY "Symbol", nr
+ HAVING max("Timestamp") + INTERVAL '10 minutes' <= (SELECT max("Timestamp") FROM t) - INTERVAL '2 hours'""")
+def _(t):
+    d = _run(t, st.sessions(_arrive(t), "10 minutes", "2 hours"))
+    return d.withColumns({x: c(x).cast("timestamp_ntz") for x in ("start", "end")})
+
+
 @query("t14_dedupe", "SELECT event_id AS seq FROM events")
 def _(t):
     d = t.ticks.unionByName(t.ticks)

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -289,16 +289,37 @@ def robust_scale(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: fl
     return df.withColumns(new)
 
 
+def checked_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` with the columns that T05 derives: ``spread`` of a quote, ``residual`` of a prediction; each only if its inputs are there."""
+    new = {}
+    if {"Bid", "Ask"} <= set(df.columns):
+        new["spread"] = c("Ask").cast("double") - c("Bid").cast("double")
+    if {"prediction", "target"} <= set(df.columns):
+        new["residual"] = c("target").cast("double") - c("prediction").cast("double")
+    taken = set(df.columns) & set(new) | set(cols) & {"prediction", "target", "Bid", "Ask", *new}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are derived or enter by what is derived from them")
+    return df.withColumns(new)
+
+
 def check_batches(df: DataFrame, cols: Sequence[str], out: str, quarantine: str, state: str, checkpoint: str, z: float = 3.0, max_rate: float = 0.2) -> None:
     """T05 batch check: statistics take the batch in first, then its values are scored.
 
-    A batch whose share of anomalies is above ``max_rate`` goes to quarantine.
+    Checked are ``cols``, the spread of ``Bid`` and ``Ask`` and the residual of
+    ``prediction`` and ``target``.  ``anomalies`` counts a row's values further than
+    ``z`` deviations from the mean of all batches so far.  A batch goes to quarantine
+    while anomalies per row, over all batches so far, are above ``max_rate``.  A NULL
+    is never an anomaly.  Everything kept is a few rows per batch id, so a replayed
+    batch gives the same result.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now, before = batch_moments(batch, cols), f"{state}/{batch_id - 1}"
-        if batch_id and path_exists(spark, before):
+        d = checked_columns(batch, cols)
+        checked = [*cols, *[x for x in ("spread", "residual") if x in d.columns]]
+        now, before = batch_moments(d, checked), f"{state}/{batch_id - 1}"
+        known = batch_id > 0 and path_exists(spark, before)
+        if known:
             now = merge_moments(now, spark.read.parquet(before))
         now.write.mode("overwrite").parquet(f"{state}/{batch_id}")
         flags = []
@@ -307,11 +328,16 @@ def check_batches(df: DataFrame, cols: Sequence[str], out: str, quarantine: str,
             if r["n"] > 10 and sd > 0:
                 flags.append(F.coalesce(F.abs((c(r["column"]) - r["mean"]) / sd) > z, F.lit(False)).cast("int"))
         count = sum(flags[1:], flags[0]) if flags else F.lit(0)
-        d = batch.withColumn("anomalies", count)
-        s = d.agg(F.count(F.lit(1)).alias("n"), F.sum("anomalies").alias("a")).first()
+        d = d.withColumn("anomalies", count).select(*batch.columns, "anomalies")
+        rate = d.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("anomalies"), F.lit(0)).alias("a"))
+        if known:
+            rate = rate.unionByName(spark.read.parquet(f"{before}.rate")).agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+        rate.coalesce(1).write.mode("overwrite").parquet(f"{state}/{batch_id}.rate")
+        s = spark.read.parquet(f"{state}/{batch_id}.rate").first()
         target = quarantine if s["n"] and s["a"] / s["n"] > max_rate else out
         d.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        remove(spark, f"{state}/{batch_id - 2}")
+        for old in (f"{state}/{batch_id - 2}", f"{state}/{batch_id - 2}.rate"):
+            remove(spark, old)
 
     run_batches(df, step, checkpoint)
 
@@ -351,3 +377,54 @@ def feed_gaps(a: DataFrame, b: DataFrame, lateness: str, threshold: float, ts: s
     d = x.join(y, (c(key) == c("__k")) & (c(ts) == c("__ts")))
     gap = F.abs(c("mid_a") - c("mid_b"))
     return d.select(key, ts, gap.alias("gap"), (gap > threshold).alias("alert"))
+
+
+def live_feed(first: DataFrame, second: DataFrame, lateness: str, ts: str = "Timestamp", key: str = "Symbol") -> DataFrame:
+    """T10 one feed out of two: all rows of ``first``, and those of ``second`` at times that ``first`` lacks.
+
+    Rows of ``first`` pass at once.  A row of ``second`` waits until the watermark says that
+    ``first`` has nothing more for its time (an outer join of two streams); rows later than
+    ``lateness`` are dropped.  Times that ``first`` repeats are held once, so a much-repeated
+    time makes no product.  A NULL key or time meets nothing: such rows of ``second`` pass.
+    """
+    cols = first.columns
+    x, y = zoned(first, ts), zoned(second.select(*cols), ts)
+    known = c(key).isNotNull() & c(ts).isNotNull()
+    seen = x.where(known).withWatermark(ts, lateness).select(c(key).alias("__k"), c(ts).alias("__ts")).dropDuplicatesWithinWatermark(["__k", "__ts"])
+    waits = y.where(known).withWatermark(ts, lateness)
+    rest = waits.join(seen, (c(key) == c("__k")) & (c(ts) == c("__ts")), "left_outer").where("__k is null").select(*cols)
+    return x.select(*cols).unionByName(rest).unionByName(y.where(~known))
+
+
+def feed_windows(a: DataFrame, b: DataFrame, lateness: str, length: str, ts: str = "Timestamp", key: str = "Symbol") -> DataFrame:
+    """T10 per event-time window with rows of both feeds at equal times: mean and largest difference, and where it was largest (first such time)."""
+    d = feed_gaps(a, b, lateness, 0.0, ts, key)
+    agg = d.groupBy(key, F.window(ts, length).alias("w")).agg(F.avg("gap").alias("divergence"), F.max("gap").alias("largest"), F.max(F.struct("gap", (-c(ts).cast("double")).alias("m"), ts)).alias("__at"))
+    return agg.select(key, c("w.start").alias("start"), "divergence", "largest", c(f"__at.{ts}").alias("at"))
+
+
+def divergence_alarms(windows: DataFrame, threshold: float, out: str, state: str, checkpoint: str, key: str = "Symbol", order: str = "start") -> None:
+    """T10 alarms from ``feed_windows``: ``resolved`` false for each window above ``threshold``, true for the first one below after such.
+
+    The watermark emits windows in time order over batches, so one flag per key is
+    carried from batch to batch, as a table per batch id: a replayed batch gives the
+    same rows.  The windows of a key, not its ticks, meet in one task.
+    """
+    w = Window.partitionBy(key).orderBy(order)  # the carried flag has no time and comes first
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark, before = batch.sparkSession, f"{state}/{batch_id - 1}"
+        now = batch.where("largest is not null").select(key, order, "at", "largest", (c("largest") > threshold).alias("high")).persist()
+        d = now
+        if batch_id and path_exists(spark, before):
+            d = now.unionByName(spark.read.parquet(before), allowMissingColumns=True)
+        last = d.groupBy(key).agg(F.max(F.struct(order, "high")).alias("l"))
+        last.select(key, c("l.high").alias("high")).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        was = F.coalesce(F.lag("high").over(w), F.lit(False))
+        hit = d.withColumn("was", was).where(c(order).isNotNull() & (c("high") | c("was")))
+        hit = hit.select(key, "at", F.when(c("high"), c("largest")).otherwise(0.0).alias("divergence"), (~c("high")).alias("resolved"))
+        hit.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        remove(spark, f"{state}/{batch_id - 2}")
+        now.unpersist()
+
+    run_batches(windows, step, checkpoint)
