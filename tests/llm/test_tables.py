@@ -138,3 +138,38 @@ def test_url_targets(spark):
     pages = [(0, "https://example.com/a", '<link\nrel="canonical"\nhref="/de/a">'), (1, "https://y.com/", '<meta http-equiv="refresh"\ncontent="0; url=//evil.net/z">')]
     got = judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert [r.verdict for r in got] == ["block", "block"]
+
+
+def test_links_that_count(spark):
+    """``rel`` of several words; names that only end like one; hidden tags; very long html."""
+    to = '<link rel="{}" href="http://evil.net/z">'
+    long = "<p>word " * 300_000
+    yes = [
+        to.format("nofollow canonical"),
+        to.format("Canonical\nshortlink"),
+        "<link rel='alternate canonical' href=http://evil.net/z>",
+        "<link rel=canonical href=http://evil.net/z />",
+        "<LINK HREF=http://evil.net/z REL=canonical>",
+        "<!-- a --><script>x = '<link>'</script>" + to.format("canonical") + "<!-- b",
+        "<meta data-http-equiv=x http-equiv=' refresh ' content='0;url=http://evil.net/z'>",
+        long + to.format("canonical") + long,
+        "<!--" + long + "-->" + to.format("canonical"),
+    ]
+    no = [
+        to.format("not-canonical"),
+        to.format("canonicals"),
+        "<link data-rel=canonical href=http://evil.net/z>",
+        "<link rel=canonical-x href=http://evil.net/z>",
+        "<link rel=icon title='rel canonical' href=http://evil.net/z>",
+        "<meta data-http-equiv=refresh content='0;url=http://evil.net/z'>",
+        "<!-- " + to.format("canonical") + " -->",
+        "<!--" + to.format("canonical"),
+        "<script type=a>" + to.format("canonical") + "</SCRIPT >",
+        "<style>" + to.format("canonical"),
+        "<linkrel=canonical href=http://evil.net/z>",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(i, f"http://x{i}.com/", h) for i, h in enumerate([*yes, *no])], "page_id long, url string, html string")
+    assert {tuple(r) for r in links(df).collect()} == {(f"http://x{i}.com/", "http://evil.net/z") for i in range(len(yes))}
+    assert [r.verdict for r in judged(df).orderBy("page_id").collect()] == ["block"] * len(yes) + ["allow"] * len(no)

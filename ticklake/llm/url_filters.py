@@ -66,16 +66,21 @@ def resolved(ref: Column, base: Column) -> Column:
 def links(pages: DataFrame) -> DataFrame:
     """``a, b``: redirects (``http-equiv=refresh``) and canonical links that the ``html`` of a page names, as whole urls.
 
-    Tags may run over several lines.  Relative targets are seen from the page's
-    ``<base href>``, or else from its url.
+    Tags may run over several lines; those inside comments, scripts and styles do not
+    count, and one that is not closed runs to the end.  ``rel`` may hold several words.
+    Relative targets are seen from the page's ``<base href>``, or else from its url.
     """
     value = "\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)"
     attr = "(?is)(?<![\\w-])"
-    tags = F.expr("regexp_extract_all(html, '(?i)<(?:link|meta|base)\\\\b[^>]*>', 0)")
+    word = lambda q, x: f"{q}(?:[^{q}]*\\s)?{x}(?:\\s[^{q}]*)?{q}"
+    names = lambda a, x: f"(?<![\\w-]){a}\\s*=\\s*(?:" + word('"', x) + "|" + word("'", x) + f"|{x}(?=[\\s/>]))"
+    hidden = r"<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+    found = F.regexp_extract_all("html", F.lit(f"(?is){hidden}|<(?:link|meta|base)\\b[^>]*>"), F.lit(0))
+    tags = F.filter(found, lambda x: x.rlike("(?i)^<[lmb]"))
     tag = pages.where("url is not null and html is not null").select("url", tags.alias("tags")).select("url", "tags", F.explode("tags").alias("tag"))
     seat = F.get(F.filter(F.transform("tags", lambda x: F.regexp_extract(x, "(?is)^<base\\b.*?(?<![\\w-])href" + value, 1)), lambda x: x != ""), F.lit(0))
-    canonical = F.when(F.col("tag").rlike("(?is)^<link\\b.*\\brel\\s*=\\s*[\"']?canonical\\b"), F.regexp_extract("tag", attr + "href" + value, 1))
-    redirect = F.when(F.col("tag").rlike("(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"), F.regexp_extract("tag", attr + "url" + value, 1))
+    canonical = F.when(F.col("tag").rlike("(?is)^<link\\b.*?" + names("rel", "canonical")), F.regexp_extract("tag", attr + "href" + value, 1))
+    redirect = F.when(F.col("tag").rlike("(?is)^<meta\\b.*?" + names("http-equiv", "refresh")), F.regexp_extract("tag", attr + "url" + value, 1))
     plain = lambda x: F.regexp_replace(x, "&amp;", "&")
     found = tag.select("url", "tags", plain(F.coalesce(F.nullif(canonical, F.lit("")), F.nullif(redirect, F.lit("")))).alias("ref")).where("ref is not null")
     found = found.select("url", "ref", plain(seat).alias("seat"))
