@@ -174,4 +174,5 @@ def _(t):
 @query("j18_similar_ticks", with_(TICKS_SQL, _similar('d AS (SELECT "Symbol", seq, i, mid a, "Volume" b, mid/100 r FROM t)')) + f"SELECT seq, {rr('nn_return_mean=coalesce(m,0)','nn_vol=coalesce(s,0)')} FROM d LEFT JOIN g ON g.\"Symbol\"=d.\"Symbol\" AND g.i=d.i")
 def _(t):
     """Every tick against all earlier ones of its symbol."""
-    return shown(similar_days(t.ticks.withColumn("r", c("mid") / 100), ["mid", "Volume"], "r", 5), "seq", "nn_return_mean nn_vol")
+    d = t.ticks.select("Symbol", "Timestamp", "seq", "mid", "Volume", (c("mid") / 100).alias("r"))
+    return shown(similar_days(d, ["mid", "Volume"], "r", 5), "seq", "nn_return_mean nn_vol")
