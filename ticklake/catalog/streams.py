@@ -15,18 +15,23 @@ from .common import QUOTES_SQL, TICKS_SQL, W, full_sql, query, rr, shown, with_
 
 c = F.col
 PIECES, FILES = 4, 4  # files that arrive together make a batch
+BATCH_ROWS = 4_000_000  # of a batch whose rows a task sorts by key
 
 
-def _arrive(t, table=None, even=False):
-    """The table as files that arrive one after the other, and a stream over them; ``even``: pieces of equal time, else of about equal rows."""
+def _arrive(t, table=None, even=False, most=None):
+    """The table as files that arrive one after the other, and a stream over them; ``even``: pieces of equal time, else of about equal rows.
+
+    ``most``: more pieces than ``PIECES`` where one would have more rows than that.
+    """
     d = t.quotes if table is None else table
+    pieces = PIECES if most is None else max(PIECES, -(-d.count() // most))
     path = shared_folder(t.spark)
     at = F.coalesce(micros("Timestamp"), F.lit(-(1 << 62)))
     if even:
         lo, hi = d.agg(F.min(micros("Timestamp")), F.max(micros("Timestamp"))).first()
         cuts = [] if lo is None else [lo + (hi - lo) * i // PIECES for i in range(1, PIECES)]
     else:
-        cuts = d.agg(F.percentile_approx(at, [i / PIECES for i in range(1, PIECES)], 1000)).first()[0] or []
+        cuts = d.agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], max(1000, 100 * pieces))).first()[0] or []
     for lo, hi in zip([None, *cuts], [*cuts, None]):  # the first and the last piece are open
         piece = d if lo is None else d.where(at > lo)
         piece = piece if hi is None else piece.where(at <= hi)
@@ -130,7 +135,7 @@ HEALTH = f"""x AS (SELECT "Symbol" AS algorithm, "Timestamp", i + 1 AS k, epoch(
 @query("t08_health", "WITH RECURSIVE " + TICKS_SQL + ", " + HEALTH + f' SELECT algorithm, "Timestamp", until<0 AS enabled, {rr("sharpe", "win_rate=win")} FROM r')
 def _(t):
     d = t.ticks.select("Timestamp", "seq", c("Symbol").alias("algorithm"), (c("Volume") - 48).alias("pnl"))
-    out = _run(t, st.algorithm_health(_arrive(t, d), cooldown_seconds=86_400.0, tie=["seq"]))
+    out = _run(t, st.algorithm_health(_arrive(t, d, most=BATCH_ROWS), cooldown_seconds=86_400.0, tie=["seq"]))
     return shown(out, "algorithm Timestamp enabled", "sharpe win_rate")
 
 

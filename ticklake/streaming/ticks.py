@@ -201,6 +201,36 @@ def adaptive_window(df: DataFrame, value: str = "value", key: str = "feature", t
     return df.groupBy(key).applyInPandasWithState(step, schema, "window array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+STEP = 8_192  # rows whose windows are held at once
+
+
+def _rolled(before: Sequence[float], new: np.ndarray, n: int, ddof: int):
+    """``(place, length, mean, deviation, share above 0)`` of the last ``n`` values at each of ``new``, ``STEP`` rows at a time.
+
+    NaN counts for the length and as not above 0, and is left out of mean and deviation.
+    Each window is summed by itself, so values do not depend on where a batch or a step begins.
+    """
+    values = np.concatenate((np.asarray(before, float), new))
+    short = max(0, min(n - 1 - len(before), len(new)))  # rows whose window is not full
+    if short:
+        rows = [pd.Series(values[: len(before) + i + 1]) for i in range(short)]
+        yield slice(0, short), np.array([len(s) for s in rows]), *(np.array([f(s) for s in rows], float) for f in (lambda s: s.mean(), lambda s: s.std(ddof=ddof), lambda s: (s > 0).mean()))
+    for at in range(short, len(new), STEP):
+        end = min(at + STEP, len(new))
+        w = np.lib.stride_tricks.sliding_window_view(values[len(before) + at - n + 1 : len(before) + end], n)
+        known = ~np.isnan(w)
+        count = known.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(known, w, 0.0).sum(axis=1) / count
+            spread = np.where(known, (mean[:, None] - w) ** 2, 0.0).sum(axis=1)
+            sd = np.sqrt(np.where(count > ddof, spread / (count - ddof), np.nan))
+        yield slice(at, end), np.full(end - at, n), mean, sd, (w > 0).mean(axis=1)
+
+
+def _last(before: Sequence[float], new: np.ndarray, n: int) -> list[float]:
+    return [*before, *new[-n:].tolist()][-n:]
+
+
 def algorithm_health(
     df: DataFrame, pnl: str = "pnl", key: str = "algorithm", ts: str = "Timestamp", n: int = 100, min_sharpe=0.0, min_win=0.5, cooldown_seconds: float = 300.0, tie: Sequence[str] = ()
 ) -> DataFrame:
@@ -209,19 +239,18 @@ def algorithm_health(
 
     def step(k, batches, state: GroupState):
         recent, until = (list(state.get[0]), state.get[1]) if state.exists else ([], -1.0)
-        pdf = _ordered(batches, [ts, *tie])
-        out = []
-        for when, x in zip(pdf[ts], pdf[pnl]):
-            recent = [*recent, float(x)][-n:]
-            s = pd.Series(recent)
-            sharpe = float(s.mean() / (s.std(ddof=1) + 1e-8) * math.sqrt(len(s))) if len(s) > 1 else 0.0
-            win = float((s > 0).mean())
-            now, good = when.timestamp(), sharpe >= min_sharpe and win >= min_win
-            if until < 0 or now >= until:  # enabled, or cooldown over
-                until = -1.0 if good else now + cooldown_seconds
-            out.append((k[0], when, sharpe, win, until < 0))
-        state.update((recent, until))
-        yield pd.DataFrame(out, columns=schema.names)
+        pdf = _ordered((b[[ts, *tie, pnl]] for b in batches), [ts, *tie])
+        x, times = pdf[pnl].to_numpy(float), pdf[ts]
+        seconds = ((times - pd.Timestamp("1970-01-01")) / pd.Timedelta(microseconds=1)).to_numpy(float) / 1e6
+        for rows, length, mean, sd, win in _rolled(recent, x, n, 1):
+            sharpe = np.where(length > 1, mean / (sd + 1e-8) * np.sqrt(length), 0.0)
+            enabled = []
+            for now, good in zip(seconds[rows].tolist(), ((sharpe >= min_sharpe) & (win >= min_win)).tolist()):
+                if until < 0 or now >= until:  # enabled, or cooldown over
+                    until = -1.0 if good else now + cooldown_seconds
+                enabled.append(until < 0)
+            yield pd.DataFrame({key: k[0], ts: times.iloc[rows].array, "sharpe": sharpe, "win_rate": win, "enabled": enabled}, columns=schema.names)
+        state.update((_last(recent, x, n), until))
 
     return df.groupBy(key).applyInPandasWithState(step, schema, "recent array<double>, until double", "append", GroupStateTimeout.NoTimeout)
 
