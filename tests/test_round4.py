@@ -60,3 +60,32 @@ def test_windows_equal_pandas(ddof):
         want = [pd.Series(x[max(0, i - 49) : i + 1]) for i in range(cut, 400)]
         assert np.allclose(m, [v.mean() for v in want], equal_nan=True) and np.allclose(s, [v.std(ddof=ddof) for v in want], equal_nan=True)
         assert np.array_equal(w, [(v > 0).mean() for v in want])
+
+
+def test_health_and_equity_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(st, "STEP", 16)
+    n, t0 = 300, datetime(2024, 1, 1)
+    pnl = np.random.default_rng(5).integers(-5, 6, n).astype(float)
+    rows = [("x", t0 + timedelta(minutes=i), i, float(v)) for i, v in enumerate(pnl)] + [(None, t0, n, 1.0)]
+    schema = "key string, Timestamp timestamp_ntz, seq long, pnl double"
+    path = tmp()
+    for part in (rows[:40], rows[40:45], rows[45:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: st.tick_stream(spark, path, spark.createDataFrame([], schema).schema)
+    out, ck, out2, ck2 = tmp(), tmp(), tmp(), tmp()
+    st.run_available(st.algorithm_health(stream(), key="key", n=20, cooldown_seconds=600.0, tie=["seq"]), out, ck)
+    st.run_available(st.equity(stream(), key="key", n=20), out2, ck2)
+    health = spark.read.parquet(out).where("key is not null").orderBy("Timestamp").collect()
+    curve = spark.read.parquet(out2).orderBy("seq").collect()
+    assert len(health) == n and len(curve) == n + 1 and curve[-1].key is None
+    until, peak = -1.0, -math.inf
+    for i in range(n):
+        w = pd.Series(pnl[max(0, i - 19) : i + 1])
+        sharpe = w.mean() / (w.std() + 1e-8) * math.sqrt(len(w)) if len(w) > 1 else 0.0
+        if until < 0 or i * 60 >= until:
+            until = -1.0 if sharpe >= 0 and (w > 0).mean() >= 0.5 else i * 60 + 600.0
+        peak = max(peak, pnl[: i + 1].sum())
+        sd = w.std(ddof=0)
+        assert health[i].sharpe == pytest.approx(sharpe) and health[i].enabled == (until < 0)
+        assert curve[i].equity == pnl[: i + 1].sum() and curve[i].drawdown == peak - curve[i].equity
+        assert curve[i].sharpe == pytest.approx(w.mean() / sd if sd > 0 else 0.0)

@@ -220,4 +220,4 @@ def _(t):
 @query("t15_equity", with_(TICKS_SQL, f"""e AS (SELECT *, sum("Volume"-48) OVER ({W}) eq FROM t), p AS (SELECT *, max(eq) OVER ({W}) pk, avg("Volume"-48) OVER ({W} ROWS 49 PRECEDING) m, stddev_pop("Volume"-48) OVER ({W} ROWS 49 PRECEDING) s FROM e)""") + f"SELECT seq, {rr('equity=eq','drawdown=pk-eq','sharpe=CASE WHEN s>0 THEN m/s ELSE 0 END')} FROM p")
 def _(t):
     d = t.ticks.select("Timestamp", "seq", c("Symbol").alias("strategy"), (c("Volume") - 48).alias("pnl"))
-    return shown(_run(t, st.equity(_arrive(t, d))), "seq", "equity drawdown sharpe")
+    return shown(_run(t, st.equity(_arrive(t, d, most=BATCH_ROWS))), "seq", "equity drawdown sharpe")

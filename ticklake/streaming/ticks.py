@@ -261,17 +261,15 @@ def equity(df: DataFrame, pnl: str = "pnl", key: str = "strategy", ts: str = "Ti
 
     def step(k, batches, state: GroupState):
         total, peak, recent = (state.get[0], state.get[1], list(state.get[2])) if state.exists else (0.0, -math.inf, [])
-        pdf = pd.concat(list(batches)).sort_values([ts, tie])
-        out = []
-        for i, x in zip(pdf[tie], pdf[pnl]):
-            total += float(x)
-            peak = max(peak, total)
-            recent = [*recent, float(x)][-n:]
-            s = pd.Series(recent)
-            sd = float(s.std(ddof=0))
-            out.append((k[0], i, total, peak - total, float(s.mean()) / sd if sd > 0 else 0.0))
-        state.update((total, peak, recent))
-        yield pd.DataFrame(out, columns=schema.names)
+        pdf = _ordered((b[[ts, tie, pnl]] for b in batches), [ts, tie])
+        x = pdf[pnl].to_numpy(float)
+        for rows, _, mean, sd, _ in _rolled(recent, x, n, 0):
+            sums = np.concatenate(([total], x[rows])).cumsum()[1:]  # one after the other, as over batches
+            peaks = np.fmax.accumulate(np.concatenate(([peak], sums)))[1:]
+            total, peak = float(sums[-1]), float(peaks[-1])
+            sharpe = np.divide(mean, sd, out=np.zeros(len(sd)), where=sd > 0)
+            yield pd.DataFrame({key: k[0], tie: pdf[tie].iloc[rows].array, "equity": sums, "drawdown": peaks - sums, "sharpe": sharpe}, columns=schema.names)
+        state.update((total, peak, _last(recent, x, n)))
 
     return df.groupBy(key).applyInPandasWithState(step, schema, "total double, peak double, recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
