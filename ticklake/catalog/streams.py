@@ -68,7 +68,8 @@ def _(t):
 
 @query("t04_stream_filter", "WITH RECURSIVE " + QUOTES_SQL + ", " + F04 + ' SELECT s.seq, s."Symbol" FROM s JOIN r ON s."Symbol"=r."Symbol" AND s.i=r.i WHERE r.ok')
 def _(t):
-    return _run(t, st.filter_stream(_arrive(t)).select("seq", "Symbol"))
+    d = t.quotes.select("Symbol", "Timestamp", "seq", "Bid", "Ask")
+    return _run(t, st.filter_stream(_arrive(t, d, most=BATCH_ROWS)).select("seq", "Symbol"))
 
 
 BATCHES = """p AS (SELECT *, mid AS prediction, mid + sin(seq)*("Volume"-48) AS target FROM q),

@@ -106,22 +106,28 @@ def flush_labels(spark: SparkSession, label: Callable[[DataFrame], DataFrame], l
     label(spark.read.parquet(f"{state}/{last_batch}")).write.mode("overwrite").parquet(f"{out}/batch={last_batch + 1}")
 
 
-def filter_stream(df: DataFrame, threshold: float = 3.0, key: str = "Symbol", ts: str = "Timestamp", tie: str = "seq") -> DataFrame:
-    """T04 sequential tick filter: accepted ticks only, statistics in the state of the key."""
+def filter_stream(df: DataFrame, threshold: float = 3.0, key: str = "Symbol", ts: str = "Timestamp", tie: str = "seq", order: Order = TICKS) -> DataFrame:
+    """T04 sequential tick filter: accepted ticks only, statistics in the state of the key.
+
+    A task holds a key's rows of one batch as columns and runs them ``order.scan_rows`` at a time.
+    """
     start, run, merge = _tick_filter(threshold)
     out_schema = df.schema
 
-    def step(_, batches, state: GroupState):
+    def step(k, batches, state: GroupState):
         # squares are taken about the first spread of the key
         now, centre = (list(state.get[:-1]), state.get[-1]) if state.exists else (list(start), None)
-        pdf = pd.concat(list(batches)).sort_values([ts, tie])
-        spread = pdf["Ask"] - pdf["Bid"]
-        centre = float(spread.iloc[0]) if centre is None else centre
-        us = (pdf[ts] - pd.Timestamp("1970-01-01")) / pd.Timedelta(microseconds=1)
-        rows = list(zip(spread - centre, (pdf["Ask"] + pdf["Bid"]) / 2, us, pdf["Ask"] <= pdf["Bid"]))
-        kept, summary = run(tuple(now), rows)
-        state.update((*merge(tuple(now), summary), centre))
-        yield pdf[[k[0] for k in kept]]
+        pdf = pd.concat([b.drop(columns=key) for b in batches], ignore_index=True)
+        place = pdf[[ts, tie]].sort_values([ts, tie]).index.to_numpy()
+        for at in range(0, len(place), order.scan_rows):
+            part = pdf.iloc[place[at : at + order.scan_rows]]
+            spread = part["Ask"] - part["Bid"]
+            centre = float(spread.iloc[0]) if centre is None else centre
+            us = (part[ts] - pd.Timestamp("1970-01-01")) / pd.Timedelta(microseconds=1)
+            kept, summary = run(tuple(now), zip(spread - centre, (part["Ask"] + part["Bid"]) / 2, us, part["Ask"] <= part["Bid"]))
+            now = merge(tuple(now), summary)
+            yield part[[x[0] for x in kept]].assign(**{key: k[0]})[out_schema.names]
+        state.update((*now, centre))
 
     state_schema = ", ".join(f"s{i} double" for i in range(len(start) + 1))
     return df.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
