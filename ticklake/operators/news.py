@@ -159,25 +159,26 @@ def _vectors(df: DataFrame, text: str, row_id: str, dim: int) -> DataFrame:
     return d.withColumn("__l", norm).select(row_id, cells.alias("v"))
 
 
+SIMILARITIES = 1 << 18  # pairs of a text and a query that a task holds at once
+
+
 def similar_events(
     events: DataFrame, queries: DataFrame, k: int = 5, text: str = "text", row_id: str = "id", query_id: str = "qid", block: int = 4_096
 ) -> DataFrame:
     """J19 the ``k`` nearest past texts of every query text by hashed embedding, exactly.
 
     Queries go over the texts in blocks of about ``block``, so what is sent at once
-    is bounded.  Each task keeps its best ``k`` per query, so only those reach the
-    final ranking.
+    is bounded; a task compares about ``SIMILARITIES`` pairs at a time.  Each task keeps its best ``k``
+    per query, so only those reach the final ranking.
     """
     import numpy as np
-    import pandas as pd
 
     dim = 32
 
-    def dense(cells) -> np.ndarray:
-        m = np.zeros((len(cells), dim))
-        for i, row in enumerate(cells):
-            for cell in row if row is not None else ():
-                m[i, cell["slot"]] = cell["weight"]
+    def dense(cells: pa.ListArray) -> np.ndarray:
+        m, flat = np.zeros((len(cells), dim)), cells.flatten()
+        row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+        m[row, flat.field("slot").to_numpy()] = flat.field("weight").to_numpy()
         return m
 
     q = _vectors(queries, text, query_id, dim)
@@ -185,21 +186,24 @@ def similar_events(
     schema = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {row_id} {emb.schema[row_id].dataType.simpleString()}, similarity double"
 
     def best_of(shared):
-        def best(batches):
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, qm = shared.value
-            keep: pd.DataFrame | None = None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                sim = np.round(1 - np.sqrt(np.maximum(2 - 2 * (dense(pdf["v"].tolist()) @ qm.T), 0.0)) / 2, 12)
-                rid = pdf[row_id].to_numpy()
-                order = np.lexsort((np.broadcast_to(rid[:, None], sim.shape), -sim), axis=0)[:k]
-                at = np.arange(len(qids))
-                new = [pd.DataFrame({query_id: qids, row_id: rid[o], "similarity": sim[o, at]}) for o in order]
-                got = pd.concat(new if keep is None else [keep, *new])
-                keep = got.sort_values(["similarity", row_id], ascending=[False, True]).groupby(query_id, sort=False).head(k)
-            if keep is not None:
-                yield keep
+            step = max(k, SIMILARITIES // len(qids))  # rows at a time
+            sims, ids, kind = np.empty((0, len(qids))), None, None
+            for batch in batches:
+                kind = batch.schema.field(row_id).type
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    sim = np.round(1 - np.sqrt(np.maximum(2 - 2 * (dense(part.column("v")) @ qm.T), 0.0)) / 2, 12)
+                    rid = part.column(row_id).to_pandas().to_numpy()
+                    rid = np.broadcast_to(rid[:, None], sim.shape)
+                    sims = np.concatenate((sims, sim))
+                    ids = rid if ids is None else np.concatenate((ids, rid))
+                    top = np.lexsort((ids, -sims), axis=0)[:k]
+                    sims, ids = np.take_along_axis(sims, top, 0), np.take_along_axis(ids, top, 0)
+            if ids is not None:
+                each = pa.array(np.tile(qids, len(ids)))
+                yield pa.RecordBatch.from_arrays([each, pa.array(ids.ravel(), from_pandas=True).cast(kind), pa.array(sims.ravel())], [query_id, row_id, "similarity"])
 
         return best
 
@@ -209,8 +213,9 @@ def similar_events(
         rows = q.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i).collect()
         if not rows:
             continue
-        shared = events.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), dense([r[1] for r in rows])))
-        found = emb.mapInPandas(best_of(shared), schema)
+        cells = pa.array([[x.asDict() for x in r[1]] for r in rows], pa.list_(pa.struct([("slot", pa.int32()), ("weight", pa.float64())])))
+        shared = events.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), dense(cells)))
+        found = emb.mapInArrow(best_of(shared), schema)
         part = found if part is None else part.unionByName(found)
     if part is None:
         part = events.sparkSession.createDataFrame([], schema)
