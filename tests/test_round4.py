@@ -133,3 +133,20 @@ def test_nearest_texts_in_small_steps(spark, monkeypatch):
     for k, x in q.items():
         want = sorted((-round(1 - math.sqrt(max(2 - 2 * x @ y, 0.0)) / 2, 6), i) for i, y in v.items())[:4]
         assert [round(got[k][n][1], 6) for n in range(1, 5)] == [-s for s, _ in want]
+
+
+# --- op1 ---
+
+
+def test_common_words_are_cut_without_the_pattern(monkeypatch):
+    from ticklake.llm import tokens
+
+    words = ["plain", "Größe,", "ende...", "Ünï-", "a", "x)!", "it's", "l'eau,", "a1b", "12.", "--", "don't.", "<|x|>", "né'", "e_mail_", "ab\x01", "ªº.", "naïve;", "\u0130x", "e\u0301a."]
+    file = tokens.path(tokens.WORD_BPE)
+    whole, encoder = tokens.tokenizer(file), tokens.WordEncoder(file)
+    for w in words:
+        assert list(np.frombuffer(encoder[w], "<u4")) == whole.encode(w, add_special_tokens=False).ids, w
+    monkeypatch.setattr(tokens, "_WORD_RUNS", None)
+    fresh = tokens.WordEncoder(file)
+    for w in ("plain", "Größe,", "ende...", "naïve;", "e_mail_"[:1] + "__"):
+        assert fresh[w] == encoder[w]

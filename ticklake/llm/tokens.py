@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ _BYTE_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 _NOT_PLAIN = re.compile(f"[{chr(0x130)}{chr(0x300)}-{chr(0x10FFFF)}]|<\\|")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # a run of these ends a word of letters as a run of its own
 _SLICE = 1 << 20  # characters of a text that are split into words at a time
 
 MAX_WORDS, MAX_RUNS = 120_000, 200_000  # entries kept per worker: about 60 MB
@@ -43,6 +45,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 def visible(text: str) -> str:
+    if text.isascii() and text.isalpha():  # every byte is its own letter
+        return text
     return text.encode().decode("latin-1").translate(_byte_letters())
 
 
@@ -65,7 +69,8 @@ class _Runs(dict):
         self.model = model
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(visible(run))], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(visible(run))]
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < MAX_RUNS:
             self[run] = ids
         return ids
@@ -86,11 +91,15 @@ class WordEncoder(dict):
         self.runs = _Runs(self.whole.model)
 
     def __missing__(self, word: str) -> bytes:
-        if _NOT_PLAIN.search(word):
+        if not (word.isascii() and "<|" not in word) and _NOT_PLAIN.search(word):
             ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            runs = self.runs
-            ids = b"".join([runs[r] for r in _WORD_RUNS.findall(word.lower())])
+            runs, low = self.runs, word.lower()
+            head = low if low.isalpha() else low.rstrip(_MARKS)
+            if head.isalpha():  # letters, then marks: most words
+                ids = runs[head] if head is low else runs[head] + runs[low[len(head) :]]
+            else:
+                ids = b"".join([runs[r] for r in _WORD_RUNS.findall(low)])
         if len(self) < MAX_WORDS:
             self[word] = ids
         return ids
