@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from ticklake.llm.components import components
@@ -80,6 +81,32 @@ def test_near_families_against_brute_force(spark, seed, block_rows):
     assert got == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("limit", [{}, {"room": 4000}])
+def test_near_family_is_sent_a_few_times(spark, monkeypatch, limit):
+    """Sets just under the threshold of each other go to a bounded number of tasks, not to one for every other block."""
+    head = [f"h{i}" for i in range(100)]
+    rows = [(i, " ".join(head + [f"u{i}x{j}" for j in range(13 + i % 4)])) for i in range(120)]
+    rows += [(200 + i, " ".join(head + [f"u{i}x{j}" for j in range(13 + i % 4)] + [f"v{i}"])) for i in range(0, 120, 40)]
+    sent, real = [], GroupedData.applyInPandas
+
+    def spy(self, *args):
+        sent.append(self._df.selectExpr("count(*)", "sum(size(hashes))").first())
+        return real(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", spy)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1, block_rows=4, **limit).collect()}
+    assert got == brute(rows, 1, 80)
+    assert sum(n for n, _ in sent) <= 4 * len(rows)  # a set went to 30 tasks before
+    assert spark.conf.get(key, None) == before
+    whole = sum(h or 0 for _, h in sent)
+    if limit:
+        assert len(sent) == -(-whole // max(4000, sum(len(set(t.split())) for _, t in rows) // 4)) > 1
+    else:
+        assert len(sent) == 1
+
+
 def test_shingler_and_sketch():
     s = Shingler(3)
     assert len(s(b"")) == 0 and len(s(b" \n\t")) == 0

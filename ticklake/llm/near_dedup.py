@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_table, keep, mix64, random64
@@ -16,6 +19,8 @@ from .components import components
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 _BASE = 0x9FB21C651E98DF25  # odd, so that it has an inverse modulo 2**64
 _BLOCK = 1 << 16  # words hashed at a time
+_BLOCKS, _HASHES = 16, 1 << 20  # of a group of sets that goes to a task: blocks and hashes at most, about
+_WIDTH = 4096  # columns of a matrix of sets
 
 
 class Shingler:
@@ -151,49 +156,112 @@ def _rare_shared(rest: DataFrame, percent: int) -> DataFrame:
     return post
 
 
-def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the sets of two blocks that lie in different components."""
-    n, part, block, node = (pdf[c].to_numpy() for c in ("n", "component", "block", "node"))
+class _Block:
+    """A few sets of a task: their rows in the task and, by column, the entries of hashes that several rows hold."""
+
+    def __init__(self, rows: np.ndarray, owner: np.ndarray, column: np.ndarray, n: np.ndarray, part: np.ndarray):
+        lo, hi = np.searchsorted(owner, [rows[0], rows[-1] + 1])
+        order = np.argsort(column[lo:hi], kind="stable")
+        self.row, self.column = owner[lo:hi][order] - rows[0], column[lo:hi][order]
+        self.held = np.unique(self.column)
+        self.rows, self.n, self.part = rows, n[rows], part[rows]
+
+
+def _common(x: _Block, y: _Block, at: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``; ``at`` is room for a number per column."""
+    both = np.zeros((len(x.n), len(y.n)), np.int64)
+    common = np.intersect1d(x.held, y.held, assume_unique=True)
+    if not len(common):
+        return both
+    at[common] = np.arange(len(common))
+    sides = []
+    for s in (x, y):
+        to = at[s.column]
+        sides.append((s.row[to >= 0], to[to >= 0], len(s.n)))
+    at[common] = -1
+    for lo in range(0, len(common), _WIDTH):
+        dense = []
+        for row, to, rows in sides:
+            i, j = np.searchsorted(to, [lo, lo + _WIDTH])
+            m = np.zeros((rows, min(_WIDTH, len(common) - lo)), np.float32)
+            m[row[i:j], to[i:j] - lo] = 1
+            dense.append(m)
+        both += (dense[0] @ dense[1].T).astype(np.int64)
+    return both
+
+
+def _compare(pdf: pd.DataFrame, percent: int, block_rows: int) -> pd.DataFrame:
+    """Links between the sets of two groups (or inside one) that lie in different components."""
+    pdf = pdf.assign(n=pdf["hashes"].map(len)).sort_values(["at", "n", "node"])  # blocks of like sizes
+    n, part, at, node = (pdf[c].to_numpy() for c in ("n", "component", "at", "node"))
     owner = np.repeat(np.arange(len(n)), n)
     _, column, times = np.unique(np.concatenate(pdf["hashes"].to_list()), return_inverse=True, return_counts=True)
-    shared = times[column] > 1  # the others are in no intersection
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    both = np.zeros((len(n), len(n)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
-        lo, hi = np.searchsorted(column, [at, at + 4096])
-        x = np.zeros((len(n), 4096), np.float32)
-        x[owner[lo:hi], column[lo:hi] - at] = 1
-        both += x @ x.T
-    union = n[:, None] + n[None, :] - both
-    linked = (100 * both >= percent * union) & (part[:, None] != part[None, :]) & (node[:, None] < node[None, :])
-    i, j = np.nonzero(linked)
-    return pd.DataFrame({"a": node[i], "b": node[j]})
-
-
-def _blockwise(sets: DataFrame, left: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    shared = times > 1  # the others are in no intersection
+    column, owner = (np.cumsum(shared) - 1)[column][shared[column]], owner[shared[column]]
+    sides = [[_Block(rows[i : i + block_rows], owner, column, n, part) for i in range(0, len(rows), block_rows)] for rows in (np.flatnonzero(at == g) for g in np.unique(at))]
+    room, a, b = np.full(int(shared.sum()), -1), [], []
+    for k, x in enumerate(sides[0]):
+        for y in sides[-1][k if len(sides) == 1 else 0 :]:
+            if 100 * x.n[-1] < percent * y.n[0] or 100 * y.n[-1] < percent * x.n[0]:
+                continue  # the sizes alone are too different
+            if min(x.part.min(), y.part.min()) == max(x.part.max(), y.part.max()):
+                continue  # one component
+            both = _common(x, y, room)
+            linked = (100 * both >= percent * (x.n[:, None] + y.n[None, :] - both)) & (x.part[:, None] != y.part[None, :])
+            i, j = np.nonzero(np.triu(linked, 1) if x is y else linked)
+            a.append(node[x.rows[i]])
+            b.append(node[y.rows[j]])
+    a, b = (np.concatenate([np.empty(0, np.int64), *v]) for v in (a, b))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _blockwise(sets: DataFrame, left: DataFrame, percent: int, block_rows: int, room: int, total: Callable[[], int]) -> DataFrame:
     """Links ``(a, b)`` among ``left(node, component, n)`` across components.
 
-    Sets that meet through rare shared hashes form families, cut into blocks of
-    about ``block_rows`` sets.  Two blocks are compared, in one task, if a
-    hash meets in both; only links come out.
+    Sets that meet through rare shared hashes form families, cut into groups of
+    about ``_BLOCKS * block_rows`` sets, fewer if they are long.  Two groups are
+    compared, in one task and block by block, if a hash meets in both; only links
+    come out.  A set goes to as many tasks as its group meets groups, so the pairs
+    of groups are taken in rounds that send about ``room`` hashes each, or a
+    quarter of the ``total()`` if that is more.
     """
     post = _rare_shared(sets.join(left, "node"), percent)
     least = post.groupBy("h").agg(F.min("node").alias("b"))
     family = components(post.join(least, "h").select(F.col("node").alias("a"), "b"))
-    family = keep(family.withColumnRenamed("component", "family"))
-    size = family.groupBy("family").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
-    block = keep(family.join(size, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), "blocks")).alias("block")))
-    at = keep(post.join(block, "node").select("h", "block").distinct())
-    meet = at.select("h", F.col("block").alias("x")).join(at.select("h", F.col("block").alias("y")), "h").where("x <= y").select("x", "y").distinct()
-    meet = keep(meet)
-    sides = meet.select("x", "y", F.col("x").alias("block")).union(meet.where("x < y").select("x", "y", F.col("y").alias("block")))
-    rows = sets.join(left, "node").join(block, "node").join(sides, "block")
-    return rows.select("x", "y", "block", "node", "component", "n", "hashes").groupBy("x", "y").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, block_rows: int = 64) -> DataFrame:
+    family = keep(family.withColumnRenamed("component", "family").join(left, "node"))
+    size = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / (_BLOCKS * block_rows), F.sum("n") / _HASHES)).alias("groups"))
+    group = keep(family.join(size, "family").select("node", "component", "n", F.xxhash64("family", F.pmod(F.xxhash64("node"), "groups")).alias("at")))
+    at = keep(post.join(group, "node").select("h", "at").distinct())
+    meet = at.select("h", F.col("at").alias("x")).join(at.select("h", F.col("at").alias("y")), "h").where("x <= y").select("x", "y").distinct()
+    sides = meet.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
+    sent = keep(group.join(sides, "at").select("node", "component", "n", "at", "x", "y"))  # no hashes yet
+    hashes, links = sent.agg(F.sum("n")).first()[0] or 0, []
+    rounds = 1 if hashes <= room else -(-hashes // max(room, total() // 4))
+    for k in range(rounds):
+        rows = sets.join(sent.where(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == k), "node")
+        rows = rows.select("x", "y", "at", "node", "component", "n", "hashes")
+        links.append(keep(rows.groupBy("x", "y").applyInPandas(lambda pdf: _compare(pdf, percent, block_rows), "a long, b long")))
+    for t in (post, family, group, at, sent):
+        drop_table(t)
+    return reduce(DataFrame.union, links)
+
+
+@contextmanager
+def _swept(spark: SparkSession):
+    """Shuffle files go as soon as the table they were for is written, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, block_rows: int = 64, room: int = 1 << 24) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     Two documents are linked if ``100 * intersection >= percent * union`` holds
@@ -208,7 +276,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     3. Classes of one bucket that the stars left in different components are the
        rest.  Among these, sets of different components that share one of their
        rarest hashes (no pair at the threshold can fail to) are compared as well, in
-       blocks of ``block_rows``.
+       blocks of ``block_rows``, of which a task gets many.  The pairs of these
+       are taken in rounds, so that what is shuffled at a time is bounded: by
+       ``room`` hashes, or a quarter of those of all texts if that is more.
        So every similar pair that shares a bucket is in one component or
        compared: a star loses no link.
 
@@ -219,42 +289,43 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     Rows without id: component null, kept.  Rows that repeat an id count as one
     document.  Other columns are not read.  An empty table gives an empty result.
     """
-    sketch = keep(sketches(docs, words, bands, rows))
-    classes = keep(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-    bucket = classes.select("node", "n", F.explode("keys").alias("key"))
-    crowded = bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = keep(bucket.join(crowded, "key"))
-    score = members.groupBy("node").agg(F.sum("size").alias("score"))
-    ranked = keep(members.drop("size").join(score, "node"))
-    centre = keep(ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n")).alias("c")))
-    spokes = keep(ranked.join(centre.select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("cn")), "key").where("node != centre").select("key", "node", "n", "centre", "cn"))
-
-    close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else the sets cannot be similar enough
-    stars = _pairs(spokes, "node", "centre", "n", "cn").where(close).distinct()
-    crowd = keep(members.select("node").distinct().join(classes.select("node", F.col("digest").alias("own")), "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowd.hint("merge"), "node")  # the same way at every size
-    sets = keep(shingle_sets(texts, words))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-        x = x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-        both = F.size(F.array_intersect("ha", "hb"))
-        return x.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
-
-    links = keep(confirmed(stars))
-    found = keep(components(links))
-
-    part = members.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    part = keep(part)
-    open_ = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = keep(part.join(open_, "key").select("node", "component", "n").distinct())
-    more = keep(_blockwise(sets, left, percent, block_rows))
-    if not more.isEmpty():
-        found = keep(components(links.union(more)))
-
-    named = keep(classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
-    for t in (classes, members, ranked, spokes, sets, part):
-        drop_table(t)
+    with _swept(docs.sparkSession):
+        sketch = keep(sketches(docs, words, bands, rows))
+        classes = keep(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+        bucket = classes.select("node", "n", F.explode("keys").alias("key"))
+        crowded = bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        members = keep(bucket.join(crowded, "key"))
+        score = members.groupBy("node").agg(F.sum("size").alias("score"))
+        ranked = keep(members.drop("size").join(score, "node"))
+        centre = keep(ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n")).alias("c")))
+        spokes = keep(ranked.join(centre.select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("cn")), "key").where("node != centre").select("key", "node", "n", "centre", "cn"))
+
+        close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else the sets cannot be similar enough
+        stars = _pairs(spokes, "node", "centre", "n", "cn").where(close).distinct()
+        crowd = keep(members.select("node").distinct().join(classes.select("node", F.col("digest").alias("own")), "node"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowd.hint("merge"), "node")  # the same way at every size
+        sets = keep(shingle_sets(texts, words))
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            x = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+            x = x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+            both = F.size(F.array_intersect("ha", "hb"))
+            return x.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+
+        links = keep(confirmed(stars))
+        found = keep(components(links))
+
+        part = members.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        part = keep(part)
+        open_ = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        left = keep(part.join(open_, "key").select("node", "component", "n").distinct())
+        more = _blockwise(sets, left, percent, block_rows, room, lambda: sketch.agg(F.sum("n_shingles")).first()[0])
+        if not more.isEmpty():
+            found = keep(components(links.union(more)))
+
+        named = keep(classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
+        for t in (classes, members, ranked, spokes, sets, part):
+            drop_table(t)
     out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     of = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", of.alias("component_id"), F.coalesce(of == F.col("doc_id"), F.lit(True)).alias("kept"))
